@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfield.llm.tokens import TOKENIZER, n_tokens
@@ -12,7 +12,9 @@ from inkfield.plans.shared import cut
 from inkfield.plans.skew import running_before
 
 #: Sources whose targets are read to the driver; their table is broadcast.
-MOST_SOURCES = 10_000
+MOST_SOURCES = 1_000
+#: Records of a source that are looked at to make up for the last missing tokens.
+NEXT_ROWS = 500
 
 
 def water_fill(have: Mapping[str, int], share: Mapping[str, float], repeats: Mapping[str, int], total: float | None = None) -> dict[str, float]:
@@ -45,12 +47,28 @@ def water_fill(have: Mapping[str, int], share: Mapping[str, float], repeats: Map
     return out
 
 
+def top_up(rows: list[tuple], lack: float) -> list:
+    """Keys of (tokens, hash, key) rows, ascending, that together come close to `lack` tokens: what fits, from the largest
+    down, then the smallest of the rest if the sum is nearer to the goal with it."""
+    out, rest = [], []
+    for tokens, _, key in reversed(rows):
+        if tokens <= lack:
+            out.append(key)
+            lack -= tokens
+        else:
+            rest.append((tokens, key))
+    if rest and abs(rest[-1][0] - lack) < lack:
+        out.append(rest[-1][1])
+    return out
+
+
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER, seed: int = 5) -> DataFrame:
     """(key, source, tokens, uses) of the drawn records.
 
     A source that needs e times its tokens uses every record floor(e) times, and once more those that come first in a seeded
-    hash order while tokens of the fraction are missing (a record is taken if the tokens before it fall short by at least half
-    of its own). No record is used more than max_repeats times. Null, empty and untargeted records aren't drawn, nor those of
+    hash order as long as they fit into the fraction. What is then still missing, less than one record's tokens, is made up of
+    the NEXT_ROWS following records that fit, the largest first, and by one more where that comes closer to the goal.
+    No record is used more than max_repeats times. Null, empty and untargeted records aren't drawn, nor those of
     null sources; targets with a null or negative share draw nothing. Of a source that targets name twice, the first row in
     the order of share and max_repeats holds. Only per-source sums reach the driver.
     """
@@ -66,9 +84,16 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: st
     goal = water_fill(have, {s: v[0] for s, v in asked.items()}, {s: v[1] for s, v in asked.items()}, total)
     plan = [(s, int(goal[s] / n + 1e-9), max(0.0, goal[s] - int(goal[s] / n + 1e-9) * n), asked[s][1]) for s, n in have.items() if n]
     plan_df = docs.sparkSession.createDataFrame(plan, "_s string, whole int, part double, most int")
-    ordered = running_before(sized.filter("tokens > 0").withColumn("_h", F.xxhash64("_k", F.lit(seed))), ["_s"], "_h", "_k", F.col("tokens"))
-    more = F.when((F.col("part") - F.col("before") >= F.col("tokens") / 2.0) & (F.col("part") > 0) & (F.col("whole") < F.col("most")), 1).otherwise(0)
-    drawn = ordered.join(F.broadcast(plan_df), "_s").withColumn("uses", F.col("whole") + more).filter("uses > 0")
+    ordered = cut(running_before(sized.filter("tokens > 0").withColumn("_h", F.xxhash64("_k", F.lit(seed))), ["_s"], "_h", "_k", F.col("tokens")).join(F.broadcast(plan_df), "_s"))
+    fits = (F.col("before") + F.col("tokens") <= F.col("part")) & (F.col("whole") < F.col("most"))
+    taken = {r["_s"]: r["n"] for r in ordered.filter(fits).groupBy("_s").agg(F.sum("tokens").alias("n")).collect()}
+    lacks = [(s, part - taken.get(s, 0)) for s, whole, part, most in plan if part > taken.get(s, 0) and whole < most]
+    lacking = docs.sparkSession.createDataFrame(lacks, "_s string, lack double")
+    following = ordered.filter(~fits).join(F.broadcast(lacking), "_s").filter(F.col("tokens") < 2 * F.col("lack"))
+    nexts = following.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))).filter(F.col("_i") <= NEXT_ROWS).select("_s", "_k", "_h", "tokens").collect()
+    extra = [(k,) for s, lack in lacks for k in top_up(sorted((r["tokens"], r["_h"], r["_k"]) for r in nexts if r["_s"] == s), lack)]
+    extras = docs.sparkSession.createDataFrame(extra, ordered.select("_k").schema).withColumn("_more", F.lit(True))
+    drawn = ordered.join(F.broadcast(extras), "_k", "left").withColumn("uses", F.col("whole") + F.when(fits | F.col("_more"), 1).otherwise(0)).filter("uses > 0")
     return drawn.select(F.col("_k").alias(key), F.col("_s").alias(source), "tokens", F.col("uses").cast("bigint").alias("uses"))
 
 
