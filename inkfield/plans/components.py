@@ -23,7 +23,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for turn in range(max_rounds):
         first = F.xxhash64(F.col("rep"), F.lit(turn))
         offers = live.groupBy("key").agg(F.min(F.struct(first.alias("p"), F.col("rep"))).alias("o"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("key", F.col("o.p").alias("p"), F.col("o.rep").alias("to"))
-        joined = cut(salted_join(live, offers, "key", F.xxhash64("rep")))
+        joined = salted_join(live, offers, "key", F.xxhash64("rep"))
         move = cut(joined.groupBy("rep").agg(F.min(F.struct("p", "to")).alias("o")).select("rep", F.col("o.to").alias("to")).filter("rep <> to"))
         if move.isEmpty():
             break
