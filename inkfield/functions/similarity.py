@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.functions.text import FEATURES, clean_code
@@ -33,10 +33,14 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.size(F.array_intersect(a, b)) / most)
 
 
-def overlaps(original: Column, generated: Column) -> dict[str, Column]:
-    """Overlap of each feature set of the two cleaned codes; null where neither has any."""
-    a, b = clean_code(original), clean_code(generated)
-    return {name: overlap(f(a), f(b)) for name, f in FEATURES.items()}
+def with_overlaps(rows: DataFrame, original: str, generated: str) -> DataFrame:
+    """rows with the overlap of each feature set of two codes, null where neither has any.
+
+    Cleaned codes and sets are columns of steps of their own, so that each is worked out once for all that use it.
+    """
+    out = rows.withColumns({"_a": clean_code(F.col(original)), "_b": clean_code(F.col(generated))})
+    out = out.withColumns({f"_{name}{side}": f(F.col(side)) for name, f in FEATURES.items() for side in ("_a", "_b")})
+    return out.withColumns({name: overlap(F.col(f"_{name}_a"), F.col(f"_{name}_b")) for name in FEATURES}).select(*rows.columns, *FEATURES)
 
 
 def redistributed(scores: dict[str, Column], weights: dict[str, float]) -> dict[str, Column]:

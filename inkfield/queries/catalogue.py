@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkfield.queries import compaction, difficulty
+from inkfield.queries import compaction, difficulty, texts
 
-_PARTS = (difficulty, compaction)
+_PARTS = (difficulty, texts, compaction)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}
