@@ -50,9 +50,9 @@ def visible_size(share: Column, rows: Column) -> Column:
 def label_mask(ids: Column, patch: Column) -> Column:
     """Labels of token ids: those up to the end of the first run of the patch token are ignored; all, if there is none."""
     first = F.array_position(ids, patch)
-    after = F.array_position(F.transform(F.slice(ids, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(ids), F.lit(1))), lambda x: F.when(x == patch, 0).otherwise(1)), 1)
-    end = F.when(first == 0, F.size(ids)).when(after == 0, F.size(ids)).otherwise(first + after - 2)
-    return F.transform(ids, lambda x, i: F.when(i < end, F.lit(IGNORED)).otherwise(x))
+    after = F.array_position(F.transform(F.slice(ids, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(ids), F.lit(1))), lambda x: x != patch), True)
+    end = F.when(first == 0, F.size(ids)).when(after == 0, F.size(ids)).otherwise(first + after - 2).cast("int")
+    return F.concat(F.array_repeat(F.lit(IGNORED), end), F.slice(ids, end + 1, F.greatest(F.size(ids) - end, F.lit(0))))
 
 
 def with_patches(ids: Column, patch: int, n: int, limit: int) -> Column:

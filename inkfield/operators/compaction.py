@@ -17,30 +17,36 @@ TARGET_BYTES = 256 * 1024 * 1024
 SAMPLE_KEYS = 100_000
 #: The folder and the extension of a path give the field that a file holds.
 FIELDS = {("original", "tex"): "original_code", ("original", "png"): "original_image", ("generated", "tex"): "generated_code"}
-#: Folder, example, combination, copy marks and extension of a path; written in any letter case.
-PATH = r"(?i)(?:^|/)(original|generated)/+(?:\./+)*example_(\d+)_(?:combination_)?(main|-?\d+)(?:[ ._~-]*(?:\(\d+\)|copy\d*|retry\d*|\d+))*\.(tex|png)$"
+#: Example, combination, copy marks and extension of a file name; written in any letter case.
+NAME = r"(?i)^example_(\d+)_(?:combination_)?(main|-?\d+)(?:[ ._~-]*(?:\(\d+\)|copy\d*|retry\d*|\d+))*\.(tex|png)$"
 
 
-def parse_path(path: Column) -> dict[str, Column]:
-    """field, example_number and combination_number (-1: main) that a path names; null where it names none.
 
-    Separators may be slashes or backslashes, doubled or with dots between; copy marks before the extension don't count.
+def parse_path(files: DataFrame, path: str) -> DataFrame:
+    """files with the field, example_number and combination_number (-1: main) that a path names; null where it names none.
+
+    Separators may be slashes or backslashes, doubled or with dots between; copy marks before the extension don't count. The
+    path is matched once; its parts are cut from the result.
     """
-    flat = F.regexp_replace(F.trim(path), r"\\", "/")
-    part = lambda i: F.nullif(F.lower(F.regexp_extract(flat, PATH, i)), F.lit(""))
+    flat = F.translate(F.trim(path), "\\", "/")
+    parts = F.split(F.lower(F.regexp_replace(F.substring_index(flat, "/", -1), NAME, "$1|$2|$3")), r"\|")
+    folder = F.lower(F.element_at(F.filter(F.split(flat, "/+"), lambda x: (x != ".") & (x != "")), F.lit(-2)))
+    out = files.withColumns({"_parts": F.when(F.contains(flat, F.lit("/")), parts), "_in": folder})
     field = None
-    for (folder, ending), name in FIELDS.items():
-        hit = (part(1) == folder) & (part(4) == ending)
+    for (where, ending), name in FIELDS.items():
+        hit = (F.col("_in") == where) & (F.col("_parts")[2] == ending)
         field = F.when(hit, name) if field is None else field.when(hit, name)
-    return {"field": field, "example_number": part(2).try_cast("int"), "combination_number": F.when(part(3) == "main", -1).otherwise(part(3).try_cast("int"))}
+    whole = F.size("_parts") == 3
+    number = F.when(F.col("_parts")[1] == "main", -1).otherwise(F.col("_parts")[1].try_cast("int"))
+    return out.withColumns({"field": F.when(whole, field), "example_number": F.when(whole, F.col("_parts")[0].try_cast("int")), "combination_number": F.when(whole, number)}).drop("_parts", "_in")
 
 
 def named(files: DataFrame, file_id: str = "file_id", path: str = "path", body: str = "body") -> DataFrame:
     """(file_id, field, example_number, combination_number, n_bytes, digest, body) of the files that name a record and have
     an id. Sizes are those of the bodies; a null body counts as an empty one."""
-    content = F.coalesce(F.col(body), F.lit(b""))
-    columns = [F.col(file_id).alias("file_id"), *(c.alias(n) for n, c in parse_path(F.col(path)).items()), F.length(content).cast("bigint").alias("n_bytes"), F.sha2(content, 256).alias("digest"), content.alias("body")]
-    return files.select(*columns).filter("file_id is not null and field is not null and example_number is not null and combination_number is not null")
+    columns = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("_path"), F.coalesce(F.col(body), F.lit(b"")).alias("body"))
+    content = parse_path(columns, "_path").filter("file_id is not null and field is not null and example_number is not null and combination_number is not null")
+    return content.select("file_id", "field", "example_number", "combination_number", F.length("body").cast("bigint").alias("n_bytes"), F.sha2("body", 256).alias("digest"), "body")
 
 
 def order_key() -> Column:
