@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
+import base64
+import importlib.util
 import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Vocabulary file of the tokenizer that sizes are measured in; the same path must exist on every executor.
-TOKENIZER = os.environ.get("INKFIELD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
-#: Characters that are encoded together, to bound a worker's memory.
-CHUNK = 1_000_000
+#: Vocabulary (lines of a token in base64 and its rank) of the byte-level BPE that sizes are measured in. The file, and beside
+#: it an __init__.py that names the PATTERN that splits texts, must exist on every executor.
+TOKENIZER = os.environ.get("INKFIELD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _loaded: dict[str, object] = {}
 
 
-def counts(texts: list[str | None], path: str = TOKENIZER) -> list[int]:
-    """Tokens of each text; 0 for null and empty ones. Special tokens' strings are ordinary text."""
+def encoder(path: str = TOKENIZER):
+    """The tokenizer of a vocabulary file, loaded once per process. Special tokens' strings are ordinary text."""
     if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].encode_special_tokens = True
-    encode = _loaded[path].encode_batch_fast
-    out, group, held = [], [], 0
-    for t in texts:
-        group.append(t or "")
-        held += len(group[-1])
-        if held > CHUNK:
-            out += [len(e) for e in encode(group, add_special_tokens=False)]
-            group, held = [], 0
-    return out + [len(e) for e in encode(group, add_special_tokens=False)]
+        import tiktoken
+
+        spec = importlib.util.spec_from_file_location("_tokenizer_files", Path(path).parent / "__init__.py")
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+        _loaded[path] = tiktoken.Encoding(Path(path).stem, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[path]
+
+
+def counts(texts: list[str | None], path: str = TOKENIZER) -> list[int]:
+    """Tokens of each text; 0 for null and empty ones."""
+    encode = encoder(path).encode_ordinary
+    return [len(encode(t)) if t else 0 for t in texts]
 
 
 def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
