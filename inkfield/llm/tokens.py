@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: Vocabulary (lines of a token in base64 and its rank) of the byte-level BPE that sizes are measured in. The file, and beside
 #: it an __init__.py that names the PATTERN that splits texts, must exist on every executor.
 TOKENIZER = os.environ.get("INKFIELD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Blanks in a row from which the pattern engine of the first library may run out of stack.
+LONG_RUN = 5_000
+_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 _loaded: dict[str, object] = {}
 
 
@@ -31,10 +35,22 @@ def encoder(path: str = TOKENIZER):
     return _loaded[path]
 
 
+def _plain_encoder(path: str):
+    """The same vocabulary in another library, which takes runs of blanks of any length."""
+    path = str(Path(path).with_suffix(".json"))
+    if path not in _loaded:
+        from tokenizers import Tokenizer
+
+        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path].encode_special_tokens = True
+    return _loaded[path]
+
+
 def counts(texts: list[str | None], path: str = TOKENIZER) -> list[int]:
-    """Tokens of each text; 0 for null and empty ones."""
+    """Tokens of each text; 0 for null and empty ones. Texts with runs of blanks too long for the first library's pattern
+    engine go through the other one, whose counts are the same."""
     encode = encoder(path).encode_ordinary
-    return [len(encode(t)) if t else 0 for t in texts]
+    return [0 if not t else len(_plain_encoder(path).encode(t, add_special_tokens=False)) if len(t) > LONG_RUN and _RUN.search(t) else len(encode(t)) for t in texts]
 
 
 def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
