@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfield.functions.similarity import difficulty
 from inkfield.functions.text import example_id, merged_path
-from inkfield.plans.order import quantiles, ranked
+from inkfield.plans.order import attach, quantiles, ranked
 
 PATHS = ("original_image_path", "generated_image_path", "original_code_path", "generated_code_path")
 
@@ -46,7 +46,7 @@ def rank_table(rows: DataFrame) -> DataFrame:
     order = [F.col("combined_score"), F.col("example_number"), F.col("combination_number")]
     out = ranked(rows, order)
     n = out.agg(F.count(F.lit(1)).alias("_n"))
-    return out.crossJoin(F.broadcast(n)).withColumn("rank_norm", F.when(F.col("_n") > 1, (F.col("rank") - 1) / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")  # one row
+    return attach(out, n).withColumn("rank_norm", F.when(F.col("_n") > 1, (F.col("rank") - 1) / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")
 
 
 def difficulty_table(shards: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -58,14 +58,14 @@ def describe(table: DataFrame, value: str = "combined_score") -> DataFrame:
     """count, mean, std, min, exact quartiles, max of a ranked table."""
     head = table.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(table, value, [0.25, 0.5, 0.75])
-    return head.crossJoin(F.broadcast(q)).select("count", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")  # one row each
+    return attach(head, q).select("count", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def quartiles(table: DataFrame, value: str = "combined_score") -> DataFrame:
     """With quartile 0..3: right-closed bins on the interpolated edges. Equal edges leave a bin empty."""
     q = quantiles(table, value, [0.25, 0.5, 0.75])
     bin_ = F.when(F.col(value) <= F.col("q0"), 0).when(F.col(value) <= F.col("q1"), 1).when(F.col(value) <= F.col("q2"), 2).otherwise(3)
-    return table.crossJoin(F.broadcast(q)).withColumn("quartile", bin_.cast("bigint")).drop("q0", "q1", "q2")  # one row
+    return attach(table, q).withColumn("quartile", bin_.cast("bigint")).drop("q0", "q1", "q2")
 
 
 def card(table: DataFrame) -> DataFrame:

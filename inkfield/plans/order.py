@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from inkfield.plans.shared import cut
 
 
+def attach(df: DataFrame, figures: DataFrame) -> DataFrame:
+    """df with the columns of `figures`, an aggregate of one row, as constants."""
+    row = figures.first()
+    return df.withColumns({c: F.lit(row[c]).cast(kind) for c, kind in figures.dtypes})
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """df with, for each of `sums`, its total over all rows up to and including this one in the order (BIGINT).
 
@@ -36,7 +42,7 @@ def quantiles(ranked_df: DataFrame, value: str, shares: list[float], rank: str =
     two neighbours of each are read from the ranked rows."""
     n = ranked_df.agg(F.max(rank).alias("_n"))
     at = [(F.col("_n") - 1) * s for s in shares]
-    rows = ranked_df.select(F.col(value).alias("_v"), F.col(rank).alias("_r")).crossJoin(F.broadcast(n))  # one row
+    rows = attach(ranked_df.select(F.col(value).alias("_v"), F.col(rank).alias("_r")), n)
     low = [F.max(F.when(F.col("_r") == F.floor(a) + 1, F.col("_v"))).alias(f"l{i}") for i, a in enumerate(at)]
     high = [F.max(F.when(F.col("_r") == F.ceil(a) + 1, F.col("_v"))).alias(f"h{i}") for i, a in enumerate(at)]
     got = rows.agg(*low, *high, F.max("_n").alias("_n"))

@@ -14,6 +14,7 @@ from inkfield.operators import difficulty as D
 from inkfield.operators import evaluation as E
 from inkfield.operators import programs as P
 from inkfield.operators import search as H
+from inkfield.plans.order import attach
 from inkfield.session import table
 
 
@@ -99,7 +100,7 @@ def head_and_share(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id")
     one = D.ranked(docs, [F.col("doc_id")], "r")
     n = one.agg(F.max("r").alias("n"))
-    return one.crossJoin(F.broadcast(n)).filter((F.col("r") <= 200) | (F.col("r") <= F.floor(F.col("n") * 0.01))).select("doc_id", F.when(F.col("r") <= 200, True).otherwise(False).alias("head"), (F.col("r") <= F.floor(F.col("n") * 0.01)).alias("share"))  # one row
+    return attach(one, n).filter((F.col("r") <= 200) | (F.col("r") <= F.floor(F.col("n") * 0.01))).select("doc_id", (F.col("r") <= 200).alias("head"), (F.col("r") <= F.floor(F.col("n") * 0.01)).alias("share"))
 
 
 def resume_anti(spark, folder):
@@ -170,8 +171,9 @@ def curriculum_visible(spark, folder):
     """Rows of the ranked difficulty table that each of eight epochs sees, with the hardest one."""
     t = D.difficulty_table(table(spark, folder, "results_v1").select("example_number", "combination_number", "image_similarity", "code_similarity", "shard_file", "written_at"), ["written_at", "shard_file"]).select("rank", "combined_score")
     n = t.agg(F.count(F.lit(1)).alias("n"))
-    sizes = spark.range(8).crossJoin(F.broadcast(n)).select(F.col("id").alias("epoch"), C.visible_size(C.threshold("root_p", (F.col("id") + 1).cast("double"), grow=8, start=0.3, p=2), F.col("n")).alias("visible"))  # eight epochs, one row
-    seen = t.join(F.broadcast(sizes), F.col("rank") <= F.col("visible"))  # eight epochs
+    epoch = F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>"))
+    sizes = attach(t, n).withColumn("epoch", epoch).withColumn("visible", C.visible_size(C.threshold("root_p", (F.col("epoch") + 1).cast("double"), grow=8, start=0.3, p=2), F.col("n")))
+    seen = sizes.filter(F.col("rank") <= F.col("visible"))
     return seen.groupBy("epoch", "visible").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("combined_score"), 6).alias("hardest"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfield.functions.text import example_id
-from inkfield.plans.order import ranked
+from inkfield.plans.order import attach, ranked
 
 RESULTS = T.StructType([T.StructField("example_number", T.IntegerType()), T.StructField("combination_number", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("image_similarity", "code_similarity", "combined_score")), *(T.StructField(c, T.StringType()) for c in ("original_image_path", "generated_image_path", "original_code_path", "generated_code_path"))])
 RESULTS_BY_FILE = T.StructType([T.StructField("example_file", T.StringType()), *RESULTS.fields[2:]])
@@ -106,7 +106,7 @@ def first_rows(df: DataFrame, order: list[Column], n: int | None = None, share:
         return df.orderBy(*order).limit(n)
     r = ranked(df, order, "_r")
     most = r.agg(F.floor(F.max("_r") * share).alias("_m"))
-    return r.crossJoin(F.broadcast(most)).filter(F.col("_r") <= F.col("_m")).drop("_r", "_m")  # one row
+    return attach(r, most).filter(F.col("_r") <= F.col("_m")).drop("_r", "_m")
 
 
 def corpus_sample(df: DataFrame, key: str, most: int = 1000, seed: int = 0) -> DataFrame:
