@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfield.plans.shared import cut
+
 #: Letters of other scripts that look like the Latin letter named first, upper and lower case apart.
 LOOKALIKES = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ",
@@ -188,8 +190,8 @@ def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     by fingerprints of 256 bits.
     """
     rows = normalise(df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", "_f").filter("_f <> ''")
-    marked = rows.select("_k", F.sha2("_f", 256).alias("f"), F.sha2("_t", 256).alias("t"))
-    return pairs_of_variants(marked)
+    marked = rows.select("_k", F.unhex(F.sha2("_f", 256)).alias("f"), F.unhex(F.sha2("_t", 256)).alias("t"))
+    return pairs_of_variants(cut(marked))  # forms are found once for all the joins
 
 
 def pairs_of_variants(marked: DataFrame) -> DataFrame:

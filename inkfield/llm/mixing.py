@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfield.llm.tokens import TOKENIZER, n_tokens
+from inkfield.plans.order import attach
 from inkfield.plans.shared import cut
 from inkfield.plans.skew import running_before
 
@@ -102,5 +103,5 @@ def shares(drawn: DataFrame, targets: DataFrame, source: str = "source") -> Data
     each = drawn.groupBy(source).agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
     whole = each.agg(F.sum("tokens").alias("_all"))
     asked = targets.filter("source is not null").select(F.col("source").alias(source), "target_share").dropDuplicates([source])
-    both = asked.join(each, source, "left").crossJoin(F.broadcast(whole))  # one row
+    both = attach(asked.join(each, source, "left"), whole)
     return both.select(source, "target_share", F.round(F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)), 6).alias("share"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))

@@ -15,6 +15,10 @@ from inkfield.plans.shared import cut
 from inkfield.plans.skew import running_before
 
 
+#: Window sizes that are laid at once.
+MOST_WINDOWS = 100
+
+
 def best_two_fit(histogram: Mapping[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(pattern, times) of windows that hold the whole histogram of sizes; a pattern gives how many items of each size.
 
@@ -93,15 +97,15 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.nda
 def items(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """(window_id, capacity, key, piece, size): each text once per window size. A text longer than the window is cut into full
     pieces and a rest; others stay whole. Null and empty texts have one piece of size 0. Null keys are dropped."""
-    caps = windows.filter("n_tokens > 0 and window_id is not null").select("window_id", F.col("n_tokens").cast("bigint").alias("capacity")).dropDuplicates(["window_id"])
+    caps = windows.filter("n_tokens > 0 and window_id is not null").groupBy("window_id").agg(F.max("n_tokens").alias("n")).orderBy("window_id").limit(MOST_WINDOWS + 1).collect()
+    if len(caps) > MOST_WINDOWS:
+        raise ValueError(f"at most {MOST_WINDOWS} window sizes")
     sized = cut(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), n_tokens(F.col(text), path).alias("tokens")))
+    kind = dict(windows.dtypes)["window_id"]
+    each = F.array(*(F.struct(F.lit(c["window_id"]).cast(kind).alias("window_id"), F.lit(c["n"]).cast("bigint").alias("capacity")) for c in caps)) if caps else F.array().cast(f"array<struct<window_id: {kind}, capacity: bigint>>")
     pieces = F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(1)) - 1).cast("int")))
-    each = sized.crossJoin(F.broadcast(caps)).withColumn("piece", pieces)  # the capacities are a handful of rows, checked by pack()
-    return each.select("window_id", "capacity", F.col("_k").alias(key), "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).alias("size"))
-
-
-#: Window sizes that are laid at once; their table is broadcast.
-MOST_WINDOWS = 100
+    every = sized.select("_k", "tokens", F.explode(each).alias("w")).select("_k", "tokens", "w.*").withColumn("piece", pieces)
+    return every.select("window_id", "capacity", F.col("_k").alias(key), "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).alias("size"))
 
 
 def pack(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, seed: int = 3) -> DataFrame:
@@ -112,8 +116,6 @@ def pack(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
     assigned by its size and number alone. Items of size 0 need no room: their bin is null. Repeated rows of one key are
     separate items. Empty tables give no rows.
     """
-    if windows.limit(MOST_WINDOWS + 1).count() > MOST_WINDOWS:
-        raise ValueError(f"at most {MOST_WINDOWS} window sizes")
     every = items(docs, windows, key, text, path)
     full = every.filter("size > 0")
     bars: dict[int, tuple[int, dict[int, int]]] = {}
