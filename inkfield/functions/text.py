@@ -109,7 +109,7 @@ def reconstruct(preamble: Column, options: Column, elements: Column, closers: Co
 def insert_header(c: Column, header: str) -> Column:
     """A line put after the first one."""
     lines = F.split(c, "\n", -1)
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.lit(header)), F.slice(lines, 2, 2**31 - 1)), "\n")
+    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.lit(header)), F.slice(lines, 2, F.size(lines))), "\n")
 
 
 def remove_token(c: Column, token: str) -> Column:

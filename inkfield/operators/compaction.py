@@ -30,15 +30,17 @@ def parse_path(files: DataFrame, path: str) -> DataFrame:
     """
     flat = F.translate(F.trim(path), "\\", "/")
     parts = F.split(F.lower(F.regexp_replace(F.substring_index(flat, "/", -1), NAME, "$1|$2|$3")), r"\|")
-    folder = F.lower(F.element_at(F.filter(F.split(flat, "/+"), lambda x: (x != ".") & (x != "")), F.lit(-2)))
-    out = files.withColumns({"_parts": F.when(F.contains(flat, F.lit("/")), parts), "_in": folder})
+    folder = F.lower(F.try_element_at(F.filter(F.split(flat, "/+"), lambda x: (x != ".") & (x != "")), F.lit(-2)))
+    # A generator of one row: what is built on its output, filters too, doesn't evaluate the patterns again.
+    found = F.struct(F.when(F.contains(flat, F.lit("/")), parts).alias("parts"), folder.alias("folder"))
+    out = files.withColumn("_found", F.explode(F.array(found))).withColumns({"_parts": F.col("_found.parts"), "_in": F.col("_found.folder")})
     field = None
     for (where, ending), name in FIELDS.items():
         hit = (F.col("_in") == where) & (F.col("_parts")[2] == ending)
         field = F.when(hit, name) if field is None else field.when(hit, name)
     whole = F.size("_parts") == 3
     number = F.when(F.col("_parts")[1] == "main", -1).otherwise(F.col("_parts")[1].try_cast("int"))
-    return out.withColumns({"field": F.when(whole, field), "example_number": F.when(whole, F.col("_parts")[0].try_cast("int")), "combination_number": F.when(whole, number)}).drop("_parts", "_in")
+    return out.withColumns({"field": F.when(whole, field), "example_number": F.when(whole, F.col("_parts")[0].try_cast("int")), "combination_number": F.when(whole, number)}).drop("_found", "_parts", "_in")
 
 
 def named(files: DataFrame, file_id: str = "file_id", path: str = "path", body: str = "body") -> DataFrame:

@@ -88,7 +88,7 @@ def paper_figures(spark: SparkSession, pattern: str) -> DataFrame:
     text = F.decode("content", "UTF-8")
     meta = every.filter(F.endswith("name", F.lit(".json"))).select(F.explode(F.coalesce(F.from_json(text, f"array<{META}>"), F.array(F.from_json(text, META)))).alias("m")).select("m.*").filter("figure_id is not null").dropDuplicates(["figure_id"])
     image = every.filter(F.endswith("name", F.lit(".png"))).select(F.regexp_extract("name", r"([^/]+)\.png$", 1).alias("figure_id"), F.col("content").alias("image"))
-    rest = F.filter(F.array(F.slice("captions", 2, 2**31 - 1)), lambda a: F.size(a) > 0)
+    rest = F.filter(F.array(F.slice("captions", F.lit(2), F.greatest(F.size("captions"), F.lit(0)))), lambda a: F.size(a) > 0)
     ocr = F.transform(F.coalesce("ocr_result.ocr_result", F.array()), lambda x: x["text"])
     return image.join(meta, "figure_id").select("figure_id", F.try_element_at("captions", F.lit(1)).alias("caption"), rest.alias("mention"), ocr.alias("ocr"), "image")
 
