@@ -51,6 +51,8 @@ class _Fold(dict):
             out = ""
         elif kind == "Zs":
             out = " "
+        elif ch in _REP:
+            out = ch  # though its compatibility form may look different
         elif ch in HYPHENS:
             out = "-"
         else:
