@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfield.plans.order import running
 from inkfield.plans.skew import salted_join
 
 #: Share of each tail that is pulled in before scores are scaled.
@@ -62,10 +63,9 @@ def best(ranked: DataFrame, group: str, key: str, n: int) -> DataFrame:
 def places(ranked: DataFrame, group: str, key: str) -> DataFrame:
     """Every row with its place in the group's order (1: closest), the lower key first among ties.
 
-    Groups are cut into ranges of closeness; the rows of a range are sorted together, the ranges' counts give the offset.
+    Rows are ranked once in the order of (group, closeness, key), in ranges that cut through groups and ties of any size; a
+    group's least rank is then taken off.
     """
-    cut = ranked.withColumn("_range", F.floor((1 - F.col("closeness")) * 4096).cast("int"))
-    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offset = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    local = cut.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_range").orderBy(F.desc("closeness"), key)))
-    return local.join(offset, [group, "_range"]).select(*ranked.columns, (F.col("_at") + F.col("_before")).cast("bigint").alias("place"))
+    every = running(ranked, [F.col(group), F.desc("closeness"), F.col(key)], {"_rank": F.lit(1)})
+    first = every.groupBy(group).agg((F.min("_rank") - 1).alias("_before"))
+    return salted_join(every, first, group, F.xxhash64(key)).select(*ranked.columns, (F.col("_rank") - F.col("_before")).alias("place"))

@@ -175,7 +175,7 @@ def assign_splits(records: DataFrame, origin: DataFrame, key: str = "row_id", ex
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(example).cast("bigint").alias("_e"), F.coalesce(F.col(label).cast("string"), F.lit("?")).alias("_y")).dropDuplicates(["_k"])
     per = rows.filter("_e is not null").groupBy("_e", "_y").agg(F.count(F.lit(1)).alias("n"))
     who = groups(origin).withColumnRenamed("node", "_e")
-    per = per.join(who, "_e", "left").withColumn("component", F.coalesce("component", "_e"))
+    per = cut(per.join(who, "_e", "left").withColumn("component", F.coalesce("component", "_e")))
     lone = rows.filter("_e is null").select((-F.abs(F.xxhash64("_k")) - 1).alias("component"), "_y", F.lit(1).cast("bigint").alias("n"))
     tally = per.select("component", "_y", "n").unionByName(lone).groupBy("component", "_y").agg(F.sum("n").alias("n"))
     comps = cut(tally.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "_y")).getField("_y").alias("label")))
@@ -191,7 +191,7 @@ def assign_splits(records: DataFrame, origin: DataFrame, key: str = "row_id", ex
     names = F.array(*(F.lit(n) for n in proportions))
     split = F.element_at(names, (F.size(F.filter("upto", lambda u: u <= F.col("before"))) + 1).cast("int"))
     given = ordered.join(F.broadcast(quotas), ["shape", "label"]).select("component", split.alias("split"))
-    whole = per.select("_e", "component").distinct().join(given, "component")
+    whole = salted_join(per.select("_e", "component").distinct(), given, "component", F.xxhash64("_e")).select("_e", "component", "split")
     out = salted_join(rows.filter("_e is not null"), whole, "_e", F.xxhash64("_k")).select("_k", "_e", "component", "split")
     alone = rows.filter("_e is null").withColumn("component", -F.abs(F.xxhash64("_k")) - 1).join(given, "component").select("_k", "_e", F.lit(None).cast("bigint").alias("component"), "split")
     return out.unionByName(alone).select(F.col("_k").alias(key), F.col("_e").alias(example), "component", "split")
