@@ -13,9 +13,11 @@ from inkfield.functions import vectors as V
 from inkfield.operators import difficulty as D
 from inkfield.operators import evaluation as E
 from inkfield.operators import programs as P
+from inkfield.operators import reuse as R
 from inkfield.operators import search as H
 from inkfield.plans.order import attach
 from inkfield.session import table
+from inkfield.sources.files import corpus_sample
 
 
 def rows(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -310,6 +312,36 @@ def image_shapes(spark, folder):
     return r.select("row_id", "d.height", "d.width", "d.colours", F.round("d.ink", 6).alias("ink"), (F.col("d.colours") > 1).alias("drawn"))
 
 
+def image_errors_once(spark, folder):
+    """Masked error of image pairs, each distinct pair compared once."""
+    r = rows(spark, folder, "original_image", "generated_image")
+    m = R.by_distinct_input(r, ["original_image", "generated_image"], R.metric("image")(F.col("original_image"), F.col("generated_image")), "m", "row_id")
+    return m.select("row_id", F.round("m.rmse", 6).alias("rmse"))
+
+
+def known_prefixes(spark, folder):
+    """How many leading lines of each decomposed program are a whole program of the table, less its last line."""
+    d = table(spark, folder, "decomposed").groupBy("id").agg(F.min("code").alias("code")).select("id", F.split("code", "\n", -1).alias("lines"))
+    known = d.filter(F.size("lines") > 3).select(F.slice("lines", F.lit(1), F.size("lines") - 3).alias("lines"))
+    return R.longest_known_prefix(d, known, "id", "lines")
+
+
+def squared_images(spark, folder):
+    """Original images trimmed to their ink, squared and scaled to four pixels; the share of ink left."""
+    r = rows(spark, folder, "original_image").select("row_id", I.square_column(F.col("original_image"), 4).alias("p"))
+    return r.select("row_id", I.describe_column(F.col("p")).alias("d")).select("row_id", "d.height", "d.width", F.round("d.ink", 6).alias("ink"))
+
+
+def corpus_sampled(spark, folder):
+    """A thousand original codes by hash order."""
+    r = rows(spark, folder, "original_code").filter("original_code is not null and original_code <> ''")
+    return corpus_sample(r.select("row_id"), "row_id", 1000)
+
+
+R.register_metric("image", I.compare_column)
+R.register_metric("sequence", Q.sequence_ratio_column)
+R.register_metric("edit_distance", Q.edit_distance_column)
+
 _U = "u AS (SELECT DISTINCT ON (row_id) * FROM upload_data)"
 _TREE = "t AS (SELECT event_id // 512 AS tree, event_id % 512 AS node, CASE WHEN event_id % 512 > 1 THEN (event_id % 512) // 2 END AS parent, value FROM events WHERE event_id % 512 > 0)"
 _UP = f"WITH RECURSIVE {_TREE}, up AS (SELECT tree, node AS here, value FROM t UNION ALL SELECT tree, here // 2, value FROM up WHERE here > 1), s AS (SELECT tree, here AS node, count(*) AS visits, sum(value) AS win FROM up GROUP BY ALL)"
@@ -319,7 +351,7 @@ _PARTS = r"el AS (SELECT id, list_filter(list_transform(string_split(min(code),
 
 QUERIES = {
     f.__name__: f
-    for f in (winsor_mean, best_candidate, sampling_efficiency, throughput, model_means, minmax_scores, shard_interleave, batches_of, positional_align, stop_prefix, group_sample, head_and_share, resume_anti, existing_semi, metadata_join, paired_files, pair_scores, corpus_union, cardinality_guard, distinct_pairs, shard_size, curriculum_thresholds, curriculum_visible, label_masks, padded_rows, checkpoint_marks, element_dependencies, prefix_enumeration, subset_enumeration, program_rebuilt, tree_backprop, tree_depths, uct_scores, best_path, visit_draw, rollout_rewards, cosine_pairs, transport_pairs, kernel_distance, pixel_error, image_measures, image_shapes)
+    for f in (winsor_mean, best_candidate, sampling_efficiency, throughput, model_means, minmax_scores, shard_interleave, batches_of, positional_align, stop_prefix, group_sample, head_and_share, resume_anti, existing_semi, metadata_join, paired_files, pair_scores, corpus_union, cardinality_guard, distinct_pairs, shard_size, curriculum_thresholds, curriculum_visible, label_masks, padded_rows, checkpoint_marks, element_dependencies, prefix_enumeration, subset_enumeration, program_rebuilt, tree_backprop, tree_depths, uct_scores, best_path, visit_draw, rollout_rewards, cosine_pairs, transport_pairs, kernel_distance, pixel_error, image_measures, image_shapes, image_errors_once, known_prefixes, squared_images, corpus_sampled)
 }
 SQL = {
     "winsor_mean": f"""WITH {_U}, o AS (SELECT generator, code_score::DOUBLE AS x, row_number() OVER (PARTITION BY generator ORDER BY code_score) AS r, count(*) OVER (PARTITION BY generator) AS n FROM u WHERE code_score IS NOT NULL AND NOT isnan(code_score)),
@@ -364,6 +396,8 @@ SQL = {
     "cosine_pairs": "WITH p AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(c, 4) + 0 AS cosine, round(1 - (1 - c), 4) + 0 AS dream FROM p",
     "pixel_error": "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor((x::DOUBLE + 1) * 127.5), 0), 255)) AS v FROM embeddings), p AS (SELECT a.vec_id, unnest(a.v) AS x, unnest(b.v) AS y FROM g a JOIN g b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(coalesce(sqrt(avg(((x - y) / 255) ** 2) FILTER (x <= 250 OR y <= 250)), 0), 6) AS rmse FROM p GROUP BY 1",
 }
+SQL["known_prefixes"] = """WITH d AS (SELECT id, string_split(min(code), chr(10)) AS l FROM decomposed GROUP BY id), k AS (SELECT DISTINCT l[1:len(l) - 3] AS l FROM d WHERE len(l) > 3),
+  p AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS n FROM d) SELECT d.id, coalesce(m.depth, 0) AS depth FROM d LEFT JOIN (SELECT p.id, max(n) AS depth FROM p JOIN k ON p.l[1:n] = k.l GROUP BY p.id) m USING (id)"""
 from inkfield.queries.difficulty import _TABLE  # noqa: E402
 
 SQL["curriculum_visible"] = _TABLE + ", e AS (SELECT unnest(range(8)) AS epoch), v AS (SELECT epoch, greatest(1, floor(least(1, sqrt((epoch + 1) * (1 - 0.09::DOUBLE) / 8 + 0.09::DOUBLE)) * (SELECT count(*) FROM t)))::BIGINT AS visible FROM e) SELECT epoch, visible, count(*) AS rows, round(max(combined), 6) AS hardest FROM v JOIN t ON rank <= visible GROUP BY ALL"
