@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.functions.similarity import difficulty
@@ -81,6 +81,11 @@ def extremes(table: DataFrame, n: int = 50) -> DataFrame:
 
 
 def is_sorted(rows: DataFrame, order: list[str], value: str, partition: list[str]) -> DataFrame:
-    """Per partition: whether `value` never falls along the order."""
-    before = F.lag(value).over(Window.partitionBy(*partition).orderBy(*order))
-    return rows.withColumn("_up", before.isNull() | (F.col(value) >= before)).groupBy(*partition).agg(F.bool_and("_up").alias("sorted"))
+    """Per partition: whether `value` never falls along the order, which must be total; nulls come first.
+
+    It doesn't if the order by (value, order) is the same: two ranks that cut through large partitions, compared row by row.
+    """
+    keys = [F.col(c) for c in (*partition, *order)]
+    once = ranked(rows.select(*dict.fromkeys((*partition, *order, value))), keys, "_by_order")
+    both = ranked(once, [*(F.col(c) for c in partition), F.col(value), *(F.col(c) for c in order)], "_by_value")
+    return both.groupBy(*partition).agg(F.bool_and(F.col("_by_order") == F.col("_by_value")).alias("sorted"))

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfield.plans.order import ranked
+from inkfield.plans.order import group_key, ranked, running_in_groups
+from inkfield.plans.skew import salted_join
 
 
 def winsorised_mean(rows: DataFrame, group: list[str], value: str, share: float = 0.05) -> DataFrame:
     """Mean per group after the k = int(share n) lowest and highest values are set to the nearest one kept.
 
-    Values are counted first (one row per distinct value of a group, combined before the shuffle); the sorted pass sees those.
-    Nulls are left out; a group without values has no row.
+    Values are counted first (one row per distinct value of a group, combined before the shuffle); the two bounds are found on
+    running counts that cut through large groups. Nulls are left out; a group without values has no row.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    placed = counts.withColumn("_upto", F.sum("_c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(by))
-    k = F.floor(F.col("_n") * share)
-    at = placed.withColumns({"_k": k, "_lo": F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k), F.col(value))).over(by), "_hi": F.max(F.when((F.col("_upto") >= F.col("_n") - k) & (F.col("_upto") - F.col("_c") < F.col("_n") - k), F.col(value))).over(by)})
+    placed = running_in_groups(counts, group, [F.col(value)], F.col("_c"), "_upto").withColumn("_g", group_key(group))
+    k = F.floor(F.col("_upto_all") * share)
+    low = (F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k)
+    high = (F.col("_upto") >= F.col("_upto_all") - k) & (F.col("_upto") - F.col("_c") < F.col("_upto_all") - k)
+    bounds = placed.groupBy("_g").agg(F.max(F.when(low, F.col(value))).alias("_lo"), F.max(F.when(high, F.col(value))).alias("_hi"))
+    at = salted_join(placed, bounds, "_g", F.xxhash64(value))
     return at.groupBy(*group).agg((F.sum(F.least(F.greatest(value, "_lo"), "_hi") * F.col("_c")) / F.sum("_c")).alias("mean"))
 
 
@@ -54,7 +57,7 @@ def batched(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
 def minmax(rows: DataFrame, group: str, value: str) -> DataFrame:
     """With `norm`: value scaled to 0..1 over its group; 0 where the range is 0. Joined, not windowed: one row per group."""
     ends = rows.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return rows.join(ends, group).withColumn("norm", F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+    return salted_join(rows, ends, group, F.xxhash64(value)).withColumn("norm", F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
 
 
 def until_stop(rollouts: DataFrame, item: str, order: str, success: Column, elapsed: Column, timeout: float | None, cap: float) -> DataFrame:

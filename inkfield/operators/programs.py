@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkfield.functions.text import DEPENDENCY_COORDINATES, DEPENDENCY_NAMES
 
 #: A program of more elements isn't asked for all of its subsets.
-MOST_ELEMENTS = 16
+MOST_ELEMENTS = 12
 
 
 def elements(programs: DataFrame, key: str, parts: Column) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfield.plans.order import running_in_groups
 from inkfield.plans.shared import cut
 
 #: Fixed value: weight of the exploration term.
@@ -88,6 +89,5 @@ def descent(scored: DataFrame, tree: str, node: str, parent: str, score: str, ma
 
 def draw_by_visits(children: DataFrame, group: str, node: str, visits: str, draw: Column) -> DataFrame:
     """Per group the first child whose cumulative share of visits reaches `draw` (0..1)."""
-    w = Window.partitionBy(group)
-    share = F.sum(visits).over(w.orderBy(node).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(visits).over(w)
-    return children.withColumn("_s", share).filter(F.col("_s") >= draw).groupBy(group).agg(F.min(node).alias(node))
+    placed = running_in_groups(children, [group], [F.col(node)], F.col(visits), "_upto")
+    return placed.filter(F.col("_upto") / F.col("_upto_all") >= draw).groupBy(group).agg(F.min(node).alias(node))

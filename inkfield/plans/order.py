@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfield.plans.shared import cut
+from inkfield.plans.skew import salted_join
 
 
 def attach(df: DataFrame, figures: DataFrame) -> DataFrame:
@@ -37,6 +38,20 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     return running(df, order, {name: F.lit(1)})
 
 
+def group_key(columns: list[str]) -> Column:
+    """One column that tells groups apart, nulls included."""
+    return F.to_json(F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in columns))) if columns else F.lit("")
+
+
+def running_in_groups(df: DataFrame, group: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
+    """df with `name`, the sum of `amount` over the rows of its group up to and including this one, and `name`_all, over all of
+    them (BIGINT). Sums run once over the order of (group, order), in ranges that cut through groups of any size; what came
+    before a group is then taken off."""
+    every = running(df.withColumns({"_g": group_key(group), "_a": amount.cast("bigint")}), [F.col("_g"), *order], {"_r": F.col("_a")})
+    ends = every.groupBy("_g").agg(F.min(F.col("_r") - F.col("_a")).alias("_base"), F.sum("_a").alias(f"{name}_all"))
+    return salted_join(every, ends, "_g", F.xxhash64("_r")).withColumn(name, F.col("_r") - F.col("_base")).drop("_g", "_a", "_r", "_base")
+
+
 def quantiles(ranked_df: DataFrame, value: str, shares: list[float], rank: str = "rank") -> DataFrame:
     """One row of q0, q1, ...: exact quantiles of `value`, by which the table is ranked, with linear interpolation. Only the
     two neighbours of each are read from the ranked rows."""

@@ -202,7 +202,7 @@ _SPLIT = "filter(transform(split(code, '\\n', -1), x -> trim(x)), x -> startswit
 
 
 def _elements(spark, folder):
-    """Drawing lines of the decomposed programs, at most 40 a program (the rest are counted, not paired)."""
+    """Drawing lines of the decomposed programs."""
     d = table(spark, folder, "decomposed").groupBy("id").agg(F.min("code").alias("code"))
     return d.select("id", F.expr(_SPLIT).alias("parts"))
 
@@ -218,9 +218,8 @@ def prefix_enumeration(spark, folder):
 
 
 def subset_enumeration(spark, folder):
-    """Valid subsets of the programs of at most eight drawing lines, under strict dependencies."""
-    d = _elements(spark, folder).filter(F.size("parts").between(1, 8))
-    parts = P.elements(d, "id", F.col("parts"))
+    """Valid subsets of each program's drawing lines, under strict dependencies, up to the operator's limit of lines."""
+    parts = P.elements(_elements(spark, folder), "id", F.col("parts"))
     return P.valid_subsets(parts, P.dependencies(parts, "id", strict=True), "id").groupBy("id").agg(F.count(F.lit(1)).alias("subsets"))
 
 

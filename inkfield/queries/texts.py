@@ -113,13 +113,10 @@ def final_difficulty(spark, folder):
 
 
 def text_flatten(spark, folder):
-    """Per paper: its captions, mentions and OCR lines as one text, where it has fewer than 200 documents."""
-    docs = table(spark, folder, "documents").filter("paper_key is not null").select("paper_key", "doc_id", "text", "source")
-    few = docs.groupBy("paper_key").agg(F.count(F.lit(1)).alias("n")).filter("n < 200").select("paper_key")
-    of = lambda *s: F.transform(F.array_sort(F.collect_list(F.when(F.col("source").isin(*s), F.struct("doc_id", "text")))), lambda x: x["text"])
-    by = docs.join(few, "paper_key").groupBy("paper_key").agg(of("captions_a", "captions_b").alias("c"), of("mentions").alias("m"), of("ocr_lines").alias("o"))
-    flat = T.flatten_text(F.array_join(F.filter("c", lambda x: x.isNotNull() & (x != "")), " "), F.array("m"), F.col("o"))
-    return by.select("paper_key", F.md5(flat).alias("text"), F.length(flat).cast("bigint").alias("n"))
+    """Each document as one text: its first line as caption, the second as a mention, the others as OCR lines."""
+    docs = table(spark, folder, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    flat = T.flatten_text(F.try_element_at("l", F.lit(1)), F.array(F.slice("l", 2, 1)), F.slice("l", F.lit(3), F.greatest(F.size("l"), F.lit(0))))
+    return docs.select("doc_id", F.md5(F.when(F.col("l").isNotNull(), flat).otherwise("")).alias("text"))
 
 
 def text_filter(spark, folder):
@@ -268,10 +265,7 @@ SQL = {
     "corpus_bleu": _BLEU + f", g AS (SELECT generator, {_SUMS.format(over='')} FROM w GROUP BY generator) SELECT generator, hyp, ref, {_SCORE} AS bleu FROM g",
     "running_bleu": _BLEU + f", g AS (SELECT row_id, {_SUMS.format(over=' OVER (ORDER BY row_id)')} FROM w) SELECT row_id, hyp AS r_hyp, ref AS r_ref, {_SCORE} AS bleu FROM g",
     "text_filter": f"SELECT source, count(*) AS before, count(*) FILTER (text IS NOT NULL AND text <> '' AND len({_words_sql('text')}) <= 100 AND NOT contains(text, '<patch>')) AS after FROM documents GROUP BY source",
-    "text_flatten": """WITH few AS (SELECT paper_key FROM documents WHERE paper_key IS NOT NULL GROUP BY 1 HAVING count(*) < 200),
-      d AS (SELECT paper_key, doc_id, text, CASE WHEN source IN ('captions_a', 'captions_b') THEN 1 WHEN source = 'mentions' THEN 2 WHEN source = 'ocr_lines' THEN 3 END AS k FROM documents JOIN few USING (paper_key)),
-      t AS (SELECT paper_key, coalesce(string_agg(text, ' ' ORDER BY k, doc_id) FILTER (k IS NOT NULL AND text <> ''), '') AS t FROM d GROUP BY 1)
-      SELECT paper_key, md5(t) AS text, length(t) AS n FROM t""",
+    "text_flatten": "SELECT doc_id, md5(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''), ' ')) AS text FROM documents",
     "error_maps": _LOG + "SELECT f.doc_id, f.engine, f.attempt, f.n, f.first, coalesce((SELECT max_by(message, i) FROM m WHERE m.doc_id = f.doc_id AND m.engine = f.engine AND m.attempt = f.attempt AND m.line = f.first), 'Fatal error occurred, no output PDF file produced!') AS message FROM f",
     "best_engine": _LOG + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN status = 0 THEN 2147483647 ELSE first END DESC, attempt, engine DESC) AS rn FROM f) SELECT doc_id, engine, attempt, status FROM r WHERE rn = 1",
     "validity": "SELECT engine, count(*) AS attempts, count(*) FILTER (status = 0) AS strict, count(*) FILTER (coalesce(has_image, false)) AS lenient, count(*) FILTER (status <> 0 AND coalesce(has_image, false)) AS with_errors FROM (SELECT DISTINCT * FROM compile_logs) GROUP BY engine",
