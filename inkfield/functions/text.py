@@ -77,7 +77,7 @@ FEATURES = {"command": commands, "coordinate": coordinates, "style": styles, "ed
 def ngrams(tokens: Column, n: int, left: str | None = None, right: str | None = None) -> Column:
     """Array of n-grams (arrays); with `left`/`right`, n-1 of these pads stand before and after. Fewer than n tokens: none."""
     pads = lambda p: F.array_repeat(F.lit(p), n - 1)
-    t = F.concat(*([pads(left)] if left is not None else []), tokens, *([pads(right)] if right is not None else []))
+    t = tokens if left is None and right is None else F.concat(*([pads(left)] if left is not None else []), tokens, *([pads(right)] if right is not None else []))
     last = F.size(t) - n + 1
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(t, i, n))).otherwise(F.slice(F.array(t), 2, 1))
 
