@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfield.plans.shared import cut
+
 #: A length is a spike where at least SPIKE_ROWS values of a source have it, SPIKE_TIMES as many as lengths nearby have on average.
 SPIKE_ROWS, SPIKE_TIMES, NEARBY = 8, 8.0, 12
 #: Commands that are complete without a semicolon.
@@ -108,16 +110,16 @@ def detect(df: DataFrame, key: str = "row_id", source: str = "generator", text:
     others broke off on the way ('transfer'). A whole value is never flagged for its length alone. Null sources are a source
     of their own. Empty tables give no rows.
     """
-    found = scan(df, key, source, text)
+    found = cut(scan(df, key, source, text))  # no texts, just their lengths and what is open
     at = spikes(found, source)
     sides = {u: at.filter(F.col("unit") == u).select(F.col(source).alias(f"_{u}_s"), F.col("length").alias(f"_{u}"), F.lit(True).alias(f"_{u}_hit")) for u in ("chars", "bytes")}
     out = found.filter("open <> ''")
     for u, side in sides.items():
         out = out.join(side, F.col(source).eqNullSafe(F.col(f"_{u}_s")) & (F.col(u) == F.col(f"_{u}")), "left")
     flagged = out.withColumn("at_spike", F.coalesce("_chars_hit", F.lit(False)) | F.coalesce("_bytes_hit", F.lit(False)))
-    cut = flagged.select(key, source, "chars", "bytes", "open", "at_spike", F.lit(True).alias("cut"), F.when(F.col("at_spike"), "field_limit").otherwise("transfer").alias("cause"))
+    broken = flagged.select(key, source, "chars", "bytes", "open", "at_spike", F.lit(True).alias("cut"), F.when(F.col("at_spike"), "field_limit").otherwise("transfer").alias("cause"))
     whole = found.filter("open = ''").select(key, source, "chars", "bytes", "open", F.lit(False).alias("at_spike"), F.lit(False).alias("cut"), F.lit(None).cast("string").alias("cause"))
-    return cut.unionByName(whole)
+    return broken.unionByName(whole)
 
 
 def rates(detected: DataFrame, source: str) -> DataFrame:
