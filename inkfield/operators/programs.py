@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.functions.text import DEPENDENCY_COORDINATES, DEPENDENCY_NAMES
 
-#: A program of more elements isn't asked for all of its subsets.
-MOST_ELEMENTS = 12
+#: Bits of a mask in a BIGINT. Masks of more elements are refused; `subset_counts` counts those of any number.
+MOST_ELEMENTS = 63
+#: Masks held at once by a task.
+CHUNK = 10_000
 
 
 def elements(programs: DataFrame, key: str, parts: Column) -> DataFrame:
@@ -42,47 +46,79 @@ def prefixes(programs: DataFrame, key: str, parts: Column, most: int = 10, skip:
     return taken.filter(~F.contains(F.element_at("_p", F.col("size")), F.lit(skip))).select(key, "size", F.slice("_p", F.lit(1), F.col("size")).alias("prefix"))
 
 
-def subset_validity(n: int, edges: list[tuple[int, int]]) -> list[int]:
-    """Bit masks of the non-empty subsets of 0..n-1 that are weakly connected and without a cycle under the edges."""
-    if n > MOST_ELEMENTS:
-        raise ValueError(f"at most {MOST_ELEMENTS} elements")
-    near, into = [0] * n, [0] * n
+def grow_subsets(n: int, edges: list[tuple[int, int]]) -> Iterator[int]:
+    """Bit masks, each once, of the non-empty subsets of 0..n-1 that are weakly connected and without a cycle under the edges.
+
+    A subset grows by one neighbour at a time from its lowest element; neighbours passed over are barred for good, so no
+    subset comes up twice. What holds a cycle isn't grown, as all that contains it holds one too. So the work follows the
+    number of valid subsets, not 2**n; that number itself may double with each element of a dense program.
+    """
+    near, onto = [0] * n, [0] * n
     for a, b in edges:
         if a != b:
             near[a] |= 1 << b
             near[b] |= 1 << a
-            into[b] |= 1 << a
-    out = []
-    for mask in range(1, 1 << n):
-        reach = mask & -mask
-        while True:
-            more = reach
-            for i in range(n):
-                if reach >> i & 1:
-                    more |= near[i] & mask
-            if more == reach:
-                break
-            reach = more
-        left = mask if reach == mask else 0
-        while left:
-            free = [i for i in range(n) if left >> i & 1 and not into[i] & left]
-            if not free:
-                break
-            for i in free:
-                left &= ~(1 << i)
-        if reach == mask and not left:
-            out.append(mask)
-    return out
+            onto[a] |= 1 << b
+
+    def cyclic(mask: int, i: int) -> bool:
+        """Whether element i, added last, is on a cycle within the mask."""
+        seen = todo = onto[i] & mask
+        while todo:
+            bit = todo & -todo
+            more = onto[bit.bit_length() - 1] & mask & ~seen
+            seen |= more
+            todo = todo & ~bit | more
+        return bool(seen >> i & 1)
+
+    for first in range(n):
+        barred = (1 << (first + 1)) - 1
+        stack = [(1 << first, near[first] & ~barred, barred)]
+        while stack:
+            mask, border, barred = stack.pop()
+            yield mask
+            while border:
+                bit = border & -border
+                border ^= bit
+                barred |= bit
+                i = bit.bit_length() - 1
+                if not cyclic(mask | bit, i):
+                    stack.append((mask | bit, border | near[i] & ~barred, barred))
 
 
-def valid_subsets(parts: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, mask) of the valid subsets of each program of at most MOST_ELEMENTS elements; larger programs have none."""
-    sizes = parts.groupBy(key).agg((F.max("pos") + 1).alias("n")).filter(F.col("n") <= MOST_ELEMENTS)
+def subset_validity(n: int, edges: list[tuple[int, int]]) -> list[int]:
+    """The masks of `grow_subsets` in order."""
+    if n > MOST_ELEMENTS:
+        raise ValueError(f"at most {MOST_ELEMENTS} elements")
+    return sorted(grow_subsets(n, edges))
+
+
+def _with_edges(parts: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, n, e): each program's number of elements and its edges, null where it has none."""
+    sizes = parts.groupBy(key).agg((F.max("pos") + 1).alias("n"))
     links = edges.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias("e"))
+    return sizes.join(links, key, "left")
+
 
+def valid_subsets(parts: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, mask) of the valid subsets of each program. A program of more than MOST_ELEMENTS elements raises an error."""
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            ids, kind = frame.column(0), frame.schema.field(0).type
+            large = [k for k, n in zip(ids.to_pylist(), frame.column(1).to_pylist(), strict=True) if n > MOST_ELEMENTS]
+            if large:
+                raise ValueError(f"masks hold at most {MOST_ELEMENTS} elements: {large[:5]}")
+            found = ((k, m) for k, n, e in zip(ids.to_pylist(), frame.column(1).to_pylist(), frame.column(2).to_pylist(), strict=True) for m in grow_subsets(n, [(z["src"], z["dst"]) for z in e or []]))
+            while some := list(islice(found, CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], kind), pa.array([m for _, m in some], pa.int64())], [key, "mask"])
+
+    all_of = _with_edges(parts, edges, key).select(key, "n", "e")
+    return all_of.mapInArrow(batches, f"`{key}` {all_of.schema[key].dataType.simpleString()}, mask bigint")
+
+
+def subset_counts(parts: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, subsets): the number of valid subsets of each program, whatever its number of elements."""
     def batches(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for n, e in frames:
-            yield pd.Series([subset_validity(int(x), [] if y is None else [(int(z["src"]), int(z["dst"])) for z in y]) for x, y in zip(n, e, strict=True)])
+            yield pd.Series([sum(1 for _ in grow_subsets(int(x), [] if y is None else [(int(z["src"]), int(z["dst"])) for z in y])) for x, y in zip(n, e, strict=True)], dtype="int64")
 
-    few = sizes.join(links, key, "left")
-    return few.select(key, F.explode(F.pandas_udf(batches, "array<bigint>")(F.col("n"), F.col("e"))).alias("mask"))
+    return _with_edges(parts, edges, key).select(key, F.pandas_udf(batches, "bigint")(F.col("n"), F.col("e")).alias("subsets"))

@@ -218,9 +218,9 @@ def prefix_enumeration(spark, folder):
 
 
 def subset_enumeration(spark, folder):
-    """Valid subsets of each program's drawing lines, under strict dependencies, up to the operator's limit of lines."""
+    """Number of valid subsets of each program's drawing lines, under strict dependencies, for programs of any length."""
     parts = P.elements(_elements(spark, folder), "id", F.col("parts"))
-    return P.valid_subsets(parts, P.dependencies(parts, "id", strict=True), "id").groupBy("id").agg(F.count(F.lit(1)).alias("subsets"))
+    return P.subset_counts(parts, P.dependencies(parts, "id", strict=True), "id")
 
 
 def program_rebuilt(spark, folder):

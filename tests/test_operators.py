@@ -81,6 +81,35 @@ def test_programs(spark):
         P.subset_validity(P.MOST_ELEMENTS + 1, [])
 
 
+def test_subsets_of_any_size(spark):
+    rng = random.Random(6)
+
+    def valid(n, edges, mask):
+        held = [i for i in range(n) if mask >> i & 1]
+        inner = [(a, b) for a, b in edges if a != b and a in held and b in held]
+        reach = {held[0]}
+        for _ in held:
+            reach |= {x for a, b in inner for x in (a, b) if a in reach or b in reach}
+        left = set(held)
+        for _ in held:
+            left -= {i for i in left if not any(b == i and a in left for a, b in inner)}
+        return len(reach) == len(held) and not left
+
+    for n in [*range(8), 7, 7]:
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))] if n else []
+        found = list(P.grow_subsets(n, edges))
+        assert sorted(found) == [m for m in range(1, 1 << n) if valid(n, edges, m)] and len(set(found)) == len(found)
+    # A chain of 20 lines has a subset for each of its runs; lines without a dependency are subsets of their own.
+    d = spark.createDataFrame([("chain", [f"\\draw (n{i}) -- (n{i + 1});" for i in range(20)]), ("plain", ["\\draw x;"] * 70), ("few", ["\\draw x;"] * 13), ("none", [])], "id string, e array<string>")
+    parts = P.elements(d, "id", F.col("e"))
+    strict = P.dependencies(parts, "id", strict=True)
+    assert {r.id: r.subsets for r in P.subset_counts(parts, strict, "id").collect()} == {"chain": 210, "plain": 70, "few": 13}
+    fits = P.valid_subsets(parts.filter("id <> 'plain'"), strict, "id").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in fits} == {"chain": 210, "few": 13}
+    with pytest.raises(Exception, match="at most 63 elements"):
+        P.valid_subsets(parts, strict, "id").collect()
+
+
 def test_bleu(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice("abcd") for _ in range(rng.randrange(0, 15))], [rng.choice("abcd") for _ in range(rng.randrange(1, 15))]) for i in range(30)]
