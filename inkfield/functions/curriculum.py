@@ -55,9 +55,10 @@ def label_mask(ids: Column, patch: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(IGNORED), end), F.slice(ids, end + 1, F.greatest(F.size(ids) - end, F.lit(0))))
 
 
-def with_patches(ids: Column, patch: int, n: int, limit: int) -> Column:
-    """n patch tokens before the ids, cut to `limit`."""
-    return F.slice(F.concat(F.array_repeat(F.lit(patch), n), ids), 1, limit)
+def with_patches(ids: Column, patch: int, n: int, limit: int | None = None) -> Column:
+    """n patch tokens before the ids, cut to `limit`, if there is one."""
+    full = F.concat(F.array_repeat(F.lit(patch), n), ids)
+    return full if limit is None else F.slice(full, 1, limit)
 
 
 def padded(ids: Column, longest: Column, pad: int, multiple: int = 8) -> Column:

@@ -179,14 +179,22 @@ def curriculum_visible(spark, folder):
     return seen.groupBy("epoch", "visible").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("combined_score"), 6).alias("hardest"))
 
 
-def label_masks(spark, folder):
-    """Labels of word-length ids behind two patch tokens."""
+def _labels(spark, folder, limit=None):
     ids = F.transform(T.words(F.col("text")), lambda w: F.length(w).cast("int"))
-    full = C.with_patches(ids, 0, 2, 64)
-    docs = table(spark, folder, "documents").select("doc_id", full.alias("ids"))
+    docs = table(spark, folder, "documents").select("doc_id", C.with_patches(ids, 0, 2, limit).alias("ids"))
     return docs.select("doc_id", F.array_join(C.label_mask(F.col("ids"), F.lit(0)).cast("array<string>"), " ").alias("labels"))
 
 
+def label_masks(spark, folder):
+    """Labels of word-length ids behind two patch tokens, the first 64 ids only, as in its SQL."""
+    return _labels(spark, folder, 64)
+
+
+def label_masks_whole(spark, folder):
+    """Labels of all word-length ids behind two patch tokens."""
+    return _labels(spark, folder)
+
+
 def padded_rows(spark, folder):
     """Length of each document's ids after padding to its batch of 16, in key order."""
     docs = E.batched(table(spark, folder, "documents").select("doc_id", "text"), [F.col("doc_id")], 16).withColumn("ids", F.transform(T.words(F.col("text")), lambda w: F.length(w).cast("int")))
@@ -350,7 +358,7 @@ _PARTS = r"el AS (SELECT id, list_filter(list_transform(string_split(min(code),
 
 QUERIES = {
     f.__name__: f
-    for f in (winsor_mean, best_candidate, sampling_efficiency, throughput, model_means, minmax_scores, shard_interleave, batches_of, positional_align, stop_prefix, group_sample, head_and_share, resume_anti, existing_semi, metadata_join, paired_files, pair_scores, corpus_union, cardinality_guard, distinct_pairs, shard_size, curriculum_thresholds, curriculum_visible, label_masks, padded_rows, checkpoint_marks, element_dependencies, prefix_enumeration, subset_enumeration, program_rebuilt, tree_backprop, tree_depths, uct_scores, best_path, visit_draw, rollout_rewards, cosine_pairs, transport_pairs, kernel_distance, pixel_error, image_measures, image_shapes, image_errors_once, known_prefixes, squared_images, corpus_sampled)
+    for f in (winsor_mean, best_candidate, sampling_efficiency, throughput, model_means, minmax_scores, shard_interleave, batches_of, positional_align, stop_prefix, group_sample, head_and_share, resume_anti, existing_semi, metadata_join, paired_files, pair_scores, corpus_union, cardinality_guard, distinct_pairs, shard_size, curriculum_thresholds, curriculum_visible, label_masks, label_masks_whole, padded_rows, checkpoint_marks, element_dependencies, prefix_enumeration, subset_enumeration, program_rebuilt, tree_backprop, tree_depths, uct_scores, best_path, visit_draw, rollout_rewards, cosine_pairs, transport_pairs, kernel_distance, pixel_error, image_measures, image_shapes, image_errors_once, known_prefixes, squared_images, corpus_sampled)
 }
 SQL = {
     "winsor_mean": f"""WITH {_U}, o AS (SELECT generator, code_score::DOUBLE AS x, row_number() OVER (PARTITION BY generator ORDER BY code_score) AS r, count(*) OVER (PARTITION BY generator) AS n FROM u WHERE code_score IS NOT NULL AND NOT isnan(code_score)),
@@ -380,6 +388,7 @@ SQL = {
     "shard_size": f"WITH {_U}, b AS (SELECT generator, sum(coalesce(strlen(original_code), 0) + coalesce(octet_length(original_image), 0))::BIGINT AS bytes FROM u GROUP BY 1) SELECT generator, bytes, least(greatest(bytes // 10, 1000000), 1000000000)::BIGINT AS shard FROM b",
     "curriculum_thresholds": "SELECT t AS epoch, round(least(1, pow(t * (1 - 0.3 ** 3) / 3 + 0.3 ** 3, 1 / 3.0)), 6) AS root_p, round(least(1, 0.3::DOUBLE + t * 0.7::DOUBLE / 3), 6) AS linear, round(least(1, pow(2, t * log2(1 - log2(0.3)) / 3 + log2(0.3))), 6) AS geometric, round(least(1, 0.3 * pow(1 / 0.3, t / 3.0)), 6) AS geometric_exact, round(least(1, (floor(t * 5 / 3.0) + 1) / 5::DOUBLE), 6) AS baby_step FROM (SELECT unnest(range(6)) AS t)",
     "label_masks": f"WITH {_DOCS}, i AS (SELECT doc_id, ([0, 0] || list_transform(w, lambda x: length(x)::INT))[1:64] AS ids FROM d) SELECT doc_id, array_to_string(list_transform(ids, lambda x, j: CASE WHEN j <= 2 THEN -100 ELSE x END), ' ') AS labels FROM i",
+    "label_masks_whole": f"WITH {_DOCS}, i AS (SELECT doc_id, [0, 0] || list_transform(w, lambda x: length(x)::INT) AS ids FROM d) SELECT doc_id, array_to_string(list_transform(ids, lambda x, j: CASE WHEN j <= 2 THEN -100 ELSE x END), ' ') AS labels FROM i",
     "padded_rows": f"WITH {_DOCS}, b AS (SELECT doc_id, len(w) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM d) SELECT doc_id, (ceil(max(n) OVER (PARTITION BY batch) / 8.0) * 8)::BIGINT AS n, batch FROM b",
     "checkpoint_marks": "SELECT s AS step FROM (SELECT unnest(range(1, 201)) AS s) WHERE s % 50 IN (12, 25, 38)",
     "element_dependencies": f"""WITH {_PARTS}, e AS (SELECT id, unnest(range(len(parts))) AS pos, unnest(parts) AS el FROM el),

@@ -96,6 +96,14 @@ def test_labels(spark):
     assert C.accumulation(256, 2, 4) == 32
 
 
+def test_labels_of_whole_documents(spark, tmp_path):
+    from inkfield.queries import catalogue
+
+    spark.createDataFrame([(1, "ab " * 300), (2, None), (3, "abc")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels.split() for r in catalogue.QUERIES["label_masks_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ["-100"] * 2 + ["2"] * 300, 2: ["-100"] * 2, 3: ["-100"] * 2 + ["3"]}
+
+
 def test_sequences():
     assert Q.option_block("[a={[b]},c] x") == "[a={[b]},c]" and Q.option_block(" [a]") == "[a]" and Q.option_block("x") == "" == Q.option_block("  ")
     assert Q.statements("\\draw (0,0);\n\\begin{scope}\n\\draw (1,1);\n\\end{scope}\nx") == ["\\draw (0,0);", "\\begin{scope}\n\\draw (1,1);\n\\end{scope}", "x"]
