@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfield.llm import lookalike, mixing, packing, ranking, repetition, splits, truncation
-from inkfield.plans.order import attach
 from inkfield.plans.shared import cut
 from inkfield.session import table
 
@@ -38,9 +37,7 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     """Records and components of each split, and its share of all records."""
-    given = cut(p2_splits(spark, folder))
-    per = given.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.approx_count_distinct("component").alias("components"))
-    return attach(per, per.agg(F.sum("records").alias("_all"))).select("split", "records", "components", F.round(F.col("records") / F.col("_all"), 6).alias("share"))
+    return splits.report(cut(p2_splits(spark, folder)))
 
 
 def _cut(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfield.plans.components import components
+from inkfield.plans.order import attach
 from inkfield.plans.shared import cut
 from inkfield.plans.skew import running_before, salted_join
 
@@ -195,3 +196,14 @@ def assign_splits(records: DataFrame, origin: DataFrame, key: str = "row_id", ex
     out = salted_join(rows.filter("_e is not null"), whole, "_e", F.xxhash64("_k")).select("_k", "_e", "component", "split")
     alone = rows.filter("_e is null").withColumn("component", -F.abs(F.xxhash64("_k")) - 1).join(given, "component").select("_k", "_e", F.lit(None).cast("bigint").alias("component"), "split")
     return out.unionByName(alone).select(F.col("_k").alias(key), F.col("_e").alias(example), "component", "split")
+
+
+def report(given: DataFrame) -> DataFrame:
+    """(split, records, components, share) of what assign_splits gives: counts of each split and its share of all records.
+
+    Components are counted exactly, a row for each of them first; a record with a null component is one by itself.
+    """
+    each = given.groupBy("split", "component").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("component").isNull(), F.col("n")).otherwise(F.lit(1))
+    per = each.groupBy("split").agg(F.sum("n").alias("records"), F.sum(parts).alias("components"))
+    return attach(per, per.agg(F.sum("records").alias("_all"))).select("split", "records", "components", F.round(F.col("records") / F.col("_all"), 6).alias("share"))

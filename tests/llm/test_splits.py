@@ -48,3 +48,15 @@ def test_splits_never_part(spark):
     again = {r.row_id: r.split for r in S.assign_splits(df.orderBy("generator"), spark.createDataFrame(origin, ORIGIN)).collect()}
     assert again == {r.row_id: r.split for r in out}
     assert S.assign_splits(df.limit(0), spark.createDataFrame([], ORIGIN)).count() == 0
+
+
+def test_report_counts_exactly(spark, tmp_path):
+    from inkfield.llm import queries
+
+    records = [(i, i // 2, "g1") for i in range(8000)] + [(9001, None, "g1"), (9002, None, None), (9003, None, "g1")]
+    spark.createDataFrame(records, "row_id bigint, example_number int, generator string").write.parquet(f"{tmp_path}/upload_data.parquet")
+    spark.createDataFrame([(1, 0, "ab_0f1", None, "c"), (2, 1, "ab_0f1", None, "c")], ORIGIN).write.parquet(f"{tmp_path}/example_origin.parquet")
+    given = queries.p2_splits(spark, str(tmp_path)).collect()
+    have = {r.split: (r.records, r.components) for r in queries.p2_report(spark, str(tmp_path)).collect()}
+    want = {s: (sum(r.split == s for r in given), len({r.component if r.component is not None else -r.row_id for r in given if r.split == s})) for s in {r.split for r in given}}
+    assert have == want and sum(c for _, c in have.values()) == 4002
