@@ -37,7 +37,7 @@ CACHE = 200_000
 _REP = {x: latin for latin, others in LOOKALIKES.items() for x in others}
 _CLASS = {latin: latin + others for latin, others in LOOKALIKES.items()}
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: A token of only these could be of another script; any other plain ASCII token has one path.
+#: A token of only these could be of another script; any other plain ASCII token is held to Latin.
 _OPEN_ASCII = re.compile(rf"(?<![A-Za-z])[{''.join(LOOKALIKES)}]+(?![A-Za-z])")
 
 
@@ -125,12 +125,21 @@ class Speller:
         return math.log((self.counts.get((a, b), 0) + 0.05) / (self.totals.get(a, 0) + 10.0))
 
     def viterbi(self, look: str) -> str:
-        """The best path through the lattice of all letters that look like those of `look` (Latin where there is a choice)."""
+        """The best path through the lattice of all letters that look like those of `look` (Latin where there is a choice).
+
+        If the letters of `look` that look like no other are of one script, so are the others wherever that script has them. Held
+        to Latin, `look` stays as it is, as in a plain ASCII text.
+        """
+        sure = {of for ch in look if ch not in _CLASS and (of := script(ch))}
+        held = sure.pop() if len(sure) == 1 else ""
+        if held == "LATIN":
+            return look
         paths: dict[tuple[str, str], tuple[float, str]] = {}
         every = sum(self.starts.values()) + len(SCRIPTS)
         for i, ch in enumerate(look):
             after: dict[tuple[str, str], tuple[float, str]] = {}
-            for option in _CLASS.get(ch, ch):
+            options = _CLASS.get(ch, ch)
+            for option in [o for o in options if held and script(o) == held] or options:
                 of = script(option)
                 if i == 0:
                     begin = math.log((self.starts.get(of, 0) + 1) / every)

@@ -80,3 +80,14 @@ def test_pairs(spark):
     got = [tuple(r) for r in L.same_look(df).collect()]
     assert set(got) == want and len(got) == len(want) and (200, 300) in want
     assert L.same_look(df.limit(0)).count() == 0
+
+
+def test_a_sure_letter_holds_its_token():
+    greek = L.Speller({("\u03f2", "\u03f2"): 10**6, ("^GREEK", "\u03f2"): 10**6, ("\u03f2", "$GREEK"): 10**6})
+    plain = "c" * 30 + "m"
+    assert greek.text(plain) == plain == greek.text("\u0441" + plain[1:]) == greek.text(plain + " \u2013")[:31]
+    assert greek.text("c" * 30) == greek.text("\u0441" * 30) == "\u03f2" * 30
+    russian = "\u0441" * 30 + "\u0436"
+    assert greek.text(russian) == russian == greek.text("c" + russian[1:])
+    script_g = L.Speller({("\u0261", "\u0261"): 10**6, ("^LATIN", "\u0261"): 10**6, ("\u0261", "m"): 10**6})
+    assert script_g.text("ggm") == "ggm" and script_g.text("\u0261\u0261m \u2013") == "ggm \u2013"
