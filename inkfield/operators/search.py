@@ -35,11 +35,17 @@ def failed_expansion(n: Column, error_line: Column, depth: Column) -> Column:
     return F.least(F.greatest(F.greatest(F.lit(1), error_line) - 1 - depth, F.lit(0)), expansion(n))
 
 
+def _closed(more: DataFrame, max_depth: int) -> None:
+    """Raises an error if there are rows left to walk after the last step."""
+    if not more.isEmpty():
+        raise RuntimeError(f"trees are not closed after {max_depth} levels")
+
+
 def back_propagated(nodes: DataFrame, tree: str, node: str, parent: str, value: str, max_depth: int = 1000) -> DataFrame:
     """(tree, node, visits, value): sums of each node and all below it.
 
     Levels are walked from the leaves' side: in every step each row climbs to its parent and is summed there first, so the
-    rows shrink with the height. Roots have a null parent.
+    rows shrink with the height. Roots have a null parent. A tree of more than `max_depth` levels below its root raises an error.
     """
     links = cut(nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p")))
     front = nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.lit(1).cast("bigint").alias("visits"), F.col(value).cast("double").alias("value"))
@@ -51,6 +57,8 @@ def back_propagated(nodes: DataFrame, tree: str, node: str, parent: str, value:
             if front.isEmpty():
                 break
         levels.append(front)
+    else:
+        _closed(front.join(links, ["t", "n"]).filter("p is not null"), max_depth)
     whole = levels[0]
     for part in levels[1:]:
         whole = whole.unionByName(part)
@@ -58,7 +66,8 @@ def back_propagated(nodes: DataFrame, tree: str, node: str, parent: str, value:
 
 
 def depths(nodes: DataFrame, tree: str, node: str, parent: str, max_depth: int = 1000) -> DataFrame:
-    """(tree, node, depth) of the nodes that hang on a root (null parent), level by level from the roots."""
+    """(tree, node, depth) of the nodes that hang on a root (null parent), level by level from the roots. More than
+    `max_depth` levels raise an error."""
     links = cut(nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p")))
     level = links.filter("p is null").select("t", "n")
     out = level.withColumn("depth", F.lit(0).cast("bigint"))
@@ -69,11 +78,14 @@ def depths(nodes: DataFrame, tree: str, node: str, parent: str, max_depth: int =
             if level.isEmpty():
                 break
         out = out.unionByName(level.withColumn("depth", F.lit(depth).cast("bigint")))
+    else:
+        _closed(links.join(level.select("t", F.col("n").alias("p")), ["t", "p"]), max_depth)
     return out.select(F.col("t").alias(tree), F.col("n").alias(node), "depth")
 
 
 def descent(scored: DataFrame, tree: str, node: str, parent: str, score: str, max_depth: int = 1000) -> DataFrame:
-    """(tree, node, step): the path from each root to a leaf that takes the best child at every node; ties to the lower node."""
+    """(tree, node, step): the path from each root to a leaf that takes the best child at every node; ties to the lower node.
+    More than `max_depth` nodes on a path raise an error."""
     child = cut(scored.filter(F.col(parent).isNotNull()).groupBy(F.col(tree).alias("t"), F.col(parent).alias("n")).agg(F.min_by(F.col(node), F.struct(-F.col(score), F.col(node))).alias("next")))
     level = scored.filter(F.col(parent).isNull()).select(F.col(tree).alias("t"), F.col(node).alias("n"))
     out = level.withColumn("step", F.lit(0).cast("bigint"))
@@ -84,6 +96,8 @@ def descent(scored: DataFrame, tree: str, node: str, parent: str, score: str, ma
             if level.isEmpty():
                 break
         out = out.unionByName(level.withColumn("step", F.lit(step).cast("bigint")))
+    else:
+        _closed(level.join(child, ["t", "n"]), max_depth)
     return out.select(F.col("t").alias(tree), F.col("n").alias(node), "step")
 
 

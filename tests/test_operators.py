@@ -67,6 +67,16 @@ def test_search(spark):
     assert u[0] == pytest.approx(1.5 + 0.6 * math.sqrt(math.log(10) / 2)) and u[1] == pytest.approx(0.6 * math.sqrt(math.log(10))) and u[2:] == (0.0, 0.4, -1.0, 2)
 
 
+def test_deep_trees(spark):
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None, 1.0) for i in range(8)], "t int, n int, p int, v double")
+    args = (chain, "t", "n", "p", "v")
+    assert {r.n: r.visits for r in H.back_propagated(*args, max_depth=7).collect()} == {i: 8 - i for i in range(8)}
+    assert H.depths(*args[:4], max_depth=8).count() == 8 == H.descent(*args, max_depth=8).count()
+    for call in (lambda: H.back_propagated(*args, max_depth=4), lambda: H.depths(*args[:4], max_depth=4), lambda: H.descent(*args, max_depth=4)):
+        with pytest.raises(RuntimeError, match="not closed"):
+            call()
+
+
 def test_programs(spark):
     d = spark.createDataFrame([("a", ["\\coordinate (p) at (0,1);", "\\draw (p) -- (0,1);", "\\node {x};", "\\end{scope}"]), ("b", [])], "id string, e array<string>")
     parts = P.elements(d, "id", F.col("e"))
