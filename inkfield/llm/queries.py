@@ -86,11 +86,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 BUDGET_TOKENS_PER_MB = 250_000
 
 
-def p7_budget_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares reached when the draw is to hold a fixed number of tokens for each million characters of the table."""
+def p7_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The draw of a fixed number of tokens for each million characters of the table."""
     docs, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
     chars = docs.agg(F.sum("n_chars")).first()[0] or 0
-    return mixing.shares(mixing.mix(docs, targets, total=chars / 1e6 * BUDGET_TOKENS_PER_MB), targets)
+    return mixing.mix(docs, targets, total=chars / 1e6 * BUDGET_TOKENS_PER_MB)
+
+
+def p7_budget_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached when the draw is to hold a fixed number of tokens for each million characters of the table."""
+    return mixing.shares(p7_budget_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +131,7 @@ links AS (SELECT e, 'a:' || a AS k FROM o WHERE regexp_full_match(a, '[a-z]+_[0-
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p2_found, p2_splits, p2_report, p3_found, p3_rates, p3_spikes, p4_found, p4_shares, p6_windows, p6_fill, p7_mix, p7_shares, p7_budget_shares, p8_found, p8_forms)
+    for f in (p1_found, p1_order, p2_found, p2_splits, p2_report, p3_found, p3_rates, p3_spikes, p4_found, p4_shares, p6_windows, p6_fill, p7_mix, p7_shares, p7_budget_mix, p7_budget_shares, p8_found, p8_forms)
 }
 SQL = {
     "p1_found": _IDEAL + "SELECT batch_id, row_id FROM r WHERE place <= 3",

@@ -43,3 +43,13 @@ def test_mix(spark):
     assert sorted(r[:] for r in M.mix(docs.orderBy(F.desc("doc_id")), targets).collect()) == sorted(r[:] for r in M.mix(docs, targets).collect())
     assert M.mix(docs.limit(0), targets).count() == 0 and M.mix(docs, targets.limit(0)).count() == 0
     assert M.shares(M.mix(docs.limit(0), targets), targets).filter("share = 0").count() == 5
+
+
+def test_budget_draw_clamps(spark, data):
+    from inkfield.llm import queries
+
+    most = {r.source: r.max_repeats for r in spark.read.parquet(f"{data}/mix_targets.parquet").collect()}
+    drawn = queries.QUERIES["p7_budget_mix"](spark, data).collect()
+    tokens = {s: sum(r.tokens * r.uses for r in drawn if r.source == s) for s in most}
+    assert all(1 <= r.uses <= most[r.source] for r in drawn) and any(all(r.uses == most[s] for r in drawn if r.source == s) for s in most if tokens[s])
+    assert {r.source: r.tokens for r in queries.p7_budget_shares(spark, data).collect()} == tokens
