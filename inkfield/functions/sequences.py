@@ -68,39 +68,32 @@ def option_block(tail: str | None) -> str:
     return ""
 
 
+def _reflected(steps: np.ndarray) -> np.ndarray:
+    """Running sums that are held at zero instead of falling below it."""
+    sums = np.cumsum(steps)
+    return sums - np.minimum.accumulate(np.minimum(sums, 0))
+
+
 def statements(body: str | None) -> list[str]:
     """Elements of a picture's body, one per drawing statement or environment.
 
-    Line by line: braces are summed, environments kept on a stack, loops counted. A statement ends with its semicolon outside
-    of all of these, an environment with the end of the outermost. A loop ends with any line that ends in a brace. An
-    environment's closing line that ends in a semicolon gives an empty element after its own. What is left is the last one.
+    Three depths are running sums over the lines: braces, environments and loops, the latter two held at zero. An element ends
+    where a semicolon ends a line at which all of them are zero, and where an environment's end leaves no brace or environment
+    open. A loop ends with any line that ends in a brace. A line that is both kinds of end gives an empty element after its own;
+    lines behind the last end are an element if they aren't blank.
     """
-    out: list[str] = []
-    held: list[str] = []
-    stack: list[str] = []
-    loops = braces = 0
-    for line in (body or "").split("\n"):
-        bare = line.strip()
-        braces += line.count("{") - line.count("}")
-        if bare.startswith((r"\begin{", r"\scope")):
-            stack.append(bare)
-        if bare.startswith(r"\foreach"):
-            loops += 1
-        held.append(line)
-        if bare.startswith((r"\end{", r"\endscope")):
-            if stack:
-                stack.pop()
-            if braces == 0 and not stack:
-                out.append("\n".join(held))
-                held = []
-        if loops and bare.endswith("}"):
-            loops -= 1
-        if not stack and not loops and braces == 0 and bare.endswith(";"):
-            out.append("\n".join(held))
-            held = []
-    if held and "\n".join(held).strip():
-        out.append("\n".join(held))
-    return out
+    lines = (body or "").split("\n")
+    bare = [x.strip() for x in lines]
+    flag = lambda test: np.array([bool(test(x)) for x in bare], int)
+    closing = flag(lambda x: x.startswith((r"\end{", r"\endscope")))
+    braces = np.cumsum([x.count("{") - x.count("}") for x in lines])
+    inside = _reflected(flag(lambda x: x.startswith((r"\begin{", r"\scope"))) - closing)
+    loops = _reflected(flag(lambda x: x.startswith(r"\foreach")) - flag(lambda x: x.endswith("}")))
+    outside = (braces == 0) & (inside == 0)
+    ends = np.stack([outside & (closing > 0), outside & (loops == 0) & (flag(lambda x: x.endswith(";")) > 0)]).sum(0)
+    cuts = [0, *np.repeat(np.arange(1, len(lines) + 1), ends), len(lines)]
+    out = ["\n".join(lines[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    return out if out[-1].strip() else out[:-1]
 
 
 def decompose(code: str | None) -> dict:
