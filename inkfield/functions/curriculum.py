@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the label that is ignored in training.
-IGNORED = -100
+#: The label that is ignored in training, and the most ids of a text that the described model takes.
+IGNORED, MODEL_LIMIT = -100, 2048
 
 
 def root_p(epoch: Column, grow: float, start: float, p: float) -> Column:

@@ -59,9 +59,10 @@ def stored_order(spark, folder):
 
 
 def index_range(spark, folder):
-    """Examples 100 to 199 of the scored table, main programs only."""
-    rows = table(spark, folder, "upload_data").filter(F.col("example_number").between(100, 199) & (F.col("combination_number") == -1))
-    return rows.select("example_number", "row_id", "batch_id").distinct()
+    """Every scored row with the range of a hundred example numbers that a worker would be given it in."""
+    start = F.floor(F.col("example_number") / 100) * 100
+    rows = table(spark, folder, "upload_data").select("row_id", "example_number", start.alias("start"), (start + 100).alias("stop"), (F.col("combination_number") == -1).alias("main"))
+    return rows.distinct()
 
 
 _TABLE = r"""
@@ -93,5 +94,5 @@ SQL = {
     "stored_order": """WITH u AS (SELECT DISTINCT ON (row_id) row_id, batch_id, combined_score, rank FROM upload_data WHERE combined_score IS NOT NULL AND NOT isnan(combined_score) AND rank IS NOT NULL AND NOT isnan(rank)),
       l AS (SELECT batch_id, rank, lag(rank) OVER (PARTITION BY batch_id ORDER BY combined_score, row_id) AS before FROM u)
       SELECT batch_id, bool_and(before IS NULL OR rank >= before) AS sorted FROM l GROUP BY batch_id""",
-    "index_range": "SELECT DISTINCT example_number, row_id, batch_id FROM upload_data WHERE example_number BETWEEN 100 AND 199 AND combination_number = -1",
+    "index_range": "SELECT DISTINCT row_id, example_number, (example_number // 100 * 100)::BIGINT AS start, (example_number // 100 * 100 + 100)::BIGINT AS stop, combination_number = -1 AS main FROM upload_data",
 }

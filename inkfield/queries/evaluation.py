@@ -186,12 +186,12 @@ def _labels(spark, folder, limit=None):
 
 
 def label_masks(spark, folder):
-    """Labels of word-length ids behind two patch tokens, the first 64 ids only, as in its SQL."""
-    return _labels(spark, folder, 64)
+    """Labels of word-length ids behind two patch tokens, cut to the MODEL_LIMIT ids that a model takes."""
+    return _labels(spark, folder, C.MODEL_LIMIT)
 
 
 def label_masks_whole(spark, folder):
-    """Labels of all word-length ids behind two patch tokens."""
+    """Labels of all word-length ids behind two patch tokens, however many there are."""
     return _labels(spark, folder)
 
 
@@ -239,8 +239,8 @@ def program_rebuilt(spark, folder):
 
 
 def _tree(spark, folder):
-    """Events as heaps: the first 511 ids of every block of 512."""
-    e = table(spark, folder, "events").select(F.floor(F.col("event_id") / 512).alias("tree"), (F.col("event_id") % 512).alias("node"), "value").filter("node > 0")
+    """All events as heaps: the ids of every block of 512 are the nodes 1 to 512 of a tree."""
+    e = table(spark, folder, "events").select(F.floor(F.col("event_id") / 512).alias("tree"), (F.col("event_id") % 512 + 1).alias("node"), "value")
     return e.withColumn("parent", F.when(F.col("node") > 1, F.floor(F.col("node") / 2)))
 
 
@@ -257,7 +257,7 @@ def uct_scores(spark, folder):
     t = _tree(spark, folder)
     s = H.back_propagated(t, "tree", "node", "parent", "value").withColumnRenamed("value", "win")
     up = s.select("tree", F.col("node").alias("parent"), F.col("visits").alias("pv"))
-    j = t.join(s, ["tree", "node"]).join(up, ["tree", "parent"])
+    j = t.join(s, ["tree", "node"]).join(up, ["tree", "parent"], "left")  # a root has no parent and nothing to explore
     return j.select("tree", "node", F.round(H.uct(F.col("win"), F.col("visits"), F.col("pv")), 4).alias("uct"))
 
 
@@ -350,7 +350,7 @@ R.register_metric("sequence", Q.sequence_ratio_column)
 R.register_metric("edit_distance", Q.edit_distance_column)
 
 _U = "u AS (SELECT DISTINCT ON (row_id) * FROM upload_data)"
-_TREE = "t AS (SELECT event_id // 512 AS tree, event_id % 512 AS node, CASE WHEN event_id % 512 > 1 THEN (event_id % 512) // 2 END AS parent, value FROM events WHERE event_id % 512 > 0)"
+_TREE = "t AS (SELECT event_id // 512 AS tree, event_id % 512 + 1 AS node, CASE WHEN event_id % 512 > 0 THEN (event_id % 512 + 1) // 2 END AS parent, value FROM events)"
 _UP = f"WITH RECURSIVE {_TREE}, up AS (SELECT tree, node AS here, value FROM t UNION ALL SELECT tree, here // 2, value FROM up WHERE here > 1), s AS (SELECT tree, here AS node, count(*) AS visits, sum(value) AS win FROM up GROUP BY ALL)"
 _WORDS = "CASE WHEN s = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(s, '" + T.WS + "+') END"
 _DOCS = "d AS (SELECT doc_id, " + _WORDS + " AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^" + T.WS + "+|" + T.WS + "+$', '', 'g') AS s FROM documents))"
@@ -387,7 +387,7 @@ SQL = {
     "distinct_pairs": f"WITH {_U} SELECT example_number, count(DISTINCT (coalesce(code_score, -1), coalesce(generated_code, ''))) AS kept, count(*) FILTER (generated_image IS NULL) AS failed FROM u GROUP BY 1",
     "shard_size": f"WITH {_U}, b AS (SELECT generator, sum(coalesce(strlen(original_code), 0) + coalesce(octet_length(original_image), 0))::BIGINT AS bytes FROM u GROUP BY 1) SELECT generator, bytes, least(greatest(bytes // 10, 1000000), 1000000000)::BIGINT AS shard FROM b",
     "curriculum_thresholds": "SELECT t AS epoch, round(least(1, pow(t * (1 - 0.3 ** 3) / 3 + 0.3 ** 3, 1 / 3.0)), 6) AS root_p, round(least(1, 0.3::DOUBLE + t * 0.7::DOUBLE / 3), 6) AS linear, round(least(1, pow(2, t * log2(1 - log2(0.3)) / 3 + log2(0.3))), 6) AS geometric, round(least(1, 0.3 * pow(1 / 0.3, t / 3.0)), 6) AS geometric_exact, round(least(1, (floor(t * 5 / 3.0) + 1) / 5::DOUBLE), 6) AS baby_step FROM (SELECT unnest(range(6)) AS t)",
-    "label_masks": f"WITH {_DOCS}, i AS (SELECT doc_id, ([0, 0] || list_transform(w, lambda x: length(x)::INT))[1:64] AS ids FROM d) SELECT doc_id, array_to_string(list_transform(ids, lambda x, j: CASE WHEN j <= 2 THEN -100 ELSE x END), ' ') AS labels FROM i",
+    "label_masks": f"WITH {_DOCS}, i AS (SELECT doc_id, ([0, 0] || list_transform(w, lambda x: length(x)::INT))[1:{C.MODEL_LIMIT}] AS ids FROM d) SELECT doc_id, array_to_string(list_transform(ids, lambda x, j: CASE WHEN j <= 2 THEN -100 ELSE x END), ' ') AS labels FROM i",
     "label_masks_whole": f"WITH {_DOCS}, i AS (SELECT doc_id, [0, 0] || list_transform(w, lambda x: length(x)::INT) AS ids FROM d) SELECT doc_id, array_to_string(list_transform(ids, lambda x, j: CASE WHEN j <= 2 THEN -100 ELSE x END), ' ') AS labels FROM i",
     "padded_rows": f"WITH {_DOCS}, b AS (SELECT doc_id, len(w) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM d) SELECT doc_id, (ceil(max(n) OVER (PARTITION BY batch) / 8.0) * 8)::BIGINT AS n, batch FROM b",
     "checkpoint_marks": "SELECT s AS step FROM (SELECT unnest(range(1, 201)) AS s) WHERE s % 50 IN (12, 25, 38)",
@@ -398,7 +398,7 @@ SQL = {
       SELECT id, size, md5(array_to_string(parts[1:size], chr(10))) AS prefix FROM r WHERE (len(parts) <= 10 OR k <= 10) AND NOT contains(parts[size], '\\end{{')""",
     "tree_backprop": _UP + " SELECT tree, node, visits, round(win, 4) AS value FROM s",
     "tree_depths": f"WITH RECURSIVE {_TREE}, d AS (SELECT tree, node, 0::BIGINT AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.tree, t.node, depth + 1 FROM t JOIN d ON t.tree = d.tree AND t.parent = d.node) SELECT * FROM d",
-    "uct_scores": _UP + " SELECT t.tree, t.node, round(s.win / s.visits + 0.6 * sqrt(ln(p.visits) / s.visits), 4) AS uct FROM t JOIN s USING (tree, node) JOIN s p ON p.tree = t.tree AND p.node = t.parent",
+    "uct_scores": _UP + " SELECT t.tree, t.node, round(s.win / s.visits + coalesce(0.6 * sqrt(ln(p.visits) / s.visits), 0), 4) AS uct FROM t JOIN s USING (tree, node) LEFT JOIN s p ON p.tree = t.tree AND p.node = t.parent",
     "best_path": f"WITH RECURSIVE {_TREE}, c AS (SELECT tree, parent, first(node ORDER BY value DESC, node) AS next FROM t WHERE parent IS NOT NULL GROUP BY ALL), p AS (SELECT tree, node, 0::BIGINT AS step FROM t WHERE parent IS NULL UNION ALL SELECT p.tree, c.next, step + 1 FROM p JOIN c ON p.tree = c.tree AND p.node = c.parent) SELECT * FROM p",
     "visit_draw": "WITH e AS (SELECT event_type, event_id, ceil(value)::BIGINT AS v FROM events WHERE value > 0), s AS (SELECT event_type, event_id, sum(v) OVER (PARTITION BY event_type ORDER BY event_id) / sum(v) OVER (PARTITION BY event_type) AS share FROM e) SELECT event_type, min(event_id) AS event_id FROM s WHERE share >= 0.5 GROUP BY 1",
     "cosine_pairs": "WITH p AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(c, 4) + 0 AS cosine, round(1 - (1 - c), 4) + 0 AS dream FROM p",

@@ -94,7 +94,7 @@ def tree_lines(spark, folder):
     return sinks.tree_dot(t, "n", "p", "node")
 
 
-_TREE = "t AS (SELECT event_id // 512 AS tree, event_id % 512 AS node, CASE WHEN event_id % 512 > 1 THEN (event_id % 512) // 2 END AS parent FROM events WHERE event_id % 512 > 0)"
+_TREE = "t AS (SELECT event_id // 512 AS tree, event_id % 512 + 1 AS node, CASE WHEN event_id % 512 > 0 THEN (event_id % 512 + 1) // 2 END AS parent FROM events)"
 QUERIES = {f.__name__: f for f in (stream_windows, stream_sliding, stream_sessions, stream_best, stream_scores, csv_round_trip, json_round_trip, resume_append, tree_lines)}
 SQL = {
     "stream_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
