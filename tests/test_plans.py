@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkfield.plans.components import components
 from inkfield.plans.order import quantiles, ranked, running
-from inkfield.plans.skew import running_before, salted_join
+from inkfield.plans.skew import pairs_within, running_before, salted_join
 
 
 def brute(links):
@@ -48,6 +48,22 @@ def test_salted_join(spark):
         assert have == {tuple(r) for r in big.join(small, "k", how).select("id", "v").collect()}
 
 
+def test_salted_join_by_known_counts(spark):
+    big = spark.range(300).select((F.col("id") % 2).alias("k"), "id")
+    small = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    for more in ({"counts": counts}, {"most": 300}, {"most": 10}):
+        assert salted_join(big, small, "k", F.xxhash64("id"), hot_rows=50, salts=4, **more).count() == 300
+
+
+def test_pairs_within(spark):
+    rows = [("hot", i) for i in range(70)] + [("two", 100), ("two", 101), ("one", 102), (None, 103), (None, 104)]
+    df = spark.createDataFrame(rows, "g string, k bigint")
+    have = [tuple(r) for r in pairs_within(df, "g", "k", block=8).collect()]
+    assert sorted(have) == sorted((a, b) for g, a in rows for h, b in rows if g and g == h and a < b)
+    assert pairs_within(df.limit(0), "g", "k").count() == 0
+
+
 def test_running_before(spark):
     rows = [(g, i, random.Random(i).randrange(-(2**63), 2**63), i % 4) for i in range(500) for g in ("a",) if i % 5 or True] + [("b", 1, 5, 3), ("b", 2, 5, 4)]
     df = spark.createDataFrame(rows, "g string, id bigint, h bigint, w bigint")
