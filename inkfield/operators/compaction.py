@@ -93,6 +93,9 @@ def range_part(key: str, cuts: list[str]) -> Column:
     return F.pandas_udf(batches, "int")(F.col(key))
 
 
+_LISTING = "file_id bigint, example_number int, combination_number int, field string, digest string, n_bytes bigint, mark bigint, path string, body binary, named boolean"
+
+
 @dataclass(frozen=True)
 class Compacted:
     """Where a consolidation lies: the records, which file each of them came from, and the files that name no record."""
@@ -107,11 +110,11 @@ class Compacted:
         return spark.read.parquet(f"{self.folder}/records")
 
     def origins(self, spark) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/origins").drop("mark")
+        return spark.read.schema(_LISTING).parquet(f"{self.folder}/listing").filter("named").drop("named", "mark", "path", "body")
 
     def rest(self, spark) -> DataFrame:
         """(file_id, path, body) of the files that name no record or have no id, as they were."""
-        return spark.read.parquet(f"{self.folder}/unnamed")
+        return spark.read.schema(_LISTING).parquet(f"{self.folder}/listing").filter("not named").select("file_id", "path", "body")
 
 
 def _move(fs, source, to) -> None:
@@ -155,9 +158,8 @@ def compact(files: DataFrame, target: str | None = None, target_bytes: int = TAR
     """Writes the distinct contents of each record's field, exactly once, to few files of about target_bytes, and swaps.
 
     Rows are range-partitioned by (example, combination, field, content) at boundaries sampled by bytes, so one example of
-    any size spreads over several files, and sorted within each. `origins` holds for every named source file the content it
-    had; `unnamed` holds, as they were, the files whose path names no record and those without an id. All are written beside
-    the target. Two sums must agree before the swap: the records written with the distinct contents of the origins, and origins
+    any size spreads over several files, and sorted within each. A listing holds for every named source file the content it
+    had, and, as they were, the files whose path names no record and those without an id. All are written beside the target. Two sums must agree before the swap: the records written with the distinct contents of the origins, and origins
     and unnamed files together with the whole source, read anew; each by rows, bytes and checksum. On a difference the new
     folder is removed, the target stays as it is, and RuntimeError is raised. A target left half swapped by a crash is put
     right first. Files without a body are contents of 0 bytes. An empty source gives empty folders.
@@ -170,11 +172,11 @@ def compact(files: DataFrame, target: str | None = None, target_bytes: int = TAR
     staged, sort = f"{target}.new", ["example_number", "combination_number", "field", "digest"]
     mark = F.xxhash64("file_id", "body")
     wide = max(1, spark.sparkContext.defaultParallelism)
-    listed = named(files).select("file_id", *sort, "n_bytes", mark.alias("mark"))
-    listed.repartitionByRange(wide, *sort, "file_id").sortWithinPartitions(*sort, "file_id").write.mode("overwrite").parquet(f"{staged}/origins")
-    parsed(files).filter("not named").select("file_id", "path", "body").write.mode("overwrite").parquet(f"{staged}/unnamed")
-    origins, rest = spark.read.parquet(f"{staged}/origins"), spark.read.parquet(f"{staged}/unnamed")
-    kept, apart = _totals(origins, F.col("n_bytes"), F.col("mark")), _totals(rest, F.length("body"), mark)
+    apart = lambda c: F.when(~F.col("named"), F.col(c)).alias(c)
+    listing = parsed(files).select("named", "file_id", *sort[:3], F.when(F.col("named"), F.sha2("body", 256)).alias("digest"), F.length("body").cast("bigint").alias("n_bytes"), mark.alias("mark"), apart("path"), apart("body"))
+    listing.repartition(wide, "file_id").write.mode("overwrite").partitionBy("named").parquet(f"{staged}/listing")
+    origins, rest = (spark.read.schema(_LISTING).parquet(f"{staged}/listing").filter(F.col("named") == n) for n in (True, False))
+    kept, left = _totals(origins, F.col("n_bytes"), F.col("mark")), _totals(rest, F.length("body"), mark)
     heads = origins.groupBy(*sort).agg(F.first("n_bytes").alias("n_bytes"), F.min("file_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     cuts = boundaries(heads.withColumn("at", order_key()), "at", "n_bytes", target_bytes)
     parts = len(cuts) + 1
@@ -191,13 +193,13 @@ def compact(files: DataFrame, target: str | None = None, target_bytes: int = TAR
     written = spark.read.parquet(f"{staged}/records").withColumn("digest", F.sha2("body", 256))
     got = _totals(written, F.length("body"), F.xxhash64(*sort))
     source = _totals(files.select(F.col("file_id"), F.coalesce("body", F.lit(b"")).alias("body")), F.length("body"), mark)
-    both = tuple(a + b for a, b in zip(kept, apart, strict=True))
+    both = tuple(a + b for a, b in zip(kept, left, strict=True))
     if got != _totals(heads, F.col("n_bytes"), F.xxhash64(*sort)) or both != tuple(source):
         fs, new = file_system(spark, staged)
         fs.delete(new, True)
         raise RuntimeError("the written files differ from the source; the target is unchanged")
     swap(spark, target)
-    return Compacted(target, parts, got["rows"], kept["rows"], apart["rows"])
+    return Compacted(target, parts, got["rows"], kept["rows"], left["rows"])
 
 
 def content_key() -> Column:
