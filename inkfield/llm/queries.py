@@ -54,7 +54,7 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_spikes(spark: SparkSession, folder: str) -> DataFrame:
     found = truncation.scan(table(spark, folder, "upload_data"), "row_id", "generator", "generated_code")
-    return truncation.spikes(found, "generator").select("generator", "unit", "length", "n", F.round("nearby", 6).alias("nearby"))
+    return truncation.spikes(found, "generator").select("generator", "unit", "length", "n", F.round("nearby", 6).alias("nearby"), "longest")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,18 +107,20 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.normalise(table(spark, folder, "documents"), "text", "form").select("doc_id", "form")
 
 
-_IDEAL = """
+def _of_scores(form: str, between: str = ", ") -> str:
+    return between.join(form.format(i=i) for i in (1, 2, 3))
+
+
+_IDEAL = f"""
 WITH d AS (SELECT DISTINCT ON (row_id) row_id, batch_id, image_score::DOUBLE AS x1, code_score::DOUBLE AS x2, combined_score::DOUBLE AS x3
   FROM upload_data WHERE image_score IS NOT NULL AND code_score IS NOT NULL AND combined_score IS NOT NULL
   AND NOT isnan(image_score) AND NOT isnan(code_score) AND NOT isnan(combined_score)),
-q AS (SELECT batch_id, quantile_disc(x1, [0.01, 0.99]) AS q1, quantile_disc(x2, [0.01, 0.99]) AS q2, quantile_disc(x3, [0.01, 0.99]) AS q3 FROM d GROUP BY ALL),
-w AS (SELECT batch_id, row_id, least(greatest(x1, q1[1]), q1[2]) - q1[1] AS x1, least(greatest(x2, q2[1]), q2[2]) - q2[1] AS x2,
-  least(greatest(x3, q3[1]), q3[2]) - q3[1] AS x3 FROM d JOIN q USING (batch_id)),
-f AS (SELECT batch_id, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, max(x1) AS m1, max(x2) AS m2, max(x3) AS m3,
-  min(x1) AS n1, min(x2) AS n2, min(x3) AS n3 FROM w GROUP BY ALL),
+q AS (SELECT batch_id, {_of_scores(f"quantile_disc(x{{i}}, [{ranking.TAIL}, {1 - ranking.TAIL}]) AS q{{i}}")} FROM d GROUP BY ALL),
+w AS (SELECT batch_id, row_id, {_of_scores("least(greatest(x{i}, q{i}[1]), q{i}[2]) - q{i}[1] AS x{i}")} FROM d JOIN q USING (batch_id)),
+f AS (SELECT batch_id, {_of_scores("sqrt(sum(x{i} * x{i})) AS n{i}, max(x{i}) AS m{i}")} FROM w GROUP BY ALL),
 g AS (SELECT batch_id, row_id,
-  CASE WHEN s1 > 0 THEN (x1 - n1) / s1 ELSE 0 END + CASE WHEN s2 > 0 THEN (x2 - n2) / s2 ELSE 0 END + CASE WHEN s3 > 0 THEN (x3 - n3) / s3 ELSE 0 END AS good,
-  CASE WHEN s1 > 0 THEN (m1 - x1) / s1 ELSE 0 END + CASE WHEN s2 > 0 THEN (m2 - x2) / s2 ELSE 0 END + CASE WHEN s3 > 0 THEN (m3 - x3) / s3 ELSE 0 END AS bad
+  pow({_of_scores(f"CASE WHEN n{{i}} > 0 THEN pow(x{{i}} / n{{i}}, {ranking.EXPONENT}) ELSE 0 END", " + ")}, 1 / {ranking.EXPONENT}::DOUBLE) AS good,
+  pow({_of_scores(f"CASE WHEN n{{i}} > 0 THEN pow((m{{i}} - x{{i}}) / n{{i}}, {ranking.EXPONENT}) ELSE 0 END", " + ")}, 1 / {ranking.EXPONENT}::DOUBLE) AS bad
   FROM w JOIN f USING (batch_id)),
 c AS (SELECT batch_id, row_id, round(CASE WHEN good + bad > 0 THEN bad / (good + bad) ELSE 1 END, 9) AS closeness FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY closeness DESC, row_id) AS place FROM c)
@@ -149,4 +151,9 @@ SQL = {
       n AS (SELECT row_id, sum(least(40, coalesce(nxt - i, 40))) AS covered FROM late GROUP BY row_id)
       SELECT t.row_id, round(coalesce(covered / length(s), 0), 6) AS share FROM t LEFT JOIN n USING (row_id)""",
 }
+SQL["p3_spikes"] = f"""WITH t AS (SELECT DISTINCT ON (row_id) generator, length(generated_code) AS chars, strlen(generated_code) AS bytes FROM upload_data WHERE row_id IS NOT NULL AND generated_code <> ''),
+  b AS (SELECT generator, unit, length, count(*) AS n FROM (SELECT generator, unnest(['chars', 'bytes']) AS unit, unnest([chars, bytes]) AS length FROM t) GROUP BY ALL),
+  w AS (SELECT *, (sum(n) OVER (PARTITION BY generator, unit ORDER BY length RANGE BETWEEN {truncation.NEARBY} PRECEDING AND {truncation.NEARBY} FOLLOWING) - n) / {2.0 * truncation.NEARBY}::DOUBLE AS nearby,
+    length = max(length) OVER (PARTITION BY generator, unit) AS longest FROM b)
+  SELECT generator, unit, length::INT AS length, n, round(nearby, 6) AS nearby, longest FROM w WHERE n >= {truncation.SPIKE_ROWS} AND n >= {truncation.SPIKE_TIMES} * nearby"""
 SQL["p4_found"] = f"SELECT row_id FROM ({SQL['p4_shares']}) WHERE share > 0.5"

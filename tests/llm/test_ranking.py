@@ -1,12 +1,13 @@
+import math
 import random
-import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkfield.llm import ranking as R
 
 
-def brute(rows, weights=(1, 1, 1), tail=R.TAIL):
+def brute(rows, weights=(1, 1, 1), tail=R.TAIL, e=R.EXPONENT):
     out, groups = {}, {}
     for g, k, *x in {r[1]: r for r in rows if r[0] is not None and r[1] is not None and all(v is not None and v == v for v in r[2:])}.values():
         groups.setdefault(g, []).append((k, x))
@@ -17,13 +18,14 @@ def brute(rows, weights=(1, 1, 1), tail=R.TAIL):
             q = lambda p: v[max(0, -(-int(round(p * len(v) * 10**9)) // 10**9) - 1)]
             lo, hi = q(tail), q(1 - tail)
             y = {k: min(max(x[i], lo), hi) - lo for k, x in members}
-            sd = statistics.pstdev(y.values())
-            if sd > 0:
+            norm = math.hypot(*y.values())
+            if norm > 0:
                 for k in y:
-                    good[k] += w * (y[k] - min(y.values())) / sd
-                    bad[k] += w * (max(y.values()) - y[k]) / sd
+                    good[k] += (w * y[k] / norm) ** e
+                    bad[k] += (w * (max(y.values()) - y[k]) / norm) ** e
         for k in good:
-            out[k] = (g, bad[k] / (good[k] + bad[k]) if good[k] + bad[k] else 1.0)
+            near, far = good[k] ** (1 / e), bad[k] ** (1 / e)
+            out[k] = (g, far / (near + far) if near + far else 1.0)
     return out
 
 
@@ -43,6 +45,21 @@ def test_against_brute_force(spark):
     assert got[1][1] == got[2][1] == got[6][1] == 1.0
 
 
+def test_every_step_counts(spark):
+    """Tails are pulled in, the norm doesn't cancel, and the order isn't that of a sum of scaled scores."""
+    plain = {k: v[1] for k, v in brute(ROWS).items()}
+    others = [{k: v[1] for k, v in brute(ROWS, **o).items()} for o in ({"tail": 1e-9}, {"e": 1.0})]
+    order = lambda c: sorted((k for k in c if k < 2000), key=lambda k: -c[k])
+    assert all(order(plain) != order(o) for o in others)
+
+
+def test_sketched_quantiles_of_a_large_group(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("a"))
+    got = R.ideal_point(rows, "g", "k", ["a"]).filter("closeness = 1").count()
+    assert abs(got - R.TAIL * n) <= n / R.ACCURACY + 1
+
+
 def test_scale_does_not_matter(spark):
     base = R.ideal_point(frame(spark, [(*r, "x") for r in ROWS]), "g", "k", ["a", "b", "c"])
     big = R.ideal_point(frame(spark, [(g, k, a * 1e6 + 5, b, c / 1000, "x") for g, k, a, b, c in ROWS]), "g", "k", ["a", "b", "c"])
