@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 WHITE, APART = 250, 0.1
 RMSE, SSIM, STRUCTURE = 0.125, 0.125, 0.75
 EDGE_LOW, EDGE_HIGH = 100, 200
+#: Pixels of a stack of rasters that are compared at the same time.
+STACK_PIXELS = 1 << 19
 _MEASURES = ("rmse", "ssim", "abs_diff", "components", "structural", "complexity", "combined")
 
 
+#: First pixel and step of the passes of an interlaced PNG, as (y, x, down, right).
+_PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
 def decode_png(data: bytes | None) -> np.ndarray | None:
-    """(height, width, 3) of a PNG without interlacing, laid on white where it is transparent. None for null or unreadable bytes."""
+    """(height, width, 3) of a PNG, laid on white where it is transparent; of 16-bit channels the upper bytes. None for null or
+    unreadable bytes, other formats among them."""
     if not data or bytes(data[:8]) != b"\x89PNG\r\n\x1a\n":
         return None
     data, at, packed, palette, alpha = bytes(data), 8, [], None, None
@@ -37,19 +44,16 @@ def decode_png(data: bytes | None) -> np.ndarray | None:
             elif kind == b"IDAT":
                 packed.append(body)
         channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-        if laced or depth == 16 or not width or not height:
+        if not width or not height:
             return None
-        line, step = (width * channels * depth + 7) // 8, max(1, channels * depth // 8)
-        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, line + 1)
-        rows = np.zeros((height + 1, line + step), np.int64)
-        for y in range(height):
-            rows[y + 1, step:] = _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), rows[y], step)
-        out = rows[1:, step:].astype(np.uint8)
-        if depth < 8:
-            out = np.unpackbits(out, axis=1).reshape(height, -1, depth)
-            out = out.dot(1 << np.arange(depth)[::-1])[:, :width]
-            out = out if color == 3 else out * 255 // ((1 << depth) - 1)
-        out = out.reshape(height, width, channels)
+        raw, at = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8), 0
+        out = np.zeros((height, width, channels), np.uint8)
+        for y, x, down, right in _PASSES if laced else ((0, 0, 1, 1),):
+            h, w = -(-(height - y) // down), -(-(width - x) // right)
+            if h > 0 and w > 0:
+                part, used = _raster(raw[at:], h, w, depth, channels, color == 3)
+                out[y::down, x::right] = part
+                at += used
         cover = np.full((height, width, 1), 255)
         if color == 3:
             if alpha is not None:
@@ -63,18 +67,38 @@ def decode_png(data: bytes | None) -> np.ndarray | None:
         return None
 
 
+def _raster(raw: np.ndarray, height: int, width: int, depth: int, channels: int, indexed: bool) -> tuple[np.ndarray, int]:
+    """(height, width, channels) bytes of filtered lines, and how many bytes these took."""
+    line, step = (width * channels * depth + 7) // 8, max(1, channels * depth // 8)
+    used = height * (line + 1)
+    lines = raw[:used].reshape(height, line + 1)
+    above = np.zeros(line + step, np.int64)
+    rows = np.empty((height, line), np.uint8)
+    for y in range(height):
+        above[step:] = _unfilter(int(lines[y, 0]), lines[y, 1:].astype(np.int64), above, step)
+        rows[y] = above[step:]
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth).dot(1 << np.arange(depth)[::-1])[:, :width]
+        rows = bits if indexed else bits * 255 // ((1 << depth) - 1)
+    return rows.reshape(height, width, channels), used
+
+
 def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    up = above[step:]
     if kind == 0:
         return line
-    up = above[step:]
     if kind == 2:
         return (line + up) & 255
+    if kind == 1:  # each byte adds to the one a pixel before it: sums along each channel
+        wide = np.zeros(-(-len(line) // step) * step, np.int64)
+        wide[: len(line)] = line
+        return (wide.reshape(-1, step).cumsum(0) & 255).reshape(-1)[: len(line)]
     out = np.zeros(len(line) + step, np.int64)
     for i in range(len(line)):
         left, top, corner = out[i], up[i], above[i]
-        if kind == 1:
-            guess = left
-        elif kind == 3:
+        if kind == 3:
             guess = (left + top) // 2
         else:
             near = left + top - corner
@@ -134,77 +158,166 @@ def trimmed_square(pixels: np.ndarray, size: int) -> np.ndarray:
     return resize(out, size, size)
 
 
+def _window_means(x: np.ndarray, win: int) -> np.ndarray:
+    """Means over win x win windows of the second and third axis, by running sums."""
+    for axis in (1, 2):
+        sums = np.cumsum(x, axis=axis)
+        first = np.take(sums, [win - 1], axis=axis)
+        rest = np.take(sums, range(win, x.shape[axis]), axis=axis) - np.take(sums, range(x.shape[axis] - win), axis=axis)
+        x = np.concatenate([first, rest], axis=axis)
+    return x / (win * win)
+
+
 def ssim_map(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Structural similarity per pixel and channel: uniform window of 7 (less in smaller rasters), sample covariance."""
-    win = min(7, *(n - (n + 1) % 2 for n in a.shape[:2]))
+    """Structural similarity per pixel and channel of stacks of rasters: uniform window of 7 (less in smaller rasters), sample
+    covariance, edges mirrored."""
+    win = min(7, *(n - (n + 1) % 2 for n in a.shape[1:3]))
     half = win // 2
-    pad = lambda x: np.pad(x.astype(float), ((half, half), (half, half), (0, 0)), mode="symmetric")
-    mean = lambda x: np.lib.stride_tricks.sliding_window_view(x, (win, win), axis=(0, 1)).mean((-2, -1))
-    x, y = pad(a), pad(b)
-    mx, my = mean(x), mean(y)
+    x, y = (np.pad(z.astype(float), ((0, 0), (half, half), (half, half), (0, 0)), mode="symmetric") for z in (a, b))
+    mx, my = _window_means(x, win), _window_means(y, win)
     unbiased = win * win / max(1, win * win - 1)
-    vx, vy, cov = (unbiased * (mean(p * q) - m * n) for p, q, m, n in ((x, x, mx, mx), (y, y, my, my), (x, y, mx, my)))
+    vx, vy, cov = (unbiased * (_window_means(p * q, win) - m * n) for p, q, m, n in ((x, x, mx, mx), (y, y, my, my), (x, y, mx, my)))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     return (2 * mx * my + c1) * (2 * cov + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2))
 
 
+def labelled(masks: np.ndarray) -> np.ndarray:
+    """(n, height, width) masks -> for each set pixel the flat index of the first pixel of its region (touching, diagonally too),
+    -1 elsewhere. All masks at once: every pixel's root takes the lowest root next to it, then roots are followed to their end;
+    the number of rounds grows with the logarithm of the longest path in a region."""
+    n, height, width = masks.shape
+    at = np.full((n, height + 2, width + 2), -1)
+    at[:, 1:-1, 1:-1][masks] = np.arange(masks.sum())
+    here = at[at >= 0]
+    pairs = [(at[:, 1:-1, 1:-1], at[:, 1 + i : height + 1 + i, 1 + j : width + 1 + j]) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    p, q = (np.concatenate([side[(a >= 0) & (b >= 0)] for a, b in pairs for side in ((a, b)[k],)]) for k in (0, 1))
+    root = here.copy()
+    while len(p):
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            break
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    out = np.full(masks.shape, -1)
+    where = np.flatnonzero(masks)
+    out.reshape(-1)[where] = where[root] if len(where) else where
+    return out
+
+
+def region_areas(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, area) of each region of set pixels of a stack of masks."""
+    labels = labelled(masks)
+    first, area = np.unique(labels[labels >= 0], return_counts=True)
+    return first // (masks.shape[1] * masks.shape[2]), area
+
+
 def component_areas(mask: np.ndarray) -> list[int]:
     """Areas of the regions of set pixels that touch, diagonally too."""
-    left = {tuple(p) for p in np.argwhere(mask)}
-    out = []
-    while left:
-        todo, area = [left.pop()], 0
-        while todo:
-            y, x = todo.pop()
-            area += 1
-            for near in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
-                if near in left:
-                    left.remove(near)
-                    todo.append(near)
-        out.append(area)
-    return sorted(out)
+    return sorted(region_areas(mask[None])[1].tolist())
 
 
-def complexity(pixels: np.ndarray) -> float:
-    """Edge density times 1 + ln(1 + outlines). Edges: Sobel magnitude over EDGE_HIGH, or over EDGE_LOW beside such a pixel
-    (an approximation of the usual two-threshold detector, without thinning); outlines: regions of edge pixels."""
-    gray = np.pad(pixels.astype(float) @ [0.299, 0.587, 0.114], 1, mode="edge")
-    gx = gray[:-2, 2:] + 2 * gray[1:-1, 2:] + gray[2:, 2:] - gray[:-2, :-2] - 2 * gray[1:-1, :-2] - gray[2:, :-2]
-    gy = gray[2:, :-2] + 2 * gray[2:, 1:-1] + gray[2:, 2:] - gray[:-2, :-2] - 2 * gray[:-2, 1:-1] - gray[:-2, 2:]
+def edges(stack: np.ndarray) -> np.ndarray:
+    """Edge pixels by the usual two-threshold detector: Sobel gradients, thinned to those that are greatest across the edge,
+    over EDGE_HIGH, or over EDGE_LOW and in one region with such a pixel."""
+    gray = np.pad(np.rint(stack.astype(float) @ [0.299, 0.587, 0.114]), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    gx = gray[:, :-2, 2:] + 2 * gray[:, 1:-1, 2:] + gray[:, 2:, 2:] - gray[:, :-2, :-2] - 2 * gray[:, 1:-1, :-2] - gray[:, 2:, :-2]
+    gy = gray[:, 2:, :-2] + 2 * gray[:, 2:, 1:-1] + gray[:, 2:, 2:] - gray[:, :-2, :-2] - 2 * gray[:, :-2, 1:-1] - gray[:, :-2, 2:]
     size = np.abs(gx) + np.abs(gy)
-    strong, weak = size > EDGE_HIGH, size > EDGE_LOW
-    near = np.pad(strong, 1)
-    grown = np.logical_or.reduce([near[i : i + strong.shape[0], j : j + strong.shape[1]] for i in range(3) for j in range(3)])
-    edges = strong | (weak & grown)
-    return float(edges.mean() * (1 + np.log1p(len(component_areas(edges)))))
+    ring = np.pad(size, ((0, 0), (1, 1), (1, 1)))
+    h, w = size.shape[1:]
+    beside = lambda i, j: ring[:, 1 + i : 1 + i + h, 1 + j : 1 + j + w]
+    flat, steep = np.abs(gy) < np.tan(np.pi / 8) * np.abs(gx), np.abs(gy) > np.tan(3 * np.pi / 8) * np.abs(gx)
+    rising = (gx < 0) != (gy < 0)
+    thin = np.where(
+        flat,
+        (size > beside(0, -1)) & (size >= beside(0, 1)),
+        np.where(steep, (size > beside(-1, 0)) & (size >= beside(1, 0)), np.where(rising, (size > beside(-1, 1)) & (size > beside(1, -1)), (size > beside(-1, -1)) & (size > beside(1, 1)))),
+    )
+    weak = thin & (size > EDGE_LOW)
+    labels = labelled(weak)
+    strong = np.unique(labels[weak & (size > EDGE_HIGH)])
+    return weak & np.isin(labels, strong)
+
+
+def complexities(stack: np.ndarray) -> np.ndarray:
+    """Edge density times 1 + ln(1 + outlines) of each raster; outlines are the regions of edge pixels."""
+    found = edges(stack)
+    outlines = np.bincount(region_areas(found)[0], minlength=len(stack))
+    return found.mean((1, 2)) * (1 + np.log1p(outlines))
 
 
-def compare(a: np.ndarray | None, b: np.ndarray | None) -> tuple[float | None, ...]:
-    """The _MEASURES of two rasters (dissimilarities); all null if one is missing. ssim is null where nothing is foreground.
+def complexity(pixels: np.ndarray) -> float:
+    return float(complexities(pixels[None])[0])
+
+
+def compare_stacks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(n, measures): the _MEASURES (dissimilarities) of two stacks of rasters of one size. ssim is NaN where nothing is foreground.
 
     structural sums the areas of the regions of difference that exceed their mean, over the size: one region alone gives 0.
     """
-    if a is None or b is None:
-        return (None,) * len(_MEASURES)
-    a, b = same_size(a, b)
+    n, height, width = a.shape[:3]
     mask = foreground(a, b)
+    inked = mask.sum((1, 2))
     apart = (a.astype(float) - b) / 255
-    inside = apart[mask]
-    rmse = float(np.sqrt((inside**2).mean())) if mask.any() else 0.0
-    diff = float(np.abs(inside).mean()) if mask.any() else 0.0
-    ssim = 1 - float(ssim_map(a, b)[mask].mean()) if mask.any() else None
-    areas = np.array(component_areas((np.abs(apart).mean(-1) * mask) > APART), float)
-    weighted = float(areas[areas > areas.mean()].sum() / mask.size) if len(areas) else 0.0
-    busy = max(complexity(a), complexity(b))
+    over = lambda x: (x * mask[..., None]).sum((1, 2, 3)) / np.maximum(inked * 3, 1)
+    rmse, diff = np.sqrt(over(apart**2)), over(np.abs(apart))
+    ssim = np.where(inked > 0, 1 - over(ssim_map(a, b)), np.nan)
+    of, area = region_areas((np.abs(apart).mean(-1) * mask) > APART)
+    regions = np.bincount(of, minlength=n)
+    mean = np.bincount(of, area, minlength=n) / np.maximum(regions, 1)
+    large = area > mean[of]
+    weighted = np.bincount(of[large], area[large], minlength=n) / (height * width)
+    busy = np.maximum(complexities(a), complexities(b))
     structural = weighted * (1 + busy)
-    return rmse, ssim, diff, float(len(areas)), structural, busy, RMSE * rmse + SSIM * (ssim or 0.0) + STRUCTURE * structural
+    combined = RMSE * rmse + SSIM * np.nan_to_num(ssim) + STRUCTURE * structural
+    return np.stack([rmse, ssim, diff, regions.astype(float), structural, busy, combined], 1)
+
+
+def compare(a: np.ndarray | None, b: np.ndarray | None) -> tuple[float | None, ...]:
+    """The _MEASURES of two rasters; all null if one is missing, ssim where nothing is foreground."""
+    if a is None or b is None:
+        return (None,) * len(_MEASURES)
+    a, b = same_size(a, b)
+    return tuple(None if np.isnan(v) else float(v) for v in compare_stacks(a[None], b[None])[0])
+
+
+def compare_many(firsts: list[bytes | None], seconds: list[bytes | None]) -> np.ndarray:
+    """(n, measures) of pairs of PNGs, NaN for null. Images that occur again are decoded once, pairs that do are compared once,
+    and those of one size at the same time, STACK_PIXELS at most."""
+    rasters: dict[bytes, np.ndarray | None] = {}
+    place: dict[tuple, int] = {}
+    index = np.empty(len(firsts), np.int64)
+    for i, pair in enumerate(zip(firsts, seconds, strict=True)):
+        index[i] = place.setdefault(tuple(None if p is None else bytes(p) for p in pair), len(place))
+    sizes: dict[tuple, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    out = np.full((len(place), len(_MEASURES)), np.nan)
+    for (p, q), i in place.items():
+        for png in (p, q):
+            if png is not None and png not in rasters:
+                rasters[png] = decode_png(png)
+        a, b = rasters.get(p), rasters.get(q)
+        if a is not None and b is not None:
+            a, b = same_size(a, b)
+            sizes.setdefault(a.shape, []).append((i, a, b))
+    for (height, width, _), rows in sizes.items():
+        many = max(1, STACK_PIXELS // (height * width))
+        for some in (rows[i : i + many] for i in range(0, len(rows), many)):
+            out[[i for i, _, _ in some]] = compare_stacks(np.stack([a for _, a, _ in some]), np.stack([b for _, _, b in some]))
+    return out[index]
 
 
 def compare_column(original: Column, generated: Column) -> Column:
     """Struct of the measures of two PNG columns."""
     def batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for x, y in pairs:
-            yield pd.DataFrame([compare(decode_png(p), decode_png(q)) for p, q in zip(x, y, strict=True)], columns=list(_MEASURES), dtype="float64")
+            found = compare_many(x.tolist(), y.tolist()).astype(object)
+            yield pd.DataFrame(np.where(found == found, found, None), columns=list(_MEASURES))
 
     return F.pandas_udf(batches, ", ".join(f"{m} double" for m in _MEASURES))(original, generated)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Weights of the extended edit distance (jump, coverage, deletion, insertion).
 JUMP, COVERAGE, DELETION, INSERTION = 2.0, 0.3, 0.2, 1.0
-_LEX = re.compile(r"\\[A-Za-z@]+|\\.|%[^\n]*|[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|[^\sA-Za-z0-9]", re.S)
+_LEX = re.compile(r"\\[A-Za-z@]+|\\.|%[^\n]*|[^\W\d_]+|\d+(?:\.\d+)?|\S", re.S)
 
 
 def sequence_ratio(a: str | None, b: str | None) -> float | None:
@@ -22,13 +23,16 @@ def sequence_ratio(a: str | None, b: str | None) -> float | None:
 
 
 def tex_tokens(code: str | None) -> list[str]:
-    """Lexer tokens of TeX: commands, words, numbers, signs. Blanks and comments are left out."""
+    """Lexer tokens of TeX: commands, words of any script, numbers, signs. Blanks and comments are left out."""
     return [t for t in _LEX.findall(code or "") if t[0] != "%"]
 
 
-def tex_normal(code: str | None) -> str:
-    """Tokens between single blanks, one blank at either end."""
-    return f" {' '.join(tex_tokens(code))} " if code is not None else "  "
+def tex_normal(code: str | None, language: str = "en") -> str:
+    """Tokens between single blanks, one blank at either end. Japanese texts ('ja') are put into compatibility form first."""
+    if language not in ("en", "ja"):
+        raise ValueError(f"no rules for language {language!r}; there are en, ja")
+    text = unicodedata.normalize("NFKC", code) if code and language == "ja" else code
+    return f" {' '.join(tex_tokens(text))} " if code is not None else "  "
 
 
 def edit_distance(hypothesis: str, reference: str) -> float:

@@ -1,42 +1,97 @@
-"""Corpus n-gram precision without trivially shared n-grams: per pair, over a corpus, and running along an order."""
+"""Corpus n-gram precision without trivially shared n-grams: per pair, over a corpus, and running along an order.
+
+Both texts of a pair stand in one row, so they are counted and clipped there, in Arrow batches, and a pair becomes ten numbers.
+Only counts over a whole corpus are shuffled, summed by task first.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.functions.text import ngrams
 from inkfield.plans.order import running
 
 #: Highest order of n-grams, number of trivially shared ones that are left out.
 ORDER, TRIVIAL = 4, 500
+#: Different n-grams that a task holds before it passes their counts on.
+HELD = 500_000
+#: Stands between the tokens of an n-gram that is kept as text.
+JOINT = "\x1f"
+ORDERS = range(1, ORDER + 1)
+_COUNTS = [f"{c}{n}" for n in ORDERS for c in "mt"]
+
+Tokenizer = Callable[[str], list[str]]
+
+
+def blank_split(text: str) -> list[str]:
+    """Tokens of a text whose white space is single blanks."""
+    return text.split(" ") if text else []
+
 
+def grams_of(tokens: list[str], n: int) -> Iterable[tuple[str, ...]]:
+    return zip(*(tokens[i:] for i in range(n)), strict=False)
 
-def grams(rows: DataFrame, key: str, tokens: Column, orders: range = range(1, ORDER + 1)) -> DataFrame:
-    """(key, n, gram, count) of each text; a gram is its tokens, joined by blanks."""
-    def of_order(n: int) -> Column:
-        return F.transform(ngrams(F.col("_t"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram")))
 
-    each = rows.select(F.col(key), tokens.alias("_t")).select(key, F.explode(F.flatten(F.array(*map(of_order, orders)))).alias("_g"))
-    return each.groupBy(key, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("count"))
+def corpus_grams(texts: DataFrame, text: Column, tokenize: Tokenizer = blank_split, joint: str = JOINT) -> DataFrame:
+    """(n, gram, total): how often a corpus has each n-gram of the ORDERS. Null texts have none."""
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def done() -> pd.DataFrame:
+            out = pd.DataFrame([(len(g), joint.join(g), n) for g, n in held.items()], columns=["n", "gram", "total"])
+            held.clear()
+            return out
+
+        for pdf in frames:
+            for t in pdf["t"]:
+                if t:
+                    tokens = tokenize(t)
+                    for n in ORDERS:
+                        held.update(grams_of(tokens, n))
+                if len(held) > HELD:
+                    yield done()
+        yield done()
+
+    return texts.select(text.alias("t")).mapInPandas(batches, "n int, gram string, total bigint").groupBy("n", "gram").agg(F.sum("total").alias("total"))
 
 
 def trivial(corpus: DataFrame, k: int = TRIVIAL) -> DataFrame:
-    """(n, gram, total): the k most frequent n-grams of a corpus of counted grams; ties in the grams' order. k rows."""
-    return corpus.groupBy("n", "gram").agg(F.sum("count").alias("total")).orderBy(F.desc("total"), "n", "gram").limit(k)
+    """(n, gram, total): the k most frequent n-grams of a corpus; ties in the grams' order. k rows."""
+    return corpus.orderBy(F.desc("total"), "n", "gram").limit(k)
+
+
+def shared_grams(frequent: DataFrame, joint: str = JOINT) -> frozenset[tuple[str, ...]]:
+    """The rows of trivial() on the driver, as token tuples: `k` of them."""
+    return frozenset(tuple(r["gram"].split(joint)) for r in frequent.select("gram").collect())
+
 
+def pair_counts(hypothesis: Column, reference: Column, shared: frozenset = frozenset(), tokenize: Tokenizer = blank_split) -> Column:
+    """Struct of hyp and ref, the tokens of either text, and of m1, t1, ... m4, t4: by order, the hypothesis n-grams found in the
+    reference, each at most as often as there, and all of them. n-grams in `shared` are left out. Null texts have no tokens."""
+    def one(h: str | None, r: str | None) -> list[int]:
+        a, b = (tokenize(t) if t else [] for t in (h, r))
+        row = [len(a), len(b)]
+        for n in ORDERS:
+            have = Counter(grams_of(b, n))
+            asked = [(g, c) for g, c in Counter(grams_of(a, n)).items() if g not in shared]
+            row += [sum(min(c, have[g]) for g, c in asked if g in have), sum(c for _, c in asked)]
+        return row
 
-def clipped(hypotheses: DataFrame, references: DataFrame, key: str, shared: DataFrame | None = None) -> DataFrame:
-    """(key, n, matched, total) per pair: hypothesis n-grams found in the reference, each at most as often as there.
+    def batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for h, r in pairs:
+            yield pd.DataFrame([one(a, b) for a, b in zip(h, r, strict=True)], columns=["hyp", "ref", *_COUNTS], dtype="int64")
 
-    n-grams in `shared` (at most a few hundred, broadcast) are taken out of both sides. A pair whose hypothesis has no n-gram
-    of an order has no row for it.
-    """
-    if shared is not None:
-        out = F.broadcast(shared.select("n", "gram"))  # at most `k` rows of trivial()
-        hypotheses, references = (x.join(out, ["n", "gram"], "left_anti") for x in (hypotheses, references))
-    both = hypotheses.join(references.withColumnRenamed("count", "_r"), [key, "n", "gram"], "left")
-    return both.groupBy(key, "n").agg(F.sum(F.least(F.col("count"), F.coalesce("_r", F.lit(0)))).alias("matched"), F.sum("count").alias("total"))
+    return F.pandas_udf(batches, ", ".join(f"{c} bigint" for c in ("hyp", "ref", *_COUNTS)))(hypothesis, reference)
+
+
+def by_order(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, n, matched, total) of rows with the counts of pair_counts; an order without n-grams has no row."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).cast("bigint").alias("n"), F.col(f"m{n}").alias("matched"), F.col(f"t{n}").alias("total")) for n in ORDERS)))
+    return pairs.select(key, each.alias("_o")).select(key, "_o.*").filter("total > 0")
 
 
 def precision_product(matched: list[Column], total: list[Column], hypothesis: Column, reference: Column) -> Column:
@@ -50,21 +105,47 @@ def precision_product(matched: list[Column], total: list[Column], hypothesis: Co
     return F.when(some, brevity * F.exp(logs)).otherwise(0.0)
 
 
-def per_pair(counts: DataFrame, lengths: DataFrame, key: str, orders: range = range(1, ORDER + 1)) -> DataFrame:
-    """(key, hyp, ref, m1, t1, ...): one row per pair with its counts of every order (0 where there are none)."""
-    wide = counts.groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.col(c)).otherwise(0)).alias(f"{c[0]}{n}") for n in orders for c in ("matched", "total")))
-    columns = [f"{c}{n}" for n in orders for c in "mt"]
-    return lengths.join(wide, key, "left").select(key, "hyp", "ref", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in columns))
+def _bleu(prefix: str = "") -> Column:
+    of = lambda c: F.col(f"{prefix}{c}")
+    return precision_product([of(f"m{n}") for n in ORDERS], [of(f"t{n}") for n in ORDERS], of("hyp"), of("ref"))
+
 
+def pair_bleu(pairs: DataFrame) -> DataFrame:
+    """Each pair with its own BLEU."""
+    return pairs.withColumn("bleu", _bleu())
 
-def corpus_bleu(pairs: DataFrame, group: list[str], orders: range = range(1, ORDER + 1)) -> DataFrame:
+
+def corpus_bleu(pairs: DataFrame, group: list[str]) -> DataFrame:
     """BLEU of each group of pairs, from sums over its pairs."""
-    sums = pairs.groupBy(*group).agg(*(F.sum(c).alias(c) for c in ("hyp", "ref", *(f"{c}{n}" for n in orders for c in "mt"))))
-    return sums.withColumn("bleu", precision_product([F.col(f"m{n}") for n in orders], [F.col(f"t{n}") for n in orders], F.col("hyp"), F.col("ref")))
+    return pair_bleu(pairs.groupBy(*group).agg(*(F.sum(c).alias(c) for c in ("hyp", "ref", *_COUNTS))))
 
 
-def running_bleu(pairs: DataFrame, order: list[Column], orders: range = range(1, ORDER + 1)) -> DataFrame:
+def running_bleu(pairs: DataFrame, order: list[Column]) -> DataFrame:
     """Each pair with the BLEU of all pairs up to it in the order."""
-    names = ["hyp", "ref", *(f"{c}{n}" for n in orders for c in "mt")]
-    sums = running(pairs, order, {f"r_{c}": F.col(c) for c in names})
-    return sums.withColumn("bleu", precision_product([F.col(f"r_m{n}") for n in orders], [F.col(f"r_t{n}") for n in orders], F.col("r_hyp"), F.col("r_ref")))
+    return running(pairs, order, {f"r_{c}": F.col(c) for c in ("hyp", "ref", *_COUNTS)}).withColumn("bleu", _bleu("r_"))
+
+
+class RunningBleu:
+    """The measure as an accumulator on the driver: update() with pairs, compute() over all since reset(), per_row() without
+    touching the state. What is held is ten sums."""
+
+    def __init__(self, shared: frozenset = frozenset(), tokenize: Tokenizer = blank_split):
+        self.shared, self.tokenize = shared, tokenize
+        self.reset()
+
+    def reset(self) -> None:
+        self.sums = dict.fromkeys(("hyp", "ref", *_COUNTS), 0)
+
+    def counted(self, pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
+        return pairs.withColumn("_b", pair_counts(F.col(hypothesis), F.col(reference), self.shared, self.tokenize)).select(*pairs.columns, "_b.*")
+
+    def per_row(self, pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
+        return pair_bleu(self.counted(pairs, hypothesis, reference)).select(*pairs.columns, "bleu")
+
+    def update(self, pairs: DataFrame, hypothesis: str, reference: str) -> None:
+        new = self.counted(pairs, hypothesis, reference).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.sums)).first()
+        self.sums = {c: n + new[c] for c, n in self.sums.items()}
+
+    def compute(self, spark) -> float:
+        row = spark.createDataFrame([tuple(self.sums.values())], ", ".join(f"{c} bigint" for c in self.sums))
+        return pair_bleu(row).first()["bleu"]

@@ -67,47 +67,44 @@ def token_counts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
-def _grams(spark, folder, column, orders=range(1, B.ORDER + 1)):
-    return B.grams(pairs(spark, folder), "row_id", T.words(T.clean_code(F.col(column))), orders)
-
-
 def ngram_top(spark, folder):
     """The 500 most frequent n-grams, orders 1 to 4, of all original codes."""
-    every = B.grams(codes(spark, folder, "original_code"), "row_id", T.words(T.clean_code(F.col("original_code"))))
+    every = B.corpus_grams(codes(spark, folder, "original_code"), T.clean_code(F.col("original_code")), joint=" ")
     return B.trivial(every).withColumn("n", F.col("n").cast("bigint"))
 
 
-def _clipped(spark, folder):
-    references, hypotheses = _grams(spark, folder, "original_code"), _grams(spark, folder, "generated_code")
-    return B.clipped(hypotheses, references, "row_id", B.trivial(references))
+def _counted(spark, folder, tokenize=B.blank_split):
+    """Pairs with their n-gram counts, without the n-grams that the original codes share most often. Codes are cleaned once."""
+    clean = pairs(spark, folder).select("row_id", F.explode(F.array(T.clean_code(F.col("original_code")))).alias("original"), "generated_code")
+    clean = clean.select("row_id", "original", F.explode(F.array(T.clean_code(F.col("generated_code")))).alias("generated"))
+    shared = B.shared_grams(B.trivial(B.corpus_grams(clean, F.col("original"), tokenize)))
+    return clean.select("row_id", B.pair_counts(F.col("generated"), F.col("original"), shared, tokenize).alias("b")).select("row_id", "b.*")
 
 
 def clipped_counts(spark, folder):
-    return _clipped(spark, folder).select("row_id", F.col("n").cast("bigint").alias("n"), "matched", "total")
-
-
-def _per_pair(spark, folder):
-    size = lambda c: F.size(T.words(T.clean_code(F.col(c)))).cast("bigint")
-    return B.per_pair(_clipped(spark, folder), pairs(spark, folder).select("row_id", size("generated_code").alias("hyp"), size("original_code").alias("ref")), "row_id")
+    return B.by_order(_counted(spark, folder), "row_id")
 
 
 def corpus_bleu(spark, folder):
     """BLEU by generator, over words."""
     by = codes(spark, folder, "generator")
-    return B.corpus_bleu(_per_pair(spark, folder).join(by, "row_id"), ["generator"]).select("generator", "hyp", "ref", F.round("bleu", 6).alias("bleu"))
+    return B.corpus_bleu(_counted(spark, folder).join(by, "row_id"), ["generator"]).select("generator", "hyp", "ref", F.round("bleu", 6).alias("bleu"))
 
 
 def running_bleu(spark, folder):
-    return B.running_bleu(_per_pair(spark, folder), [F.col("row_id")]).select("row_id", "r_hyp", "r_ref", F.round("bleu", 6).alias("bleu"))
+    return B.running_bleu(_counted(spark, folder), [F.col("row_id")]).select("row_id", "r_hyp", "r_ref", F.round("bleu", 6).alias("bleu"))
+
+
+def tex_bleu(spark, folder):
+    """BLEU of each pair over TeX tokens."""
+    return B.pair_bleu(_counted(spark, folder, Q.tex_tokens)).select("row_id", "hyp", "ref", F.round("bleu", 6).alias("bleu"))
 
 
 def final_difficulty(spark, folder):
     """1 - (custom score + BLEU + edit distance), with all of its parts, per pair; BLEU over TeX tokens of the pair alone."""
     rows = _scores(spark, folder).withColumn("sequence", Q.sequence_ratio_column(T.clean_code(F.col("original_code")), T.clean_code(F.col("generated_code"))))
     rows = rows.withColumn("ted", Q.edit_distance_column(T.preprocess(F.col("generated_code")), T.preprocess(F.col("original_code")))).withColumn("custom", S.blended({k: F.col(k) for k in S.OVERALL}, S.CUSTOM))
-    each = B.grams(pairs(spark, folder), "row_id", Q.tex_tokens_column(F.col("original_code"))), B.grams(pairs(spark, folder), "row_id", Q.tex_tokens_column(F.col("generated_code")))
-    lengths = each[1].filter("n = 1").groupBy("row_id").agg(F.sum("count").alias("hyp")).join(each[0].filter("n = 1").groupBy("row_id").agg(F.sum("count").alias("ref")), "row_id")
-    bleu = B.corpus_bleu(B.per_pair(B.clipped(each[1], each[0], "row_id", B.trivial(each[0])), lengths, "row_id"), ["row_id"]).select("row_id", "bleu")
+    bleu = B.pair_bleu(_counted(spark, folder, Q.tex_tokens)).select("row_id", "bleu")
     final = S.final_score(F.col("custom"), F.coalesce("bleu", F.lit(0.0)), F.col("ted"))
     return rows.join(bleu, "row_id", "left").select("row_id", F.round("custom", 6).alias("custom"), F.round(F.coalesce("bleu", F.lit(0.0)), 6).alias("bleu"), F.round("ted", 6).alias("ted"), F.round(1 - final, 6).alias("difficulty"))
 
@@ -252,7 +249,7 @@ _LOG = r"""
 
 QUERIES = {
     f.__name__: f
-    for f in (code_clean, feature_sets, overlap_ratios, similarity_blend, similarity_full, weights_in_effect, edit_distances, token_counts, ngram_top, clipped_counts, corpus_bleu, running_bleu, final_difficulty, text_flatten, text_filter, error_maps, best_engine, validity, header_inserted, code_rechunked, id_parse, preamble_balance, corpus_digest)
+    for f in (code_clean, feature_sets, overlap_ratios, similarity_blend, similarity_full, weights_in_effect, edit_distances, token_counts, ngram_top, clipped_counts, corpus_bleu, running_bleu, tex_bleu, final_difficulty, text_flatten, text_filter, error_maps, best_engine, validity, header_inserted, code_rechunked, id_parse, preamble_balance, corpus_digest)
 }
 SQL = {
     "code_clean": f"WITH {_U} SELECT row_id, md5({_clean('generated_code')}) AS clean, md5(regexp_replace({_clean('generated_code')}, '{T.PAIR}', '(\\1,\\2)', 'g')) AS normal FROM u",

@@ -136,6 +136,101 @@ def test_edit_distance_brute_force(a, b):
     assert Q.edit_distance(a, b) == pytest.approx(plain_edit_distance(a, b))
 
 
+def flooded(mask):
+    left, out = {tuple(p) for p in np.argwhere(mask).tolist()}, []
+    while left:
+        todo, area = [left.pop()], 0
+        while todo:
+            y, x = todo.pop()
+            area += 1
+            for near in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if near in left:
+                    left.remove(near)
+                    todo.append(near)
+        out.append(area)
+    return sorted(out)
+
+
+def test_regions_of_stacks():
+    rng = np.random.default_rng(2)
+    for n, h, w in ((5, 8, 8), (3, 1, 9), (2, 40, 31)):
+        for share in (0.0, 0.2, 0.45, 0.8, 1.0):
+            masks = rng.random((n, h, w)) < share
+            of, area = I.region_areas(masks)
+            assert [sorted(area[of == i].tolist()) for i in range(n)] == [flooded(m) for m in masks]
+    snake = np.zeros((1, 65, 65), bool)
+    snake[0, ::2] = True
+    snake[0, 1::4, -1] = snake[0, 3::4, 0] = True
+    assert I.component_areas(snake[0]) == flooded(snake[0]) == [int(snake.sum())]
+
+
+def test_structure_and_stacks():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 256, (2, 6, 11, 9, 3), np.uint8)
+    b[0] = a[0]
+    win = np.lib.stride_tricks.sliding_window_view
+    for x, y, got in zip(a, b, I.ssim_map(a, b)):
+        px, py = (np.pad(z.astype(float), ((3, 3), (3, 3), (0, 0)), mode="symmetric") for z in (x, y))
+        wx, wy = win(px, (7, 7), (0, 1)).reshape(11, 9, 3, 49), win(py, (7, 7), (0, 1)).reshape(11, 9, 3, 49)
+        mx, my = wx.mean(-1), wy.mean(-1)
+        cov = ((wx - mx[..., None]) * (wy - my[..., None])).sum(-1) / 48
+        want = (2 * mx * my + 6.5025) * (2 * cov + 58.5225) / ((mx**2 + my**2 + 6.5025) * (wx.var(-1, ddof=1) + wy.var(-1, ddof=1) + 58.5225))
+        assert np.allclose(got, want)
+    rows = I.compare_stacks(a, b)
+    assert np.allclose(rows[0, [0, 1, 2, 3, 4]], 0) and all(np.allclose(rows[i], I.compare_stacks(a[i : i + 1], b[i : i + 1])[0]) for i in range(6))
+    i = 3
+    mask = I.foreground(a[i], b[i])
+    d = (a[i].astype(float) - b[i]) / 255
+    assert rows[i, 0] == pytest.approx(np.sqrt((d[mask] ** 2).mean())) and rows[i, 2] == pytest.approx(np.abs(d[mask]).mean())
+    areas = np.array(flooded((np.abs(d).mean(-1) * mask) > I.APART), float)
+    assert rows[i, 3] == len(areas) and rows[i, 4] == pytest.approx(areas[areas > areas.mean()].sum() / 99 * (1 + rows[i, 5]))
+    png = [I.encode_png(x) for x in (*a, *b)] + [None, b"no"]
+    got = I.compare_many(png[:6] + png[:2] + [png[12], png[13]], png[6:12] + png[6:8] + png[:2])
+    assert np.allclose(got[:6], rows) and np.allclose(got[6:8], rows[:2]) and np.isnan(got[8:]).all()
+
+
+def test_edges():
+    square = np.full((1, 16, 16, 3), 255, np.uint8)
+    square[0, 4:12, 4:12] = 0
+    found = I.edges(square)[0]
+    assert len(flooded(found)) == 1 and not found[6:10, 6:10].any() and not found[:2].any()
+    assert all(1 <= found[y, :8].sum() <= 2 for y in range(6, 10))  # thin along a straight side
+    weak = np.full((1, 9, 9, 3), 255, np.uint8)
+    weak[0, :, 5:] = 225  # gradients between the thresholds, nothing over the upper one
+    assert not I.edges(weak).any() and I.complexity(weak[0]) == 0
+
+
+def raw_png(depth, color, lines, width, height, laced=0, extra=b""):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, color, 0, 0, laced)) + extra + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_png_forms():
+    rng = np.random.default_rng(1)
+    pixels = rng.integers(0, 256, (9, 13, 3), np.uint8)
+    wide = np.zeros((9, 13, 3, 2), np.uint8)
+    wide[..., 0], wide[..., 1] = pixels, rng.integers(0, 256, (9, 13, 3))
+    assert np.array_equal(I.decode_png(raw_png(16, 2, b"".join(b"\0" + r.tobytes() for r in wide.reshape(9, -1)), 13, 9)), pixels)
+    laced = b"".join(b"\0" + row.tobytes() for y, x, dy, dx in I._PASSES for part in (pixels[y::dy, x::dx],) if part.size for row in part)
+    assert np.array_equal(I.decode_png(raw_png(8, 2, laced, 13, 9, laced=1)), pixels)
+    before = np.zeros((9, 13, 3), np.int64)
+    before[:, 1:] = pixels[:, :-1]
+    above = np.zeros((9, 13, 3), np.int64)
+    above[1:] = pixels[:-1]
+    corner = np.zeros((9, 13, 3), np.int64)
+    corner[1:, 1:] = pixels[:-1, :-1]
+    near = before + above - corner
+    paeth = np.where((abs(near - before) <= abs(near - above)) & (abs(near - before) <= abs(near - corner)), before, np.where(abs(near - above) <= abs(near - corner), above, corner))
+    for kind, guess in ((1, before), (2, above), (3, (before + above) // 2), (4, paeth)):
+        lines = b"".join(bytes([kind]) + r.astype(np.uint8).tobytes() for r in ((pixels - guess) & 255).reshape(9, -1))
+        assert np.array_equal(I.decode_png(raw_png(8, 2, lines, 13, 9)), pixels), kind
+    bits = rng.integers(0, 2, (5, 11))
+    assert np.array_equal(I.decode_png(raw_png(1, 0, b"".join(b"\0" + np.packbits(r).tobytes() for r in bits), 11, 5))[..., 0], bits * 255)
+
+
 def test_images():
     white = np.full((8, 8, 3), 255, np.uint8)
     dot = white.copy()

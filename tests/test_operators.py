@@ -123,12 +123,14 @@ def test_subsets_of_any_size(spark):
 def test_bleu(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice("abcd") for _ in range(rng.randrange(0, 15))], [rng.choice("abcd") for _ in range(rng.randrange(1, 15))]) for i in range(30)]
-    df = spark.createDataFrame(rows, "id int, h array<string>, r array<string>")
-    h, r = B.grams(df, "id", F.col("h")), B.grams(df, "id", F.col("r"))
-    shared = B.trivial(r, 3)
-    out = {(x.n, x.gram) for x in shared.collect()}
-    grams = lambda t, n: Counter(g for g in (" ".join(t[i : i + n]) for i in range(len(t) - n + 1)) if (n, g) not in out)
-    pairs = B.per_pair(B.clipped(h, r, "id", shared), df.select("id", F.size("h").cast("bigint").alias("hyp"), F.size("r").cast("bigint").alias("ref")), "id")
+    df = spark.createDataFrame([(i, " ".join(h), " ".join(r)) for i, h, r in rows], "id int, h string, r string")
+    frequent = B.trivial(B.corpus_grams(df, F.col("r")), 3)
+    every = Counter(g for _, _, r in rows for n in B.ORDERS for g in B.grams_of(r, n))
+    assert {(x.n, tuple(x.gram.split(B.JOINT)), x.total) for x in B.corpus_grams(df, F.col("r")).collect()} == {(len(g), g, c) for g, c in every.items()}
+    out = B.shared_grams(frequent)
+    assert len(out) == 3 and min(every[g] for g in out) >= sorted(every.values())[-3]
+    grams = lambda t, n: Counter(g for g in B.grams_of(t, n) if g not in out)
+    pairs = df.select("id", B.pair_counts(F.col("h"), F.col("r"), out).alias("b")).select("id", "b.*")
 
     def score(sub):
         m = [sum(sum((grams(a, n) & grams(b, n)).values()) for _, a, b in sub) for n in range(1, 5)]
@@ -139,3 +141,16 @@ def test_bleu(spark):
     assert B.corpus_bleu(pairs.withColumn("g", F.lit(1)), ["g"]).first()["bleu"] == pytest.approx(score(rows))
     running = {x.id: x.bleu for x in B.running_bleu(pairs, [F.col("id")]).collect()}
     assert all(running[i] == pytest.approx(score(rows[: i + 1])) for i in range(30))
+    assert all(x.bleu == pytest.approx(score([rows[x.id]])) for x in B.pair_bleu(pairs).collect())
+    held = B.RunningBleu(out)
+    for part in ("id < 10", "id >= 10"):
+        held.update(df.filter(part), "h", "r")
+    assert held.compute(spark) == pytest.approx(score(rows)) and {x.id for x in held.per_row(df, "h", "r").collect()} == set(range(30))
+    held.reset()
+    assert held.compute(spark) == 0.0
+    odd = spark.createDataFrame([(1, None, "a b"), (2, "", None), (3, "a", "a")], "id int, h string, r string")
+    got = {x.id: tuple(x.b) for x in odd.select("id", B.pair_counts(F.col("h"), F.col("r")).alias("b")).collect()}
+    assert got == {1: (0, 2, *[0] * 8), 2: (0,) * 10, 3: (1, 1, 1, 1, *[0] * 6)}
+    assert B.corpus_grams(odd.limit(0), F.col("h")).count() == 0
+
+
