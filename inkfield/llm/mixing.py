@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.llm.tokens import TOKENIZER, n_tokens
@@ -14,8 +15,6 @@ from inkfield.plans.skew import running_before
 
 #: Sources whose targets are read to the driver; their table is broadcast.
 MOST_SOURCES = 1_000
-#: Records of a source that are looked at to make up for the last missing tokens.
-NEXT_ROWS = 500
 
 
 def water_fill(have: Mapping[str, int], share: Mapping[str, float], repeats: Mapping[str, int], total: float | None = None) -> dict[str, float]:
@@ -48,30 +47,37 @@ def water_fill(have: Mapping[str, int], share: Mapping[str, float], repeats: Map
     return out
 
 
-def top_up(rows: list[tuple], lack: float) -> list:
-    """Keys of (tokens, hash, key) rows, ascending, that together come close to `lack` tokens: what fits, from the largest
-    down, then the smallest of the rest if the sum is nearer to the goal with it."""
-    out, rest = [], []
-    for tokens, _, key in reversed(rows):
-        if tokens <= lack:
-            out.append(key)
-            lack -= tokens
-        else:
-            rest.append((tokens, key))
-    if rest and abs(rest[-1][0] - lack) < lack:
-        out.append(rest[-1][1])
+def top_up(sizes: Mapping[int, int], lack: float) -> dict[int, int]:
+    """How many records of each size (size -> how many there are) come close to `lack` tokens together: what fits, from the
+    largest down, then one of the smallest that are left if the sum is nearer to the goal with it."""
+    out: dict[int, int] = {}
+    for size in sorted(sizes, reverse=True):
+        n = min(sizes[size], int(lack // size))
+        if n > 0:
+            out[size] = n
+            lack -= n * size
+    left = min((size for size in sizes if sizes[size] > out.get(size, 0)), default=None)
+    if left is not None and abs(left - lack) < lack:
+        out[left] = out.get(left, 0) + 1
     return out
 
 
+def _top_ups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """top_up of one source's (tokens, n, lack) rows, one per size."""
+    found = top_up(dict(zip(pdf["tokens"], pdf["n"], strict=True)), float(pdf["lack"].iloc[0]))
+    return pd.DataFrame({"_s": pdf["_s"].iloc[0], "tokens": list(found), "_more": list(found.values())}).astype({"tokens": "int64", "_more": "int64"})
+
+
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER, seed: int = 5) -> DataFrame:
     """(key, source, tokens, uses) of the drawn records.
 
     A source that needs e times its tokens uses every record floor(e) times, and once more those that come first in a seeded
     hash order as long as they fit into the fraction. What is then still missing, less than one record's tokens, is made up of
-    the NEXT_ROWS following records that fit, the largest first, and by one more where that comes closer to the goal.
+    all the others that fit, the largest first, and by one more where that comes closer to the goal: how many of each size is
+    found on the source's counts of sizes, which of them by hash order again.
     No record is used more than max_repeats times. Null, empty and untargeted records aren't drawn, nor those of
     null sources; targets with a null or negative share draw nothing. Of a source that targets name twice, the first row in
-    the order of share and max_repeats holds. Only per-source sums reach the driver.
+    the order of share and max_repeats holds, of a key that records repeat, the least row. Only per-source sums reach the driver.
     """
     asked = {}
     for r in targets.filter("source is not null").select("source", "target_share", "max_repeats").orderBy("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect():
@@ -80,7 +86,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: st
         raise ValueError(f"at most {MOST_SOURCES} sources")
     wanted = [s for s, (share, n) in asked.items() if share > 0 and n > 0]
     known = docs.filter(F.col(key).isNotNull() & F.col(source).isin(wanted) & (F.length(text) > 0)) if wanted else docs.filter("false")
-    sized = cut(known.select(F.col(key).alias("_k"), F.col(source).alias("_s"), n_tokens(F.col(text), path).alias("tokens")))
+    counted = known.select(F.col(key).alias("_k"), F.struct(F.col(source).alias("_s"), n_tokens(F.col(text), path).alias("tokens")).alias("r"))
+    sized = cut(counted.groupBy("_k").agg(F.min("r").alias("r")).select("_k", "r.*"))
     have = {r["_s"]: r["n"] for r in sized.groupBy("_s").agg(F.sum("tokens").alias("n")).collect()}
     goal = water_fill(have, {s: v[0] for s, v in asked.items()}, {s: v[1] for s, v in asked.items()}, total)
     plan = [(s, int(goal[s] / n + 1e-9), max(0.0, goal[s] - int(goal[s] / n + 1e-9) * n), asked[s][1]) for s, n in have.items() if n]
@@ -90,11 +97,13 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, key: st
     taken = {r["_s"]: r["n"] for r in ordered.filter(fits).groupBy("_s").agg(F.sum("tokens").alias("n")).collect()}
     lacks = [(s, part - taken.get(s, 0)) for s, whole, part, most in plan if part > taken.get(s, 0) and whole < most]
     lacking = docs.sparkSession.createDataFrame(lacks, "_s string, lack double")
-    following = ordered.filter(~fits).join(F.broadcast(lacking), "_s").filter(F.col("tokens") < 2 * F.col("lack"))
-    nexts = following.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("_h", "_k"))).filter(F.col("_i") <= NEXT_ROWS).select("_s", "_k", "_h", "tokens").collect()
-    extra = [(k,) for s, lack in lacks for k in top_up(sorted((r["tokens"], r["_h"], r["_k"]) for r in nexts if r["_s"] == s), lack)]
-    extras = docs.sparkSession.createDataFrame(extra, ordered.select("_k").schema).withColumn("_more", F.lit(True))
-    drawn = ordered.join(F.broadcast(extras), "_k", "left").withColumn("uses", F.col("whole") + F.when(fits | F.col("_more"), 1).otherwise(0)).filter("uses > 0")
+    # Sizes under twice what is missing; what is taken of them adds up to less than that, so few of them are.
+    others = ordered.filter(~fits).join(F.broadcast(lacking), "_s").filter(F.col("tokens") < 2 * F.col("lack"))
+    sizes = others.groupBy("_s", "tokens", "lack").agg(F.count(F.lit(1)).alias("n"))
+    more = cut(sizes.groupBy("_s").applyInPandas(_top_ups, "_s string, tokens bigint, _more bigint"))
+    nexts = running_before(others.join(F.broadcast(more), ["_s", "tokens"]), ["_s", "tokens"], "_h", "_k", F.lit(1), "_i").filter(F.col("_i") < F.col("_more"))
+    drawn = ordered.withColumn("uses", F.col("whole") + F.when(fits, 1).otherwise(0)).filter("uses > 0").select("_k", "_s", "tokens", "uses")
+    drawn = drawn.unionByName(nexts.select("_k", "_s", "tokens", F.lit(1).alias("uses"))).groupBy("_k", "_s", "tokens").agg(F.sum("uses").alias("uses"))
     return drawn.select(F.col("_k").alias(key), F.col("_s").alias(source), "tokens", F.col("uses").cast("bigint").alias("uses"))
 
 

@@ -82,7 +82,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-#: Tokens of a draw too large for the smallest sources, which are then clamped at their repeats.
+#: Tokens of a draw too large for the smallest sources, which are then clamped at their repeats: at about four characters a
+#: token, as many as the whole table has.
 BUDGET_TOKENS_PER_MB = 250_000
 
 

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfield.functions.text import WS
+
 #: A passage counts from so many non-blank characters on.
 PASSAGE = 40
 #: Rows with the lowest hash of their key that the decision list is learned from; the bound of what reaches the driver.
 SAMPLE_ROWS = 3000
-#: Characters of the windows that statistics are made of; under PASSAGE.
-WINDOW = 20
-STATISTICS = ("window_cover", "statement_dup", "chars")
+#: Texts of more non-blank characters aren't cut into blocks, whose look-up grows with the square of the length; they are measured.
+BLOCK_CHARS = 20_000
+STATISTICS = ("reach", "statement_dup", "chars")
 #: Documents are measured together up to so many characters, to bound a worker's memory.
 CHUNK = 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,9 +61,8 @@ def _pairs(keyed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return place[same], place[first[same]]
 
 
-def _covered(bare: list[str], length: int, exact: bool) -> np.ndarray:
-    """Characters of each text that lie in windows of `length` that already began earlier in it. Not exact: by hash alone,
-    of which a false match can only raise the count."""
+def _covered(bare: list[str], length: int) -> np.ndarray:
+    """Characters of each text that lie in windows of `length` that already began earlier in it."""
     x, doc = _codes(bare)
     h = _windows(x, length)
     n = len(h)
@@ -70,18 +71,15 @@ def _covered(bare: list[str], length: int, exact: bool) -> np.ndarray:
     place = np.flatnonzero(doc[:n] == doc[length - 1 : length - 1 + n])
     keyed = (h * _MIX ^ (doc[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))[place]
     late, early = _pairs(keyed, max(1, int(len(keyed)).bit_length()))
-    if exact:
-        late, early = place[late], place[early]
-        equal = doc[late] == doc[early]
-        for j in range(length):
-            equal &= x[late + j] == x[early + j]
-        if not equal.all():  # windows that share upper bits: by the whole 64
-            order = np.argsort(keyed, kind="stable")
-            same = np.zeros(len(order), bool)
-            same[1:] = keyed[order][1:] == keyed[order][:-1]
-            late = place[order[same]]
-    else:
-        late = place[late]
+    late, early = place[late], place[early]
+    equal = doc[late] == doc[early]
+    for j in range(length):
+        equal &= x[late + j] == x[early + j]
+    if not equal.all():  # windows that share upper bits: by the whole 64
+        order = np.argsort(keyed, kind="stable")
+        same = np.zeros(len(order), bool)
+        same[1:] = keyed[order][1:] == keyed[order][:-1]
+        late = place[order[same]]
     edge = np.bincount(late, minlength=len(x) + 1) - np.bincount(late + length, minlength=len(x) + 1)
     return np.bincount(doc, np.cumsum(edge[: len(x)]) > 0, minlength=len(bare))
 
@@ -110,39 +108,40 @@ def repeated_shares(texts: Sequence[str | None], passage: int = PASSAGE) -> list
     earlier in it. Overlap counts. Null, empty and shorter texts have 0."""
     out = np.zeros(len(texts))
     for group, bare in _chunks(texts, passage):
-        out[group] = _covered(bare, passage, exact=True) / [len(t) for t in bare]
+        out[group] = _covered(bare, passage) / [len(t) for t in bare]
     return out.tolist()
 
 
-def statistics(texts: Sequence[str | None]) -> pd.DataFrame:
-    """The STATISTICS of each text, blanks left out: the share covered by short windows seen before, that of statements seen
-    before, and the length. Null and empty texts have 0 throughout. window_cover is never below the repeated share, as a
-    repeated passage consists of repeated windows."""
-    rows = np.zeros((len(texts), len(STATISTICS)))
-    for group, bare in _chunks(texts, 0):
-        chars = np.array([len(t) for t in bare], float)
-        rows[group, 0] = _covered(bare, WINDOW, exact=False) / chars
-        rows[group, 1] = [1 - sum(map(len, set(p))) / max(1, len(t) - len(p) + 1) for t in bare for p in (t.split(";"),)]
-        rows[group, 2] = chars
-    return pd.DataFrame(rows, columns=list(STATISTICS))
-
-
 def _share_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series(repeated_shares(texts.tolist()))
 
 
-def _statistic_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        yield statistics(texts.tolist())
-
-
 def share(text: Column) -> Column:
     return F.pandas_udf(_share_batches, "double")(text)
 
 
-def statistic_struct(text: Column) -> Column:
-    return F.pandas_udf(_statistic_batches, ", ".join(f"{s} double" for s in STATISTICS))(text)
+def with_statistics(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the struct `name` of the STATISTICS of a text, blanks left out, by built-in expressions. Null texts have null ones.
+
+    reach: an upper bound of the repeated share. The text is cut into blocks of half a passage; r of them stand somewhere before
+    their own place too. A repeated passage, at whatever place, holds one whole block, which then stood in the earlier one; so it
+    lies within half a passage of one of the r, and at most 1.5 passages for each of them are covered. Texts over BLOCK_CHARS
+    have a reach above any share.
+    statement_dup: share of the characters in statements seen before. chars: the length.
+
+    Two generators of one row each, so that what is built on their output doesn't evaluate the expressions again.
+    """
+    half = PASSAGE // 2
+    bare = df.withColumn("_b", F.explode(F.array(F.regexp_replace(text, f"{WS}+", ""))))
+    n = F.length("_b")
+    starts = F.when((n >= half) & (n <= BLOCK_CHARS), F.sequence(F.lit(0), F.greatest(n - half, F.lit(0)), F.lit(half))).otherwise(F.array().cast("array<int>"))
+    again = F.size(F.filter(starts, lambda k: F.position(F.substring(F.col("_b"), k + 1, F.lit(half)), F.col("_b")) <= k))
+    reach = F.when(n > BLOCK_CHARS, 2.0).otherwise(again * (3.0 * half) / F.greatest(n, F.lit(1)))
+    once = F.aggregate(F.array_distinct(F.split("_b", ";")), F.lit(0), lambda total, part: total + F.length(part))
+    parts = F.size(F.split("_b", ";"))
+    dup = F.when(n - parts + 1 > 0, 1 - once / (n - parts + 1)).otherwise(0.0)
+    return bare.withColumn(name, F.explode(F.array(F.struct(reach.alias("reach"), dup.alias("statement_dup"), n.cast("double").alias("chars"))))).drop("_b")
 
 
 @dataclass(frozen=True)
@@ -202,7 +201,8 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> Rule:
 
 def learn(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 0, most: int = 12) -> list[Rule]:
     """Ordered rules for the class y by sequential covering: each is grown on two thirds of the rows that are left, pruned on
-    the rest, and kept if it covers no row of the other class; the rows it covers are then set aside."""
+    the rest, and kept if it covers no row of the other class; the rows it covers are then set aside. At most `most` rules: what
+    they leave is measured."""
     rng, rules = np.random.default_rng(seed), []
     left = np.arange(len(y))
     while len(rules) < most and len(left) and y[left].any():
@@ -225,16 +225,16 @@ def learn_plain(df: DataFrame, key: str, text: str, limit: float, sample_rows: i
     """Rules under which a document is plain (repeated share at most `limit`), learned from the sample_rows rows whose keys
     have the lowest hashes, labelled by the exact measure. A sample with one class only gives no rules.
 
-    Each rule gets the term window_cover <= limit, or keeps a tighter one: as window_cover is never below the repeated share,
-    no rule can set a repeated document aside, whatever the sample missed.
+    Each rule gets the term reach <= limit, or keeps a tighter one: as reach is never below the repeated share, no rule can set
+    a repeated document aside, whatever the sample missed.
     """
     picked = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).orderBy(F.xxhash64(key, F.lit(11)), key).limit(sample_rows).select(F.col(text).alias("t"))
-    rows = picked.repartition(max(1, min(8, sample_rows // 200))).select(statistic_struct(F.col("t")).alias("x"), share(F.col("t")).alias("y")).select("x.*", "y").toPandas().sort_values([*STATISTICS, "y"])
+    rows = with_statistics(picked.repartition(max(1, min(8, sample_rows // 200))), "t", "x").select("x.*", share(F.col("t")).alias("y")).toPandas().sort_values([*STATISTICS, "y"])
     y = rows["y"].to_numpy() <= limit
     if y.all() or not y.any():
         return []
     found = learn({s: rows[s].to_numpy() for s in STATISTICS}, y)
-    return [Rule((*(t for t in r.terms if t[:2] != ("window_cover", "le")), ("window_cover", "le", min([limit, *(t[2] for t in r.terms if t[:2] == ("window_cover", "le"))])))) for r in found]
+    return [Rule((*(t for t in r.terms if t[:2] != ("reach", "le")), ("reach", "le", min([limit, *(t[2] for t in r.terms if t[:2] == ("reach", "le"))])))) for r in found]
 
 
 def repeated(df: DataFrame, key: str = "row_id", text: str = "generated_code", limit: float = 0.5, rules: list[Rule] | None = None) -> DataFrame:
@@ -247,7 +247,7 @@ def repeated(df: DataFrame, key: str = "row_id", text: str = "generated_code", l
     rules = learn_plain(df, key, text, limit) if rules is None else rules
     rows = df.filter(F.col(key).isNotNull() & (F.length(text) > PASSAGE)).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     if rules:
-        rows = rows.withColumn("_x", statistic_struct(F.col("_t")))
+        rows = with_statistics(rows, "_t", "_x")
         of = {s: F.col(f"_x.{s}") for s in STATISTICS}
         plain = F.when(rules[0].column(of), F.lit(1))
         for i, rule in enumerate(rules[1:], 2):

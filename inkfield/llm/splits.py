@@ -18,9 +18,11 @@ PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 EXACT_SIZE = 256
 #: A component with more than 1/GIANTS of all records is a bundle of its own: there are fewer than GIANTS of these.
 GIANTS = 1000
-#: Labels told apart in a bundle's profile; the others share one name. Bounds the bundles sent to the driver to
-#: (EXACT_SIZE + 8 * 64) * (LABELS + 1) + GIANTS.
-LABELS = 8
+#: Labels told apart in a bundle's profile, the others sharing one name, and the steps in which their shares are written there.
+#: A profile shares out at most STEPS + LABELS / 2 steps to LABELS + 1 names, which bounds the bundles sent to the driver.
+LABELS, STEPS = 8, 4
+#: Bundles of one size that a flow is found for at a time.
+TOGETHER = 16
 #: The forms of a known author and of a known figure reference, after trimming and lower-casing.
 REAL_AUTHOR = r"^[a-z]+_[0-9a-f]+$"
 REAL_FIGURE = r"^fig-[0-9]{2}-[0-9a-f]+$"
@@ -44,132 +46,96 @@ def groups(origin: DataFrame) -> DataFrame:
     return components(origin_links(origin))
 
 
-def allocate(bundles: Sequence[tuple[float, str, int]], proportions: Mapping[str, float]) -> list[list[int]]:
-    """Components of each bundle (size, label, count) for each split, by a min-cost flow.
+def allocate(bundles: Sequence[tuple[float, Mapping[str, float] | str, int]], proportions: Mapping[str, float]) -> list[list[int]]:
+    """Components of each bundle (size, records by label, count) for each split, by min-cost flows. A label alone stands for all
+    of the size.
 
-    Flow runs in records from the bundles through (label, split) nodes to the splits. An arc is free up to its quota (the
-    split's share of the bundle, of the label, of everything) and costs a unit for each record beyond it, weighted 1, 2 and 4.
-    Whole quotas of bundles are sent along the free arcs first; what is left, fewer components a bundle than splits, follows
-    shortest augmenting paths. Fractions are then rounded: the largest bundles first, each leftover component goes where the
-    rounded plan is cheapest, the flow deciding between equals.
+    Whole quotas, the floor of a bundle's count times each split's share, go first; fewer components than splits are left of a
+    bundle. These are the flow: in components of one size, so that it is integral as it comes, from the bundles through the
+    splits. A unit costs the records by which it moves a split, its bundle and its labels away from their quotas (weights 4, 1
+    and 2), less those by which it brings them closer. Sizes follow each other from the largest down, a few bundles at a time;
+    quotas are shares of what has come up to then, so that what large components leave uneven is made up by smaller ones.
     """
-    names = list(proportions)
-    share = np.array([proportions[n] for n in names], float)
+    share = np.array(list(proportions.values()), float)
     share = share / share.sum()
-    k = len(names)
-    labels = sorted({b[1] for b in bundles})
-    at = {x: i for i, x in enumerate(labels)}
+    profiles = [p if isinstance(p, Mapping) else {p: size} for size, p, _ in bundles]
+    at = {y: i for i, y in enumerate(sorted({y for p in profiles for y in p}))}
     size = np.array([b[0] for b in bundles], float)
-    label = np.array([at[b[1]] for b in bundles], int)
     count = np.array([b[2] for b in bundles], np.int64)
+    holds = np.zeros((len(bundles), len(at)))
+    for b, profile in enumerate(profiles):
+        for y, n in profile.items():
+            holds[b, at[y]] = n
     plan = np.floor(count[:, None] * share + 1e-9).astype(np.int64)
     left = count - plan.sum(1)
-    total = (size * count).sum()
-    of_label = np.bincount(label, size * count, minlength=len(labels))
-    used = np.zeros((len(labels), k))
-    np.add.at(used, label, plan * size[:, None])
-    flow = _leftover_flow(size, label, left, share, used, of_label, total)
-    goal, quota = share * total, of_label[:, None] * share
-    sums = used.sum(0)
-    for b in np.argsort(-size, kind="stable"):
-        for _ in range(left[b]):
-            over = 4 * _growth(sums, goal, size[b]) + 2 * _growth(used[label[b]], quota[label[b]], size[b]) + _growth(plan[b] * size[b], share * count[b] * size[b], size[b])
-            to = int(np.lexsort((np.arange(k), -flow[b], np.round(over, 6)))[0])
-            plan[b, to] += 1
-            flow[b, to] -= size[b]
-            sums[to] += size[b]
-            used[label[b], to] += size[b]
+    beyond, beyond_label = np.zeros(len(share)), np.zeros((len(at), len(share)))  # records over the quotas up to now
+    order = np.lexsort((np.arange(len(size)), -size))
+    for first in (0, *(np.flatnonzero(np.diff(size[order])) + 1)):
+        same = order[first:][size[order[first:]] == size[order[first]]]
+        for some in (same[i : i + TOGETHER] for i in range(0, len(same), TOGETHER)):
+            fair = count[some, None] * share
+            beyond = beyond + ((plan[some] - fair) * size[some, None]).sum(0)
+            beyond_label = beyond_label + holds[some].T @ (plan[some] - fair)
+            if left[some].any():
+                flow = transport(float(size[some[0]]), holds[some], left[some], fair - plan[some], beyond, beyond_label)
+                plan[some] += flow
+                beyond = beyond + flow.sum(0) * size[some[0]]
+                beyond_label = beyond_label + holds[some].T @ flow
     return plan.tolist()
 
 
-def _growth(now: np.ndarray, goal: np.ndarray, add: float) -> np.ndarray:
-    """By how much the records beyond `goal`, less those short of it, grow if `add` more are put there."""
-    return np.abs(now + add - goal) - np.abs(now - goal)
+def transport(size: float, holds: np.ndarray, left: np.ndarray, fair: np.ndarray, beyond: np.ndarray, beyond_label: np.ndarray) -> np.ndarray:
+    """Units of each bundle for each split at least cost, by shortest augmenting paths; what flow_cost() counts is the least.
 
-
-def _leftover_flow(size: np.ndarray, label: np.ndarray, left: np.ndarray, share: np.ndarray, used: np.ndarray, of_label: np.ndarray, total: float) -> np.ndarray:
-    """Records of each bundle's leftover components for each split, as fractions may be: successive shortest paths.
-
-    A path may push other bundles' flow from one split to another: with k splits a residual step goes from split i to split j
-    through the label whose move is cheapest, so each path is found over k nodes.
+    All arcs are convex: a bundle's to a split by its deviation from the fair number and its labels', a split's to the end by
+    the split's. A path may push units of other bundles from one split to the next, so it is found over the splits alone, with
+    the cheapest bundle for each step between two.
     """
-    k, n_labels = len(share), len(of_label)
-    flow = np.zeros((len(size), k))
-    # Free room below the quotas, then unlimited room at a cost.
-    room_all = share * total - used.sum(0)
-    room_label = of_label[:, None] * share - used
-    held = np.zeros((n_labels, k))  # leftover records of the label in the split
-    for b in np.argsort(-size * left, kind="stable"):
-        need, y = size[b] * left[b], label[b]
-        fair = need * share
-        for _ in range(64):
-            if need <= 1e-9:
-                break
-            step = np.full((k, k), np.inf)  # moving a record that is already placed from i to j
-            via = np.zeros((k, k), int)
+    k = len(beyond)
+    by_label = _label_costs(holds, beyond_label)
+    x = np.zeros((len(left), k), np.int64)
+    for b in np.repeat(np.arange(len(left)), left):
+        more = by_label + size * (np.abs(x + 1 - fair) - np.abs(x - fair))
+        less = np.where(x > 0, by_label + size * (np.abs(x - fair) - np.abs(x - 1 - fair)), -np.inf)
+        steps = more[:, None, :] - less[:, :, None]  # bundle, from, to
+        via, step = steps.argmin(0), steps.min(0)
+        filled = beyond + x.sum(0) * size
+        leave = 4 * (np.abs(filled + size) - np.abs(filled))
+        dist, came = more[b].copy(), np.full(k, -1)
+        for _ in range(k - 1):
             for i in range(k):
                 for j in range(k):
-                    movable = held[:, i] > 1e-9
-                    if i != j and movable.any():
-                        cost = np.where(movable, 2.0 * (room_label[:, j] <= 1e-9) - 2.0 * (room_label[:, i] < -1e-9), np.inf)
-                        via[i, j] = int(np.argmin(cost))
-                        step[i, j] = cost[via[i, j]]
-            enter = 2.0 * (room_label[y] <= 1e-9) + 1.0 * (flow[b] >= fair - 1e-9)
-            leave = 4.0 * (room_all <= 1e-9)
-            dist, came = enter.copy(), np.full(k, -1)
-            for _ in range(k):
-                for i in range(k):
-                    for j in range(k):
-                        if dist[i] + step[i, j] < dist[j] - 1e-9 and came[i] != j:
-                            dist[j], came[j] = dist[i] + step[i, j], i
-            end = int(np.argmin(dist + leave))
-            path, seen = [end], {end}
-            while came[path[-1]] >= 0 and came[path[-1]] not in seen:
-                path.append(int(came[path[-1]]))
-                seen.add(path[-1])
-            path.reverse()
-            limits = [need]
-            first = path[0]
-            limits += [x for x in (room_label[y, first], fair[first] - flow[b, first], room_all[end]) if x > 1e-9]
-            limits += [x for i, j in zip(path, path[1:], strict=False) for x in (held[via[i, j], i], room_label[via[i, j], j]) if x > 1e-9]
-            push = min(limits)
-            flow[b, first] += push
-            held[y, first] += push
-            room_label[y, first] -= push
-            for i, j in zip(path, path[1:], strict=False):
-                m = via[i, j]
-                donors = np.where((label == m) & (flow[:, i] > 1e-9))[0]
-                rest = push
-                for q in donors:
-                    x = min(rest, flow[q, i])
-                    flow[q, i] -= x
-                    flow[q, j] += x
-                    rest -= x
-                    if rest <= 1e-9:
-                        break
-                held[m, i] -= push
-                held[m, j] += push
-                room_label[m, i] += push
-                room_label[m, j] -= push
-            room_all[end] -= push
-            need -= push
-        if need > 1e-9:
-            flow[b] += need * share
-            held[y] += need * share
-            room_label[y] -= need * share
-            room_all -= need * share
-    return flow
+                    if i != j and dist[i] + step[i, j] < dist[j] - 1e-9:
+                        dist[j], came[j] = dist[i] + step[i, j], i
+        j = int(np.argmin(np.round(dist + leave, 6)))
+        while came[j] >= 0:
+            i = came[j]
+            x[via[i, j], i] -= 1
+            x[via[i, j], j] += 1
+            j = i
+        x[b, j] += 1
+    return x
+
+
+def _label_costs(holds: np.ndarray, beyond_label: np.ndarray) -> np.ndarray:
+    """By how many records a component of each bundle moves its labels away from their quotas in each split, twice."""
+    return 2 * (np.abs(beyond_label[None] + holds[:, :, None]) - np.abs(beyond_label)[None]).sum(1)
+
+
+def flow_cost(x: np.ndarray, size: float, holds: np.ndarray, fair: np.ndarray, beyond: np.ndarray, beyond_label: np.ndarray) -> float:
+    """What the flow x of a transport() costs."""
+    return float((_label_costs(holds, beyond_label) * x).sum() + size * np.abs(x - fair).sum() + 4 * np.abs(beyond + x.sum(0) * size).sum())
 
 
 def assign_splits(records: DataFrame, origin: DataFrame, key: str = "row_id", example: str = "example_number", label: str = "generator", proportions: Mapping[str, float] | None = None, seed: int = 7) -> DataFrame:
     """(key, example, component, split) of each distinct record.
 
     Related records (one example, or examples joined through origin_links, directly or by way of others) share a split.
-    Components are bundled by size and by their most frequent label; `allocate` gives each bundle's quota for every split, and
-    the members of a bundle are assigned by the order of their hash. Records repeated under one key count once; null keys are
-    dropped. A record with a null example has no relation and is a component of its own, with a null component. Null labels
-    count as a label. Empty tables give no rows. Only the bundles' counts reach the driver; LABELS, EXACT_SIZE and GIANTS
-    bound them.
+    Components are bundled by size and by their label profile: what share each label has of their records, to a quarter;
+    `allocate` gives each bundle's quota for every split, and the members of a bundle are assigned by the order of their hash.
+    Records repeated under one key count once; null keys are dropped. A record with a null example has no relation and is a
+    component of its own, with a null component. Null labels count as a label. Empty tables give no rows. Only the bundles'
+    counts reach the driver; LABELS, STEPS, EXACT_SIZE and GIANTS bound them.
     """
     proportions = dict(proportions or PROPORTIONS)
     spark = records.sparkSession
@@ -179,19 +145,23 @@ def assign_splits(records: DataFrame, origin: DataFrame, key: str = "row_id", ex
     per = cut(per.join(who, "_e", "left").withColumn("component", F.coalesce("component", "_e")))
     lone = rows.filter("_e is null").select((-F.abs(F.xxhash64("_k")) - 1).alias("component"), "_y", F.lit(1).cast("bigint").alias("n"))
     tally = per.select("component", "_y", "n").unionByName(lone).groupBy("component", "_y").agg(F.sum("n").alias("n"))
-    comps = cut(tally.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "_y")).getField("_y").alias("label")))
+    top = [r[0] for r in tally.groupBy("_y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_y").limit(LABELS).collect()]
+    of_label = [F.sum(F.when(F.col("_y") == y, F.col("n")).otherwise(0)).alias(f"n{i}") for i, y in enumerate(top)]
+    comps = tally.groupBy("component").agg(F.sum("n").alias("size"), *of_label)
+    comps = cut(comps.withColumn(f"n{len(top)}", F.col("size") - sum((F.col(f"n{i}") for i in range(len(top))), F.lit(0))))
+    counts = [f"n{i}" for i in range(len(top) + 1)]
     total = comps.agg(F.sum("size")).first()[0]
     shape = F.when(F.col("size") <= EXACT_SIZE, F.col("size").cast("double")).when(F.col("size") > total / GIANTS if total else F.lit(True), F.col("component") + F.lit(1e15)).otherwise(-F.floor(F.log2("size") * 8)).cast("double")
-    top = [r[0] for r in comps.groupBy("label").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
-    comps = comps.withColumn("shape", shape).withColumn("label", F.when(F.col("label").isin(top), F.col("label")).otherwise("(other)"))
-    found = comps.groupBy("shape", "label").agg(F.avg("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("shape", "label").collect()
-    plan = allocate([(r["size"], r["label"], r["n"]) for r in found], proportions) if found else []
-    quota = [(r["shape"], r["label"], [int(x) for x in np.cumsum(p)]) for r, p in zip(found, plan, strict=True)]
-    quotas = spark.createDataFrame(quota, "shape double, label string, upto array<bigint>")
-    ordered = running_before(comps.withColumn("_h", F.xxhash64("component", F.lit(seed))), ["shape", "label"], "_h", "component", F.lit(1))
+    profile = F.concat_ws(",", *(F.round(F.col(c) * STEPS / F.col("size")).cast("int").cast("string") for c in counts))
+    comps = comps.withColumns({"shape": shape, "profile": profile})
+    found = comps.groupBy("shape", "profile").agg(F.avg("size").alias("size"), F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in counts)).orderBy("shape", "profile").collect()
+    plan = allocate([(r["size"], {c: r[c] for c in counts if r[c]}, r["n"]) for r in found], proportions) if found else []
+    quota = [(r["shape"], r["profile"], [int(x) for x in np.cumsum(p)]) for r, p in zip(found, plan, strict=True)]
+    quotas = spark.createDataFrame(quota, "shape double, profile string, upto array<bigint>")
+    ordered = running_before(comps.withColumn("_h", F.xxhash64("component", F.lit(seed))), ["shape", "profile"], "_h", "component", F.lit(1))
     names = F.array(*(F.lit(n) for n in proportions))
     split = F.element_at(names, (F.size(F.filter("upto", lambda u: u <= F.col("before"))) + 1).cast("int"))
-    given = ordered.join(F.broadcast(quotas), ["shape", "label"]).select("component", split.alias("split"))
+    given = ordered.join(F.broadcast(quotas), ["shape", "profile"]).select("component", split.alias("split"))
     whole = salted_join(per.select("_e", "component").distinct(), given, "component", F.xxhash64("_e")).select("_e", "component", "split")
     out = salted_join(rows.filter("_e is not null"), whole, "_e", F.xxhash64("_k")).select("_k", "_e", "component", "split")
     alone = rows.filter("_e is null").withColumn("component", -F.abs(F.xxhash64("_k")) - 1).join(given, "component").select("_k", "_e", F.lit(None).cast("bigint").alias("component"), "split")

@@ -19,7 +19,25 @@ def test_water_fill():
 
 
 def test_top_up():
-    assert M.top_up([(3, 0, "a"), (5, 0, "b"), (9, 0, "c")], 8) == ["b", "a"] and M.top_up([(9, 0, "c")], 8) == ["c"] and M.top_up([(9, 0, "c")], 4) == []
+    assert M.top_up({3: 1, 5: 1, 9: 1}, 8) == {5: 1, 3: 1} and M.top_up({9: 1}, 8) == {9: 1} and M.top_up({9: 1}, 4) == {}
+    assert M.top_up({4: 5, 7: 1}, 18.5) == {7: 1, 4: 3} and M.top_up({4: 1, 3: 9}, 13) == {4: 1, 3: 3} and M.top_up({}, 5) == {}
+
+
+def test_all_records_can_close_a_gap(spark):
+    """One long record after hundreds of long ones has just the size that is missing, whatever its place."""
+    rows = [(i, "word " * 60, "a") for i in range(900)] + [(10_000, "word " * 31, "a")] + [(20_000 + i, "word " * 60, "b") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    size = {i: counts([t])[0] for i, t, _ in (rows[0], rows[900])}
+    total = (2 * size[0] + size[10_000]) / 0.9
+    out = {r.doc_id: r.tokens for r in M.mix(docs, targets, total).collect() if r.source == "a"}
+    assert 10_000 in out and sum(out.values()) == pytest.approx(total * 0.9)
+
+
+def test_repeated_keys_count_once(spark):
+    docs = spark.createDataFrame([(i % 50, "word " * (i % 50 + 1), "a") for i in range(200)], "doc_id bigint, text string, source string")
+    out = M.mix(docs, spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")).collect()
+    assert len(out) == 50 and all(r.uses == 2 for r in out)
 
 
 def test_mix(spark):

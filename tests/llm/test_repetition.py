@@ -39,11 +39,20 @@ def test_collisions_of_upper_bits(monkeypatch):
     assert P.repeated_shares(group) == pytest.approx([brute(t) for t in group])
 
 
-def test_cover_bounds_the_share():
-    group = texts(300, 3)
-    stats = P.statistics(group)
-    assert (stats["window_cover"].to_numpy() >= np.array(P.repeated_shares(group)) - 1e-12).all()
-    assert stats.iloc[:3].to_numpy().tolist() == [[0, 0, 0]] * 3
+def test_reach_bounds_the_share(spark):
+    rng = random.Random(9)
+    group = texts(300, 3) + ["ab" * 30_000, "long words " * 400]
+    for i in range(200):  # repeated passages of just over the least length, at any shift
+        passage = "".join(rng.choice("abcdefgh") for _ in range(40 + i % 25))
+        noise = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(60)))
+        group.append(noise() + passage + noise() + passage + noise() + passage[: rng.randrange(41)])
+    df = spark.createDataFrame(list(enumerate(group)), "i int, t string")
+    got = {r.i: r.x for r in P.with_statistics(df, "t", "x").collect()}
+    shares = P.repeated_shares(group)
+    assert all(got[i].reach >= s - 1e-12 for i, s in enumerate(shares) if group[i] is not None)
+    assert [tuple(got[i]) for i in (1, 2)] == [(0, 0, 0)] * 2 and got[0].chars is None
+    assert got[300 + 7].reach > 1 and sum(x.reach <= 0.5 for i, x in got.items() if x.reach is not None) > 100
+    assert [x.statement_dup for x in (r.x for r in P.with_statistics(spark.createDataFrame([("a;b;a;",), ("a b; ab",)], "t string"), "t", "x").collect())] == pytest.approx([1 - 2 / 3, 0.5])
 
 
 def test_learner():
@@ -68,7 +77,7 @@ def test_repeated(spark):
     df = spark.createDataFrame(rows, "row_id bigint, generated_code string, share string")
     want = {i: round(brute(t), 6) for i, t in enumerate(group)}
     rules = P.learn_plain(df, "row_id", "generated_code", 0.5, 100)
-    assert rules and all(("window_cover", "le") in [t[:2] for t in r.terms] for r in rules)
+    assert rules and all(("reach", "le") in [t[:2] for t in r.terms] for r in rules)
     for r in (None, rules, []):
         assert {x.row_id: x.share for x in P.repeated(df, rules=r).collect()} == pytest.approx({i: s for i, s in want.items() if s > 0.5})
     assert {x.row_id: x.share for x in P.shares(df).collect()} == pytest.approx(want)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from inkfield.llm import splits as S
 from tests.test_plans import brute as brute_components
 
@@ -27,6 +29,62 @@ def test_allocate_keeps_quotas():
     assert S.allocate([(5.0, "a", 1)], {"train": 0.8, "test": 0.2}) == [[1, 0]]
 
 
+def test_flow_is_the_least():
+    """Against all ways of sharing out small bundles, and below what rounding by the largest remainders gives."""
+    from itertools import product
+
+    import numpy as np
+
+    rng, better = np.random.default_rng(5), 0
+    share = np.array([0.8, 0.1, 0.1])
+    for _ in range(60):
+        n = int(rng.integers(1, 5))
+        left, size = rng.integers(0, 3, n), float(rng.integers(1, 30))
+        holds = rng.dirichlet(np.ones(3), n) * size
+        fair, beyond, off = left[:, None] * share + rng.random((n, 3)) - 0.5, rng.normal(0, 40, 3), rng.normal(0, 20, (3, 3))
+        ways = [[w for w in product(range(3), repeat=3) if sum(w) == m] for m in left]
+        cost = lambda x: S.flow_cost(np.array(x), size, holds, fair, beyond, off)
+        x = S.transport(size, holds, left, fair, beyond, off)
+        assert x.sum(1).tolist() == left.tolist() and cost(x) == pytest.approx(min(map(cost, product(*ways))), abs=1e-6)
+        rounded = np.zeros((n, 3))
+        for b in range(n):
+            for j in np.argsort(-fair[b], kind="stable")[: left[b]]:
+                rounded[b, j] += 1
+        better += cost(x) < cost(rounded) - 1e-6
+    assert better > 20
+
+
+def test_flow_lowers_the_deviation(monkeypatch):
+    import numpy as np
+
+    def remainders(size, holds, left, fair, beyond, off):
+        x = np.zeros(fair.shape, np.int64)
+        for b in range(len(left)):
+            for j in np.argsort(-fair[b], kind="stable")[: left[b]]:
+                x[b, j] += 1
+        return x
+
+    def deviation(bundles, plan):
+        total, labels = sum(s * n for s, _, n in bundles), {y for _, p, _ in bundles for y in p}
+        goals = sum(abs(sum(b[0] * p[k] for b, p in zip(bundles, plan)) - share * total) for k, share in enumerate(S.PROPORTIONS.values()))
+        own = {y: sum(p.get(y, 0) * n for _, p, n in bundles) for y in labels}
+        return goals, sum(abs(sum(b[1].get(y, 0) * p[k] for b, p in zip(bundles, plan)) - share * own[y]) for y in labels for k, share in enumerate(S.PROPORTIONS.values()))
+
+    rng = random.Random(6)
+    sets = []
+    for _ in range(20):
+        bundles = []
+        for _ in range(rng.randrange(20, 120)):
+            size = rng.choice([2, 3, 5, 5, 8, 40])
+            a = rng.randrange(size + 1)
+            bundles.append((float(size), {"a": a, "b": size - a}, rng.choice([1, 1, 1, 2, 7])))
+        sets.append(bundles)
+    by_flow = [deviation(b, S.allocate(b, S.PROPORTIONS)) for b in sets]
+    monkeypatch.setattr(S, "transport", remainders)
+    plain = [deviation(b, S.allocate(b, S.PROPORTIONS)) for b in sets]
+    assert all(f[0] < 0.2 * p[0] for f, p in zip(by_flow, plain)) and sum(f[1] for f in by_flow) < 0.5 * sum(p[1] for p in plain)
+
+
 def test_splits_never_part(spark):
     rng = random.Random(4)
     origin = [(i, rng.randrange(400), f"au_{rng.randrange(300):x}" if rng.random() < 0.7 else "unknown", f"fig-00-{rng.randrange(300):x}" if rng.random() < 0.3 else None, "x") for i in range(350)]
