@@ -16,6 +16,9 @@ from inkfield.functions.text import WS
 PASSAGE = 40
 #: Rows with the lowest hash of their key that the decision list is learned from; the bound of what reaches the driver.
 SAMPLE_ROWS = 3000
+#: Characters of the blocks that a text is probed with; one starts at every so many that each passage holds a whole one.
+BLOCK = 12
+STRIDE = PASSAGE - BLOCK + 1
 #: Texts of more non-blank characters aren't cut into blocks, whose look-up grows with the square of the length; they are measured.
 BLOCK_CHARS = 20_000
 STATISTICS = ("reach", "statement_dup", "chars")
@@ -121,27 +124,36 @@ def share(text: Column) -> Column:
     return F.pandas_udf(_share_batches, "double")(text)
 
 
-def with_statistics(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the struct `name` of the STATISTICS of a text, blanks left out, by built-in expressions. Null texts have null ones.
+def without_blanks(text: str) -> Column:
+    """The text without white space; of plain ASCII by replacements of fixed signs, which cost less than a pattern."""
+    plain = F.col(text)
+    for blank in " \n\r\t\x0b\x0c\x1c\x1d\x1e\x1f":
+        plain = F.replace(plain, F.lit(blank), F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.regexp_replace(text, f"{WS}+", ""))
 
-    reach: an upper bound of the repeated share. The text is cut into blocks of half a passage; r of them stand somewhere before
-    their own place too. A repeated passage, at whatever place, holds one whole block, which then stood in the earlier one; so it
-    lies within half a passage of one of the r, and at most 1.5 passages for each of them are covered. Texts over BLOCK_CHARS
-    have a reach above any share.
+
+def with_statistics(df: DataFrame, text: str, name: str, only: Sequence[str] = STATISTICS) -> DataFrame:
+    """df with the struct `name` of STATISTICS of a text (`only` those named), blanks left out, by built-in expressions. Null
+    texts have null ones.
+
+    reach: an upper bound of the repeated share. Of the blocks at every STRIDE characters, r stand somewhere before their own
+    place too. A repeated passage, at whatever place, holds a whole block, which then stood in the earlier one; so only passages
+    around the r are repeated, and these cover at most two passages less a block for each. Texts over BLOCK_CHARS have a reach
+    above any share.
     statement_dup: share of the characters in statements seen before. chars: the length.
 
     Two generators of one row each, so that what is built on their output doesn't evaluate the expressions again.
     """
-    half = PASSAGE // 2
-    bare = df.withColumn("_b", F.explode(F.array(F.regexp_replace(text, f"{WS}+", ""))))
+    bare = df.withColumn("_b", F.explode(F.array(without_blanks(text))))
     n = F.length("_b")
-    starts = F.when((n >= half) & (n <= BLOCK_CHARS), F.sequence(F.lit(0), F.greatest(n - half, F.lit(0)), F.lit(half))).otherwise(F.array().cast("array<int>"))
-    again = F.size(F.filter(starts, lambda k: F.position(F.substring(F.col("_b"), k + 1, F.lit(half)), F.col("_b")) <= k))
-    reach = F.when(n > BLOCK_CHARS, 2.0).otherwise(again * (3.0 * half) / F.greatest(n, F.lit(1)))
+    blocks = F.when(n <= BLOCK_CHARS, F.regexp_extract_all("_b", F.lit(f"(?s)(.{{{BLOCK}}}).{{0,{STRIDE - BLOCK}}}"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    again = F.size(F.filter(blocks, lambda block, i: F.position(block, F.col("_b")) <= i * STRIDE))
+    reach = F.when(n > BLOCK_CHARS, 2.0).otherwise(again * float(2 * PASSAGE - BLOCK) / F.greatest(n, F.lit(1)))
     once = F.aggregate(F.array_distinct(F.split("_b", ";")), F.lit(0), lambda total, part: total + F.length(part))
     parts = F.size(F.split("_b", ";"))
     dup = F.when(n - parts + 1 > 0, 1 - once / (n - parts + 1)).otherwise(0.0)
-    return bare.withColumn(name, F.explode(F.array(F.struct(reach.alias("reach"), dup.alias("statement_dup"), n.cast("double").alias("chars"))))).drop("_b")
+    built = {"reach": reach, "statement_dup": dup, "chars": n.cast("double")}
+    return bare.withColumn(name, F.explode(F.array(F.struct(*(built[s].alias(s) for s in only))))).drop("_b")
 
 
 @dataclass(frozen=True)
@@ -247,8 +259,9 @@ def repeated(df: DataFrame, key: str = "row_id", text: str = "generated_code", l
     rules = learn_plain(df, key, text, limit) if rules is None else rules
     rows = df.filter(F.col(key).isNotNull() & (F.length(text) > PASSAGE)).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     if rules:
-        rows = with_statistics(rows, "_t", "_x")
-        of = {s: F.col(f"_x.{s}") for s in STATISTICS}
+        used = sorted({name for r in rules for name, _, _ in r.terms})
+        rows = with_statistics(rows, "_t", "_x", used)
+        of = {s: F.col(f"_x.{s}") for s in used}
         plain = F.when(rules[0].column(of), F.lit(1))
         for i, rule in enumerate(rules[1:], 2):
             plain = plain.when(rule.column(of), F.lit(i))

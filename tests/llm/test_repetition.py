@@ -55,6 +55,12 @@ def test_reach_bounds_the_share(spark):
     assert [x.statement_dup for x in (r.x for r in P.with_statistics(spark.createDataFrame([("a;b;a;",), ("a b; ab",)], "t string"), "t", "x").collect())] == pytest.approx([1 - 2 / 3, 0.5])
 
 
+def test_without_blanks(spark):
+    group = [t for t in texts(100, 5) if t] + ["a\x0b\x0c\x1c\x1d\x1e\x1f\t\r\nb", "\x85\u2003é \u3000", "  "]
+    df = spark.createDataFrame([(t,) for t in group], "t string").select("t", P.without_blanks("t").alias("b"))
+    assert all(r.b == "".join(r.t.split()) for r in df.collect())
+
+
 def test_learner():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(900), "b": rng.random(900), "c": rng.random(900)}
