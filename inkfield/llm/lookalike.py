@@ -7,19 +7,24 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.plans.shared import cut
+from inkfield.plans.skew import PAIR_BLOCK, pairs_within, salted_join
 
-#: Letters of other scripts that look like the Latin letter named first, upper and lower case apart.
+#: Letters of other scripts, and small capitals, that look like the Latin letter named first, upper and lower case
+#: apart. Of what Unicode's table of confusable characters (UTS #39) puts together, those whose shapes are the same; a test
+#: holds this table against the one in the ICU library that comes with Spark.
 LOOKALIKES = {
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ",
-    "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ",
-    "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
+    "a": "аɑ", "c": "сϲᴄꮯ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "p": "рρ",
+    "q": "ԛ", "s": "ѕꜱꮪ", "u": "սᴜ", "v": "ѵνᴠꮩ", "w": "ԝᴡꮃ", "x": "х", "y": "уү", "z": "ᴢꮓ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "Ꮮ",
+    "M": "МΜϺᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ",
+    "Y": "УΥҮ", "Z": "ΖᏃ",
 }
 #: Compatibility tags under which a character looks like its decomposition; superscripts, fractions and
 #: circled characters don't.
@@ -28,19 +33,30 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>
 IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u180b\u180c\u180d\u180f" + "".join(map(chr, range(0xFE00, 0xFE10)))
 SHOWN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u08e2"
 HYPHENS = "\u2010\u2011"
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
 #: Log score of passing from one script to another inside a token.
 SWITCH = -40.0
 #: Tokens kept in a worker's memory with their form.
 CACHE = 200_000
 
 _REP = {x: latin for latin, others in LOOKALIKES.items() for x in others}
-_CLASS = {latin: latin + others for latin, others in LOOKALIKES.items()}
-_TOKEN = re.compile(r"[^\W\d_]+")
-#: A token of only these could be of another script; any other plain ASCII token is held to Latin.
+#: A plain ASCII token of other letters than these is held to Latin; so are such tokens in any other text.
 _OPEN_ASCII = re.compile(rf"(?<![A-Za-z])[{''.join(LOOKALIKES)}]+(?![A-Za-z])")
 
 
+@cache
+def script(ch: str) -> str:
+    """The one of the SCRIPTS that a letter belongs to, '' for other characters."""
+    name = unicodedata.name(ch, "").partition(" ")[0]
+    return name if name in SCRIPTS and unicodedata.category(ch)[0] == "L" else ""
+
+
+#: The letters a look may stand for: the Latin one and those of other scripts. Latin variants are never chosen.
+_CLASS = {latin: latin + "".join(x for x in others if script(x) != "LATIN") for latin, others in LOOKALIKES.items()}
+#: A token: letters of the SCRIPTS in a row. All of their letters but some historic ones lie below U+3000 and around U+A640.
+_TOKEN = re.compile("[" + "".join(c for c in map(chr, (*range(0x3000), *range(0xA640, 0xAC00))) if script(c)) + "]+")
+
+
 class _Fold(dict):
     """Character -> what it looks like, filled on first use."""
 
@@ -69,15 +85,21 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
-def script(ch: str) -> str:
-    name = unicodedata.name(ch, "").partition(" ")[0]
-    return name if name in SCRIPTS else ""
+def _odd() -> re.Pattern:
+    """Decomposed characters that have another look: those of the first plane by the rule above, and all beyond it."""
+    odd = [c for c in range(128, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and not 0x4E00 <= c < 0xA000 and _FOLD[c] != chr(c)]
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in odd) + "\U00010000-\U0010ffff]")
+
+
+_ODD = _odd()
 
 
 def fold(text: str) -> str:
     """Decomposed text without ignorable characters: widths, ligatures, hyphens, spaces and line ends in one form."""
     if not text.isascii():
-        text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_FOLD))
+        text, n = _ODD.subn(lambda m: _FOLD[ord(m[0])], unicodedata.normalize("NFD", text))
+        if n:
+            text = unicodedata.normalize("NFD", text)
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
@@ -105,7 +127,7 @@ def _bigram_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def letter_counts(df: DataFrame, text: str) -> dict[tuple[str, str], int]:
-    """Bigram counts over all texts. One row per pair of letters of four scripts and their edges: under 200,000 pairs at most."""
+    """Bigram counts over all texts. One row per pair of letters of one of the SCRIPTS and their edges: under 1,000,000 pairs."""
     counts = df.select(F.col(text).alias("_t")).filter("_t is not null and _t <> ''").mapInPandas(_bigram_batches, "a string, b string, n bigint")
     return {(r["a"], r["b"]): r["n"] for r in counts.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
@@ -193,33 +215,44 @@ def normalise(df: DataFrame, text: str, out: str, counts: dict[tuple[str, str],
     return df.withColumn(out, one_form(letter_counts(df, text) if counts is None else counts)(F.col(text)))
 
 
+def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_k, f, t): fingerprints, of 256 bits, of the form and of the characters of each text of which something shows."""
+    rows = normalise(df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", "_f").filter("_f <> ''")
+    return cut(rows.select("_k", F.unhex(F.sha2("_f", 256)).alias("f"), F.unhex(F.sha2("_t", 256)).alias("t")).distinct())  # forms are found once
+
+
 def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: rows whose texts have one form but not the same characters.
 
     Null and empty texts, and those of which nothing shows, are in no pair. Spellings of a form are paired first (one row each,
-    however many copies they have), then joined to their rows, so that copies among themselves are never compared. Pairs are
-    by fingerprints of 256 bits.
+    however many copies they have), then joined to their rows, so that copies among themselves are never compared.
     """
-    rows = normalise(df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", "_f").filter("_f <> ''")
-    marked = rows.select("_k", F.unhex(F.sha2("_f", 256)).alias("f"), F.unhex(F.sha2("_t", 256)).alias("t"))
-    return pairs_of_variants(cut(marked))  # forms are found once for all the joins
-
-
-def pairs_of_variants(marked: DataFrame) -> DataFrame:
-    """(_k, f, t) -> all pairs of keys with equal f and unequal t."""
-    several = marked.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("f")
-    held = marked.join(several, "f", "left_semi")
-    variants = held.select("f", "t").distinct()
-    couples = variants.withColumnRenamed("t", "ta").join(variants.withColumnRenamed("t", "tb"), "f").filter("ta < tb").drop("f")
-    sides = held.select("t", "_k")
-    first = couples.join(sides.select(F.col("t").alias("ta"), F.col("_k").alias("x")), "ta")
-    both = first.join(sides.select(F.col("t").alias("tb"), F.col("_k").alias("y")), "tb").filter("x <> y")
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+    return pairs_of_variants(_marked(df, key, text))
+
 
+def pairs_of_variants(marked: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(_k, f, t) -> all pairs of keys with equal f and unequal t.
 
-def session_counts(spark: SparkSession, folder: str) -> dict[tuple[str, str], int]:
-    return letter_counts(spark.read.parquet(f"{folder}/documents.parquet"), "text")
+    The keys of a spelling are cut into blocks of about `block` by hash, and spellings are paired block by block, so a spelling
+    or a form of any number of keys is spread over tasks.
+    """
+    spellings = marked.groupBy("f", "t").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    several = spellings.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shown = salted_join(spellings, several.select("f"), "f", F.xxhash64("t"), counts=several)
+    couples = pairs_within(shown.select("f", F.struct("t", "n").alias("s")), "f", "s")
+    blocks = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}.n") - 1))
+    couples = couples.select(F.col("a.t").alias("ta"), F.col("b.t").alias("tb"), blocks("a").alias("ba"), "b").select("ta", "tb", "ba", blocks("b").alias("bb"))
+    held = salted_join(marked.select("f", "t", "_k"), several.select("f"), "f", F.xxhash64("_k"), counts=marked.groupBy("f").agg(F.count(F.lit(1)).alias("_n")))
+    own = held.join(shown.select("t", "n"), "t").select("t", "_k", F.pmod(F.xxhash64("_k"), F.col("n")).cast("int").alias("_b"))
+    first = couples.join(own.select(F.col("t").alias("ta"), F.col("_b").alias("ba"), F.col("_k").alias("x")), ["ta", "ba"])
+    both = first.join(own.select(F.col("t").alias("tb"), F.col("_b").alias("bb"), F.col("_k").alias("y")), ["tb", "bb"]).filter("x <> y")
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-def looks(text: Column, counts: dict[tuple[str, str], int]) -> Column:
-    return one_form(counts)(text)
+def look_sets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, first, spellings, members) of each row whose look has several spellings: the lowest key of the set, how many
+    spellings and how many rows it has. One row per row, whatever the number of pairs."""
+    marked = _marked(df, key, text)
+    sets = marked.groupBy("f", "t").agg(F.min("_k").alias("k"), F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("_n"))
+    of = salted_join(marked.select("_k", "f"), sets.filter("spellings > 1").withColumn("members", F.col("_n")).drop("_n"), "f", F.xxhash64("_k"), counts=sets)
+    return of.select(F.col("_k").alias(key), "first", "spellings", "members")

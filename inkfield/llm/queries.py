@@ -103,6 +103,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.same_look(table(spark, folder, "documents"))
 
 
+def p8_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose look has several spellings, with the first of them and the numbers of spellings and documents."""
+    return lookalike.look_sets(table(spark, folder, "documents"))
+
+
 def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Each text's one form."""
     return lookalike.normalise(table(spark, folder, "documents"), "text", "form").select("doc_id", "form")
@@ -134,7 +139,7 @@ links AS (SELECT e, 'a:' || a AS k FROM o WHERE regexp_full_match(a, '[a-z]+_[0-
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p2_found, p2_splits, p2_report, p3_found, p3_rates, p3_spikes, p4_found, p4_shares, p6_windows, p6_fill, p7_mix, p7_shares, p7_budget_mix, p7_budget_shares, p8_found, p8_forms)
+    for f in (p1_found, p1_order, p2_found, p2_splits, p2_report, p3_found, p3_rates, p3_spikes, p4_found, p4_shares, p6_windows, p6_fill, p7_mix, p7_shares, p7_budget_mix, p7_budget_shares, p8_found, p8_sets, p8_forms)
 }
 SQL = {
     "p1_found": _IDEAL + "SELECT batch_id, row_id FROM r WHERE place <= 3",
