@@ -59,6 +59,42 @@ def edit_distance(hypothesis: str, reference: str) -> float:
     return min(1.0, (float(row[-1]) + penalty) / (len(reference) + penalty))
 
 
+#: Pairs that are aligned at the same time.
+TOGETHER = 64
+
+
+def edit_distance_many(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """edit_distance of (hypothesis, reference) pairs, TOGETHER at a time: one step over the reference serves all that are not at
+    their end. Those of like length go together, so that little is padded."""
+    out = np.ones(len(pairs))
+    order = sorted((i for i, (_, r) in enumerate(pairs) if r), key=lambda i: (-len(pairs[i][1]), -len(pairs[i][0])))
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for some in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER)):
+        wide, long = (np.array([len(pairs[i][side]) for i in some]) for side in (0, 1))
+        signs, reference = np.zeros((len(some), wide.max()), np.uint32), np.zeros((len(some), long.max()), np.uint32)
+        for k, i in enumerate(some):
+            signs[k, : wide[k]], reference[k, : long[k]] = codes(pairs[i][0]), codes(pairs[i][1])
+        width = wide.max() + 1
+        beyond, slope = np.arange(width) > wide[:, None], np.arange(width) * DELETION
+        visits, row, base = np.full((len(some), width), -1), np.ones((len(some), width)), np.empty((len(some), width))
+        row[:, 0] = 0.0
+        for at in range(long.max()):
+            n = int((long > at).sum())  # pairs are in the order of their references' lengths
+            sign, old, new = reference[:n, at], row[:n], base[:n]
+            new[:, 0] = old[:, 0] + 1.0
+            np.minimum(old[:, :-1] + (signs[:n] != sign[:, None]), old[:, 1:] + INSERTION, out=new[:, 1:])
+            old[:] = np.minimum.accumulate(new - slope, axis=1) + slope
+            old[beyond[:n]] = np.inf
+            least = old.argmin(1)
+            visits[np.arange(n), least] += 1
+            jump = sign == 32
+            if jump.any():
+                old[jump] = np.minimum(old[jump], JUMP + old[jump, least[jump]][:, None])
+        penalty = COVERAGE * np.where(beyond, 0, np.where(visits >= 0, visits, 1)).sum(1)
+        out[some] = np.minimum(1.0, (row[np.arange(len(some)), wide] + penalty) / (long + penalty))
+    return out
+
+
 def option_block(tail: str | None) -> str:
     """The bracketed option block that a text starts with, blanks before it skipped, brackets nested; '' if there is none."""
     text = (tail or "").lstrip()
@@ -125,7 +161,7 @@ def sequence_ratio_column(a: Column, b: Column) -> Column:
 def edit_distance_column(hypothesis: Column, reference: Column) -> Column:
     def batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in pairs:
-            yield pd.Series([edit_distance(tex_normal(p), tex_normal(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
+            yield pd.Series(edit_distance_many([(tex_normal(p), tex_normal(q)) for p, q in zip(x, y, strict=True)]))
 
     return F.pandas_udf(batches, "double")(hypothesis, reference)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfield.plans.order import group_key, ranked, running_in_groups
+from inkfield.plans.order import group_key, ranked, running, running_in_groups
 from inkfield.plans.skew import salted_join
 
 
@@ -67,7 +67,38 @@ def until_stop(rollouts: DataFrame, item: str, order: str, success: Column, elap
     """
     stops = (success & (F.lit(True) if timeout is None else elapsed >= timeout)) | (elapsed >= cap)
     first = rollouts.filter(stops).groupBy(item).agg(F.min(order).alias("_stop"))
-    return rollouts.join(first, item, "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
+    return salted_join(rollouts, first, item, F.xxhash64(order), "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
+
+
+def best_attempt(attempts: DataFrame, item: str, engine: str, order: Column, engines: list[str] | None = None) -> DataFrame:
+    """The attempt of each item that is greatest in `order`; with a list of engines, only theirs, an earlier one before a later."""
+    rows = attempts if engines is None else attempts.filter(F.col(engine).isin(engines))
+    rank = F.lit(0) if engines is None else -F.array_position(F.array(*map(F.lit, engines)), F.col(engine))
+    others = F.struct(*(c for c in attempts.columns if c != item))
+    return rows.groupBy(item).agg(F.max_by(others, F.struct(order, rank)).alias("_b")).select(item, "_b.*")
+
+
+def running_mean(rows: DataFrame, order: list[Column], value: str, name: str = "mean", digits: int = 9) -> DataFrame:
+    """Each row with the mean of `value` over all rows up to it in a total order; nulls don't count. Values are summed as whole
+    numbers of 10**-digits, so that the sums don't depend on how rows are spread."""
+    sums = running(rows, order, {"_sum": F.coalesce(F.round(F.col(value) * 10**digits).cast("bigint"), F.lit(0)), "_n": F.col(value).isNotNull().cast("int")})
+    return sums.withColumn(name, F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / 10**digits)).drop("_sum", "_n")
+
+
+def model_paths(named: list[str]) -> dict[str, str]:
+    """MODEL=PATH arguments as a map; a later one of a model holds. One without a name or a path raises ValueError."""
+    out = {}
+    for text in named:
+        model, mark, path = text.partition("=")
+        if not (mark and model.strip() and path.strip()):
+            raise ValueError(f"{text!r} isn't MODEL=PATH")
+        out[model.strip()] = path.strip()
+    return out
+
+
+def extended(corpus: DataFrame, more: DataFrame) -> DataFrame:
+    """A corpus with further rows; columns that only one side has are null on the other."""
+    return corpus.unionByName(more, allowMissingColumns=True)
 
 
 def sample_per_group(rows: DataFrame, group: str, key: str, k: int, seed: str = "0") -> DataFrame:

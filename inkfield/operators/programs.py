@@ -26,14 +26,16 @@ def elements(programs: DataFrame, key: str, parts: Column) -> DataFrame:
 def dependencies(parts: DataFrame, key: str, strict: bool = False) -> DataFrame:
     """(key, src, dst): element src defines a name or coordinate that dst mentions.
 
-    By default any substring counts, so two elements that share a name depend on each other; strict asks for the name in
-    brackets and for an earlier definition. Names are exploded once per element and joined within their program.
+    By default any substring counts, so two elements that share a name depend on each other; names are exploded once per element
+    and looked for within their program. strict asks for the name in brackets and for an earlier definition, which is a join
+    on the name.
     """
     names = F.array_distinct(F.concat(F.regexp_extract_all("element", F.lit(DEPENDENCY_NAMES), F.lit(1)), F.regexp_extract_all("element", F.lit(DEPENDENCY_COORDINATES), F.lit(1))))
     defined = parts.select(key, F.col("pos").alias("src"), F.explode(names).alias("_name"))
+    if strict:
+        return defined.join(defined.withColumnRenamed("src", "dst"), [key, "_name"]).filter("src < dst").select(key, "src", "dst").distinct()
     used = parts.select(key, F.col("pos").alias("dst"), F.col("element").alias("_e"))
-    meets = F.contains("_e", F.concat(F.lit("("), F.col("_name"), F.lit(")"))) & (F.col("src") < F.col("dst")) if strict else F.contains("_e", F.col("_name")) & (F.col("src") != F.col("dst"))
-    return defined.join(used, key).filter(meets).select(key, "src", "dst").distinct()
+    return defined.join(used, key).filter(F.contains("_e", F.col("_name")) & (F.col("src") != F.col("dst"))).select(key, "src", "dst").distinct()
 
 
 def prefixes(programs: DataFrame, key: str, parts: Column, most: int = 10, skip: str = "\\end{", seed: int = 0) -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.plans.skew import salted_join
 
-#: name -> function of (original, generated) columns giving a column; register_metric adds to it.
-METRICS: dict[str, Callable[[Column, Column], Column]] = {}
+#: name -> function of (original, generated) columns giving a column, or "module:function" of one; register_metric adds to it.
+METRICS: dict[str, Callable[[Column, Column], Column] | str] = {}
 
 
-def register_metric(name: str, build: Callable[[Column, Column], Column]) -> None:
+def register_metric(name: str, build: Callable[[Column, Column], Column] | str) -> None:
+    """A metric given as "module:function" is imported when it is first asked for, so what it needs may be missing until then."""
     METRICS[name] = build
 
 
@@ -23,6 +25,9 @@ def metric(name: str | Callable[[Column, Column], Column]) -> Callable[[Column,
         return name
     if name not in METRICS:
         raise KeyError(f"no metric {name!r}; there are {', '.join(sorted(METRICS)) or 'none'}")
+    if isinstance(METRICS[name], str):
+        module, _, function = METRICS[name].partition(":")
+        METRICS[name] = getattr(import_module(module), function)
     return METRICS[name]
 
 

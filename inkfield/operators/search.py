@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +85,11 @@ def depths(nodes: DataFrame, tree: str, node: str, parent: str, max_depth: int =
     return out.select(F.col("t").alias(tree), F.col("n").alias(node), "depth")
 
 
-def descent(scored: DataFrame, tree: str, node: str, parent: str, score: str, max_depth: int = 1000) -> DataFrame:
-    """(tree, node, step): the path from each root to a leaf that takes the best child at every node; ties to the lower node.
-    More than `max_depth` nodes on a path raise an error."""
-    child = cut(scored.filter(F.col(parent).isNotNull()).groupBy(F.col(tree).alias("t"), F.col(parent).alias("n")).agg(F.min_by(F.col(node), F.struct(-F.col(score), F.col(node))).alias("next")))
+def descent(scored: DataFrame, tree: str, node: str, parent: str, score: str, max_depth: int = 1000, seed: int | None = None) -> DataFrame:
+    """(tree, node, step): the path from each root to a leaf that takes the best child at every node; ties to the lower node, or,
+    with a seed, to any of them by hash order. More than `max_depth` nodes on a path raise an error."""
+    tie = F.col(node) if seed is None else F.md5(F.concat_ws("|", F.col(tree).cast("string"), F.col(node).cast("string"), F.lit(seed)))
+    child = cut(scored.filter(F.col(parent).isNotNull()).groupBy(F.col(tree).alias("t"), F.col(parent).alias("n")).agg(F.min_by(F.col(node), F.struct(-F.col(score), tie, F.col(node))).alias("next")))
     level = scored.filter(F.col(parent).isNull()).select(F.col(tree).alias("t"), F.col(node).alias("n"))
     out = level.withColumn("step", F.lit(0).cast("bigint"))
     for step in range(1, max_depth):
@@ -101,6 +104,26 @@ def descent(scored: DataFrame, tree: str, node: str, parent: str, score: str, ma
     return out.select(F.col("t").alias(tree), F.col("n").alias(node), "step")
 
 
+def grown(nodes: DataFrame, tree: str, node: str, state: str, find: Callable[[Column], Column], evaluate: Callable[[Column], Column]) -> DataFrame:
+    """(tree, parent, state, value): the children of every node. `find` gives the array of child states of a state, `evaluate` the
+    value of one; both are functions of columns, built-in or Arrow ones. Null arrays and states have no children."""
+    child = nodes.select(F.col(tree), F.col(node).alias("parent"), F.explode(find(F.col(state))).alias("state")).filter("state is not null")
+    return child.withColumn("value", evaluate(F.col("state")))
+
+
+def merged_children(children: DataFrame, tree: str, parent: str, node: str, state: str, visits: str, value: str) -> DataFrame:
+    """Children of one parent whose states are equal become one: that of the lowest node, with the sums of visits and values and
+    the number of those merged. States are told apart by 256-bit digests; a null state is a state."""
+    digest = F.coalesce(F.sha2(F.col(state).cast("binary"), 256), F.lit("null"))
+    by = children.groupBy(tree, parent, digest.alias("_d"))
+    return by.agg(F.min(node).alias(node), F.min(state).alias(state), F.sum(visits).alias(visits), F.sum(value).alias(value), F.count(F.lit(1)).alias("merged")).drop("_d")
+
+
+def expansion_counts(rollouts: DataFrame, tree: list[str], failed: Column) -> DataFrame:
+    """Expansions of each tree, and how many of them failed."""
+    return rollouts.groupBy(*tree).agg(F.count(F.lit(1)).alias("expansions"), F.count_if(failed).alias("failed"))
+
+
 def draw_by_visits(children: DataFrame, group: str, node: str, visits: str, draw: Column) -> DataFrame:
     """Per group the first child whose cumulative share of visits reaches `draw` (0..1)."""
     placed = running_in_groups(children, [group], [F.col(node)], F.col(visits), "_upto")

@@ -238,6 +238,12 @@ def program_rebuilt(spark, folder):
     return d.select("id", F.size("d.elements").cast("bigint").alias("elements"), F.md5(T.reconstruct(F.col("d.preamble"), F.col("d.options"), F.col("d.elements"), T.wrappers(F.col("code")), T.brace_balance(pre))).alias("code"))
 
 
+def program_elements(spark, folder):
+    """Options and elements of each program's picture."""
+    d = table(spark, folder, "decomposed").groupBy("id").agg(F.min("code").alias("code")).withColumn("d", Q.decompose_column(F.col("code")))
+    return d.select("id", F.md5("d.options").alias("options"), F.size("d.elements").cast("bigint").alias("elements"), F.md5(F.array_join("d.elements", "|")).alias("digest"))
+
+
 def _tree(spark, folder):
     """All events as heaps: the ids of every block of 512 are the nodes 1 to 512 of a tree."""
     e = table(spark, folder, "events").select(F.floor(F.col("event_id") / 512).alias("tree"), (F.col("event_id") % 512 + 1).alias("node"), "value")
@@ -266,6 +272,42 @@ def best_path(spark, folder):
     return H.descent(_tree(spark, folder), "tree", "node", "parent", "value")
 
 
+def tree_merged(spark, folder):
+    """Children of one parent that have the same state, their event type, as one."""
+    t = _tree(spark, folder).filter("parent is not null").join(table(spark, folder, "events").select(F.floor(F.col("event_id") / 512).alias("tree"), (F.col("event_id") % 512 + 1).alias("node"), "event_type"), ["tree", "node"])
+    return H.merged_children(t.withColumn("visits", F.lit(1)), "tree", "parent", "node", "event_type", "visits", "value").select("tree", "parent", "node", "event_type", "visits", F.round("value", 4).alias("value"), "merged")
+
+
+def grown_children(spark, folder):
+    """Children of each program: its statements as states, their length as value."""
+    d = table(spark, folder, "decomposed").groupBy("id").agg(F.min("code").alias("code"))
+    out = H.grown(d.withColumn("tree", F.lit(1)), "tree", "id", "code", lambda c: F.split(c, ";", -1), lambda c: F.length(c))
+    return out.groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.max("value").cast("bigint").alias("most"), F.md5(F.min("state")).alias("least"))
+
+
+def expansion_counts(spark, folder):
+    return H.expansion_counts(table(spark, folder, "compile_logs").distinct(), ["engine"], F.col("status") != 0)
+
+
+def preferred_engine(spark, folder):
+    """Per document: the attempt that compiled, of two engines only, the first before the second; later attempts last."""
+    rows = table(spark, folder, "compile_logs").select("doc_id", "engine", "attempt", "status").distinct()
+    return E.best_attempt(rows, "doc_id", "engine", F.struct((F.col("status") == 0).alias("ok"), -F.col("attempt")), ["pdflatex", "xelatex"])
+
+
+def running_means(spark, folder):
+    """Mean code score of all rows up to each one, as a scorer that is never reset gives it."""
+    r = rows(spark, folder, "code_score").withColumn("x", F.when(~F.isnan("code_score"), F.col("code_score").cast("double")))
+    return E.running_mean(r, [F.col("row_id")], "x").select("row_id", F.round("mean", 5).alias("mean"))
+
+
+def failure_defaults(spark, folder):
+    """Image dissimilarity and path of every row: 1 and no path where nothing was rendered."""
+    ok = F.col("generated_image").isNotNull()
+    path = F.concat_ws("_", F.lit("generated/example"), "example_number", "combination_number")
+    return rows(spark, folder, "generated_image", "image_score", "example_number", "combination_number").select("row_id", F.round(F.when(~ok, 1.0).otherwise(F.when(~F.isnan("image_score"), F.col("image_score").cast("double"))), 5).alias("image"), F.when(ok, path).alias("path"))
+
+
 def visit_draw(spark, folder):
     e = table(spark, folder, "events").filter("value > 0").select("event_type", "event_id", F.ceil("value").cast("bigint").alias("v"))
     return H.draw_by_visits(e, "event_type", "event_id", "v", F.lit(0.5))
@@ -358,7 +400,7 @@ _PARTS = r"el AS (SELECT id, list_filter(list_transform(string_split(min(code),
 
 QUERIES = {
     f.__name__: f
-    for f in (winsor_mean, best_candidate, sampling_efficiency, throughput, model_means, minmax_scores, shard_interleave, batches_of, positional_align, stop_prefix, group_sample, head_and_share, resume_anti, existing_semi, metadata_join, paired_files, pair_scores, corpus_union, cardinality_guard, distinct_pairs, shard_size, curriculum_thresholds, curriculum_visible, label_masks, label_masks_whole, padded_rows, checkpoint_marks, element_dependencies, prefix_enumeration, subset_enumeration, program_rebuilt, tree_backprop, tree_depths, uct_scores, best_path, visit_draw, rollout_rewards, cosine_pairs, transport_pairs, kernel_distance, pixel_error, image_measures, image_shapes, image_errors_once, known_prefixes, squared_images, corpus_sampled)
+    for f in (winsor_mean, best_candidate, sampling_efficiency, throughput, model_means, minmax_scores, shard_interleave, batches_of, positional_align, stop_prefix, group_sample, head_and_share, resume_anti, existing_semi, metadata_join, paired_files, pair_scores, corpus_union, cardinality_guard, distinct_pairs, shard_size, curriculum_thresholds, curriculum_visible, label_masks, label_masks_whole, padded_rows, checkpoint_marks, element_dependencies, prefix_enumeration, subset_enumeration, program_elements, program_rebuilt, tree_merged, grown_children, expansion_counts, preferred_engine, running_means, failure_defaults, tree_backprop, tree_depths, uct_scores, best_path, visit_draw, rollout_rewards, cosine_pairs, transport_pairs, kernel_distance, pixel_error, image_measures, image_shapes, image_errors_once, known_prefixes, squared_images, corpus_sampled)
 }
 SQL = {
     "winsor_mean": f"""WITH {_U}, o AS (SELECT generator, code_score::DOUBLE AS x, row_number() OVER (PARTITION BY generator ORDER BY code_score) AS r, count(*) OVER (PARTITION BY generator) AS n FROM u WHERE code_score IS NOT NULL AND NOT isnan(code_score)),
@@ -406,6 +448,42 @@ SQL = {
 }
 SQL["known_prefixes"] = """WITH d AS (SELECT id, string_split(min(code), chr(10)) AS l FROM decomposed GROUP BY id), k AS (SELECT DISTINCT l[1:len(l) - 3] AS l FROM d WHERE len(l) > 3),
   p AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS n FROM d) SELECT d.id, coalesce(m.depth, 0) AS depth FROM d LEFT JOIN (SELECT p.id, max(n) AS depth FROM p JOIN k ON p.l[1:n] = k.l GROUP BY p.id) m USING (id)"""
+from inkfield.queries.texts import _LOG  # noqa: E402
+
+SQL["rollout_rewards"] = _LOG + "SELECT doc_id, engine, attempt, CASE WHEN NOT ok THEN -1.0 WHEN status <> 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS reward, round(sqrt(size))::BIGINT AS grown, least(greatest(greatest(1, first) - 1, 0), round(sqrt(size)))::BIGINT AS grown_failed FROM f"
+SQL["corpus_sampled"] = f"WITH {_U} SELECT row_id FROM u WHERE original_code <> '' ORDER BY md5(row_id || '|0'), row_id LIMIT 1000"
+SQL["tree_merged"] = "WITH t AS (SELECT event_id // 512 AS tree, event_id % 512 + 1 AS node, (event_id % 512 + 1) // 2 AS parent, event_type, value FROM events WHERE event_id % 512 > 0) SELECT tree, parent, min(node) AS node, event_type, count(*) AS visits, round(sum(value), 4) AS value, count(*) AS merged FROM t GROUP BY tree, parent, event_type"
+SQL["grown_children"] = "WITH s AS (SELECT id, unnest(string_split(min(code), ';')) AS state FROM decomposed GROUP BY id) SELECT id AS parent, count(*) AS children, max(length(state)) AS most, md5(min(state)) AS least FROM s GROUP BY id"
+SQL["expansion_counts"] = "SELECT engine, count(*) AS expansions, count(*) FILTER (status <> 0) AS failed FROM (SELECT DISTINCT * FROM compile_logs) GROUP BY engine"
+SQL["preferred_engine"] = "WITH d AS (SELECT DISTINCT doc_id, engine, attempt, status FROM compile_logs WHERE engine IN ('pdflatex', 'xelatex')) SELECT doc_id, engine, attempt, status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (status = 0) DESC, attempt, engine) AS r FROM d) WHERE r = 1"
+SQL["running_means"] = f"WITH {_U} SELECT row_id, round(avg(CASE WHEN NOT isnan(code_score) THEN code_score::DOUBLE END) OVER (ORDER BY row_id), 5) AS mean FROM u"
+SQL["failure_defaults"] = f"WITH {_U} SELECT row_id, round(CASE WHEN generated_image IS NULL THEN 1.0 WHEN NOT isnan(image_score) THEN image_score::DOUBLE END, 5) AS image, CASE WHEN generated_image IS NOT NULL THEN 'generated/example_' || example_number || '_' || combination_number END AS path FROM u"
+_ELEMENTS = r"""
+WITH p AS (SELECT id, min(code) AS code FROM decomposed GROUP BY id),
+a AS (SELECT *, instr(code, '\begin{document}') AS s FROM p),
+b AS (SELECT *, CASE WHEN s > 0 AND instr(code[s:], '\begin{tikzpicture}') > 0 THEN s - 1 + instr(code[s:], '\begin{tikzpicture}') ELSE 0 END AS p0,
+  CASE WHEN contains(code, '\end{tikzpicture}') THEN length(code) - instr(reverse(code), reverse('\end{tikzpicture}')) - 15 ELSE 0 END AS upto FROM a),
+c AS (SELECT id, code, CASE WHEN p0 > 0 AND upto >= p0 THEN code[1:p0 - 1] ELSE '' END AS preamble, CASE WHEN p0 > 0 AND upto >= p0 THEN code[p0 + 19:upto - 1] END AS tail FROM b),
+o AS (SELECT *, regexp_extract(tail, '^\s*(\[(?:[^\[\]]|\[[^\[\]]*\])*\])', 1) AS opt FROM c),
+body AS (SELECT id, trim(CASE WHEN opt <> '' THEN regexp_replace(tail, '^\s*', '')[length(opt) + 1:] ELSE tail END, chr(10)) AS body FROM o WHERE tail IS NOT NULL),
+l AS (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM body),
+m AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+f AS (SELECT *, starts_with(bare, '\end{') OR starts_with(bare, '\endscope') AS closing, ends_with(bare, ';') AS stopped, sum(length(replace(line, '}', '')) - length(replace(line, '{', ''))) OVER w AS braces,
+  sum((starts_with(bare, '\begin{') OR starts_with(bare, '\scope'))::INT - (starts_with(bare, '\end{') OR starts_with(bare, '\endscope'))::INT) OVER w AS env, sum(starts_with(bare, '\foreach')::INT - ends_with(bare, '}')::INT) OVER w AS loops
+  FROM m WINDOW w AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT *, env - least(0, min(env) OVER w) AS inside, loops - least(0, min(loops) OVER w) AS looped FROM f WINDOW w AS (PARTITION BY id ORDER BY i)),
+h AS (SELECT *, (braces = 0 AND inside = 0 AND closing)::INT + (braces = 0 AND inside = 0 AND looped = 0 AND stopped)::INT AS ends FROM g),
+n AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e, sum(ends) OVER (PARTITION BY id) AS total FROM h),
+t AS (SELECT id, total, e, string_agg(line, chr(10) ORDER BY i) AS element FROM n GROUP BY ALL),
+k AS (SELECT id, max(total) AS total, map(list(e), list(element)) AS by_number FROM t GROUP BY id),
+every AS (SELECT id, list_transform(range(0, total::BIGINT), lambda x: coalesce(by_number[x], '')) || CASE WHEN trim(coalesce(by_number[total], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' THEN [by_number[total]] ELSE []::VARCHAR[] END AS elements FROM k),
+j AS (SELECT o.id, o.code, o.preamble, coalesce(o.opt, '') AS opt, coalesce(every.elements, []::VARCHAR[]) AS elements FROM o LEFT JOIN every USING (id))
+"""
+SQL["program_elements"] = _ELEMENTS + "SELECT id, md5(opt) AS options, len(elements)::BIGINT AS elements, md5(array_to_string(elements, '|')) AS digest FROM j"
+SQL["program_rebuilt"] = _ELEMENTS + r""", r AS (SELECT *, length(replace(preamble, '}', '')) - length(replace(preamble, '{', '')) AS braces,
+  CASE WHEN contains(code, '\begin{document}') THEN regexp_extract_all(string_split(string_split(code, '\begin{tikzpicture}')[1], '\begin{document}')[-1], '\\begin\{([^}]*)\}', 1) ELSE []::VARCHAR[] END AS wrap FROM j)
+SELECT id, len(elements)::BIGINT AS elements, md5(preamble || chr(10) || chr(10) || '\begin{tikzpicture}' || trim(opt) || chr(10) || array_to_string(elements, chr(10)) || chr(10) || '\end{tikzpicture}'
+  || array_to_string(list_transform(list_reverse(wrap), lambda w: chr(10) || '\end{' || w || '}'), '') || CASE WHEN braces > 0 THEN chr(10) || repeat('}', braces::INT) ELSE '' END || chr(10) || chr(10) || '\end{document}') AS code FROM r"""
 from inkfield.queries.difficulty import _TABLE  # noqa: E402
 
 SQL["curriculum_visible"] = _TABLE + ", e AS (SELECT unnest(range(8)) AS epoch), v AS (SELECT epoch, greatest(1, floor(least(1, sqrt((epoch + 1) * (1 - 0.09::DOUBLE) / 8 + 0.09::DOUBLE)) * (SELECT count(*) FROM t)))::BIGINT AS visible FROM e) SELECT epoch, visible, count(*) AS rows, round(max(combined), 6) AS hardest FROM v JOIN t ON rank <= visible GROUP BY ALL"

@@ -148,6 +148,14 @@ def header_inserted(spark, folder):
     return table(spark, folder, "decomposed").select("id", F.md5(T.insert_header(F.col("code"), "\\usepackage{tikz}")).alias("code")).distinct()
 
 
+def tokens_removed(spark, folder):
+    """Documents without the patch token, and the lines of each that its source's first document hasn't."""
+    docs = table(spark, folder, "documents").filter("text is not null").select("doc_id", "source", "text")
+    first = docs.filter("source is not null").groupBy("source").agg(F.min_by("text", "doc_id").alias("first"))  # one row per source
+    rows = docs.join(first, "source", "left")
+    return rows.select("doc_id", F.md5(T.remove_token(F.col("text"), "<patch>")).alias("text"), F.size(T.line_difference(F.col("text"), F.coalesce("first", F.lit("")))).cast("bigint").alias("new_lines"))
+
+
 def code_rechunked(spark, folder):
     """Number of prefixes a line-wise reader of each code sees, and the last one."""
     rows = table(spark, folder, "decomposed").select("id", T.rechunk(F.col("code")).alias("r")).distinct()
@@ -166,10 +174,12 @@ def preamble_balance(spark, folder):
 
 
 def corpus_digest(spark, folder):
-    """md5 of the sorted digests of the original codes, by example: the key of a cached corpus."""
+    """Key of a cached corpus, by example: md5 of the number of its different codes and of two sums over their digests, so that no
+    task gathers an example."""
     rows = codes(spark, folder, "example_number", "original_code").filter("original_code is not null")
-    by = rows.groupBy("example_number").agg(F.array_sort(F.collect_set(F.md5("original_code"))).alias("d"))
-    return by.select("example_number", F.md5(F.array_join("d", ",")).alias("digest"))
+    each = rows.select("example_number", F.md5("original_code").alias("m")).distinct()
+    part = lambda at: F.sum(F.conv(F.substring("m", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return each.groupBy("example_number").agg(F.md5(F.concat_ws("|", F.count(F.lit(1)).cast("string"), part(1), part(16))).alias("digest"))
 
 
 _SP = T.WS
@@ -244,12 +254,12 @@ _LOG = r"""
   m AS (SELECT doc_id, engine, attempt, status, i, CASE WHEN regexp_extract(x, '^([^:\n]+):', 1) = 'main.tex' THEN TRY_CAST(regexp_extract(x, '^[^:\n]+:([0-9]+):', 1) AS INT) ELSE 0 END AS line, regexp_extract(x, '^[^:\n]+:[0-9]+:(.*)$', 1) AS message
     FROM l WHERE regexp_matches(x, '^[^:\n]+:[0-9]+:')),
   e AS (SELECT doc_id, engine, attempt, status, count(DISTINCT line) AS n, min(line) AS first FROM m GROUP BY ALL),
-  f AS (SELECT d.doc_id, d.engine, d.attempt, d.status, coalesce(e.n, 1) AS n, coalesce(e.first, 0) AS first FROM d LEFT JOIN e ON d.doc_id = e.doc_id AND d.engine IS NOT DISTINCT FROM e.engine AND d.attempt IS NOT DISTINCT FROM e.attempt AND d.status IS NOT DISTINCT FROM e.status)
+  f AS (SELECT d.doc_id, d.engine, d.attempt, d.status, coalesce(d.has_image, false) AS ok, length(coalesce(d.log, '')) AS size, coalesce(e.n, 1) AS n, coalesce(e.first, 0) AS first FROM d LEFT JOIN e ON d.doc_id = e.doc_id AND d.engine IS NOT DISTINCT FROM e.engine AND d.attempt IS NOT DISTINCT FROM e.attempt AND d.status IS NOT DISTINCT FROM e.status)
 """
 
 QUERIES = {
     f.__name__: f
-    for f in (code_clean, feature_sets, overlap_ratios, similarity_blend, similarity_full, weights_in_effect, edit_distances, token_counts, ngram_top, clipped_counts, corpus_bleu, running_bleu, tex_bleu, final_difficulty, text_flatten, text_filter, error_maps, best_engine, validity, header_inserted, code_rechunked, id_parse, preamble_balance, corpus_digest)
+    for f in (code_clean, feature_sets, overlap_ratios, similarity_blend, similarity_full, weights_in_effect, edit_distances, token_counts, ngram_top, clipped_counts, corpus_bleu, running_bleu, tex_bleu, final_difficulty, text_flatten, text_filter, error_maps, best_engine, validity, header_inserted, tokens_removed, code_rechunked, id_parse, preamble_balance, corpus_digest)
 }
 SQL = {
     "code_clean": f"WITH {_U} SELECT row_id, md5({_clean('generated_code')}) AS clean, md5(regexp_replace({_clean('generated_code')}, '{T.PAIR}', '(\\1,\\2)', 'g')) AS normal FROM u",
@@ -267,13 +277,15 @@ SQL = {
     "best_engine": _LOG + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN status = 0 THEN 2147483647 ELSE first END DESC, attempt, engine DESC) AS rn FROM f) SELECT doc_id, engine, attempt, status FROM r WHERE rn = 1",
     "validity": "SELECT engine, count(*) AS attempts, count(*) FILTER (status = 0) AS strict, count(*) FILTER (coalesce(has_image, false)) AS lenient, count(*) FILTER (status <> 0 AND coalesce(has_image, false)) AS with_errors FROM (SELECT DISTINCT * FROM compile_logs) GROUP BY engine",
     "header_inserted": r"SELECT DISTINCT id, md5(regexp_replace(code, '^([^\n]*)', '\1' || chr(10) || '\\usepackage{tikz}')) AS code FROM decomposed",
+    "tokens_removed": f"""WITH d AS (SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL), f AS (SELECT source, arg_min(text, doc_id) AS first FROM d WHERE source IS NOT NULL GROUP BY source)
+      SELECT doc_id, md5({_strip(f"regexp_replace(text, '{T.WS}*<patch>{T.WS}*', '', 'g')")}) AS text, len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(string_split(coalesce(first, ''), chr(10)), x))) AS new_lines FROM d LEFT JOIN f USING (source)""",
     "code_rechunked": "SELECT DISTINCT id, (length(code) - length(replace(code, chr(10), '')) + CASE WHEN code = '' OR code LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT AS n, md5(code) AS last FROM decomposed",
     "id_parse": r"""SELECT DISTINCT id, TRY_CAST(regexp_extract(id, 'example_([0-9]+)', 1) AS INT) AS example_number, CASE WHEN id LIKE '%main' THEN -1 ELSE TRY_CAST(regexp_extract(id, 'combination_([0-9]+)', 1) AS INT) END AS combination_number,
       regexp_extract(id, 'example_([0-9]+)', 1) || CASE WHEN TRY_CAST(regexp_extract(id, 'example_([0-9]+)', 1) AS INT) % 100 BETWEEN 11 AND 13 THEN 'th' ELSE CASE TRY_CAST(regexp_extract(id, 'example_([0-9]+)', 1) AS INT) % 10 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END END AS ordinal,
       'decomposed/' || id || '/code.tex' AS path FROM decomposed""",
     "preamble_balance": r"""SELECT DISTINCT id, (length(replace(p, '}', '')) - length(replace(p, '{', '')))::BIGINT AS braces,
       CASE WHEN contains(code, '\begin{document}') THEN array_to_string(regexp_extract_all(string_split(p, '\begin{document}')[-1], '\\begin\{([^}]*)\}', 1), '|') ELSE '' END AS wrappers FROM (SELECT id, code, string_split(code, '\begin{tikzpicture}')[1] AS p FROM decomposed)""",
-    "corpus_digest": f"WITH {_U} SELECT example_number, md5(string_agg(DISTINCT md5(original_code), ',' ORDER BY md5(original_code))) AS digest FROM u WHERE original_code IS NOT NULL GROUP BY 1",
+    "corpus_digest": f"WITH {_U} SELECT example_number, md5(count(*) || '|' || sum(('0x' || m[1:15])::BIGINT) || '|' || sum(('0x' || m[16:30])::BIGINT)) AS digest FROM (SELECT DISTINCT example_number, md5(original_code) AS m FROM u WHERE original_code IS NOT NULL) GROUP BY 1",
     "weights_in_effect": _PAIRS + ", s AS (SELECT *, 1.0 AS sequence FROM o) SELECT row_id, "
     + ", ".join(f"round(CASE WHEN {k} IS NULL THEN 0 ELSE {w}::DOUBLE + ({' + '.join(f'CASE WHEN {j} IS NULL THEN {v} ELSE 0.0::DOUBLE END' for j, v in S.OVERALL.items())}) / ({' + '.join(f'({j} IS NOT NULL)::INT' for j in S.OVERALL)}) END, 6) AS w_{k}" for k, w in S.OVERALL.items())
     + " FROM s",

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import html
+import io
 import math
+import posixpath
+import re
+import tarfile
+import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.operators.difficulty import card, extremes
-from inkfield.plans.shared import file_system
+from inkfield.plans.shared import cut, file_system
 
 #: Bounds of an output shard's bytes; rows of either end of the report.
 LEAST_SHARD, MOST_SHARD, REPORT_ROWS = 100_000_000, 1_000_000_000, 50
+#: Codes of a document of predictions, in bytes: what one task puts together.
+DOCUMENT_BYTES = 64 * 1024 * 1024
 
 
 def shard_bytes(total: int) -> int:
@@ -51,33 +59,70 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_predictions(candidates: DataFrame, path: str, item: str, order: str, code: str) -> None:
-    """One document: the list of each item's codes, ascending by `order`. A list in one document is one task by its nature."""
+def write_predictions(candidates: DataFrame, path: str, item: str, order: str, code: str, document_bytes: int = DOCUMENT_BYTES) -> None:
+    """Documents that hold the list of each item's codes, ascending by `order`: one of about document_bytes for each range of items,
+    below part=<number of the range>."""
     per = candidates.groupBy(item).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, code))), lambda x: x[code]).alias("codes"))
-    whole = per.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(item, "codes"))), lambda x: x["codes"])).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    total = candidates.agg(F.sum(F.octet_length(code))).first()[0] or 0
+    ranged = cut(per.repartitionByRange(max(1, math.ceil(total / document_bytes)), item).withColumn("part", F.format_string("%09d", F.spark_partition_id())))
+    whole = ranged.groupBy("part").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(item, "codes"))), lambda x: x["codes"])).alias("value"))
+    whole.write.mode("overwrite").partitionBy("part").text(path)
+
+
+def arrow_folder(folder: str):
+    """(Arrow file system, path) of a folder's address; file:/a, file:///a and /a name the same."""
+    return FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
 
 
 def write_files(df: DataFrame, folder: str, path: str, content: str) -> DataFrame:
-    """(path, written): each row's bytes to a file below the folder, by the tasks that hold them. Null content: false."""
+    """(path, written): each row's bytes to a file below the folder, by the tasks that hold them. Null content: false, as for a
+    path that leads out of the folder. The folder may lie in any file system that Arrow knows by its address."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = arrow_folder(folder)
+        made = set()
         for pdf in batches:
             done = []
             for name, body in zip(pdf["path"], pdf["content"], strict=True):
-                ok = name is not None and body is not None
-                if ok:
-                    to = Path(folder, name)
-                    if not to.resolve().is_relative_to(Path(folder).resolve()):
-                        ok = False
-                    else:
-                        to.parent.mkdir(parents=True, exist_ok=True)
-                        to.write_bytes(body)
-                done.append(ok)
+                inside = name is not None and posixpath.normpath(name).split("/")[0] not in ("..", "")
+                if inside and body is not None:
+                    to = posixpath.join(base, posixpath.normpath(name))
+                    if (above := posixpath.dirname(to)) not in made:
+                        store.create_dir(above, recursive=True)
+                        made.add(above)
+                    with store.open_output_stream(to, compression=None) as out:
+                        out.write(body)
+                done.append(inside and body is not None)
             yield pd.DataFrame({"path": pdf["path"], "written": done})
 
     return df.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInPandas(write, "path string, written boolean")
 
 
+def write_archives(df: DataFrame, folder: str, path: str, content: str, kind: str = "tar.gz") -> DataFrame:
+    """(archive, members): each task packs its rows' bytes into one archive below the folder, a tar.gz or a zip, named by its
+    number, so that a task that runs again writes the same one. Rows without a path or bytes are left out."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = arrow_folder(folder)
+        store.create_dir(base, recursive=True)
+        name, n = f"part-{TaskContext.get().partitionId():05d}.{kind}", 0
+        with store.open_output_stream(posixpath.join(base, name), compression=None) as out:
+            pack = zipfile.ZipFile(out, "w") if kind == "zip" else tarfile.open(fileobj=out, mode="w|gz")
+            with pack:
+                for pdf in batches:
+                    for member, body in zip(pdf["path"], pdf["content"], strict=True):
+                        if member is None or body is None:
+                            continue
+                        n += 1
+                        if kind == "zip":
+                            pack.writestr(member, body)
+                        else:
+                            info = tarfile.TarInfo(member)
+                            info.size = len(body)
+                            pack.addfile(info, io.BytesIO(body))
+        yield pd.DataFrame({"archive": [name], "members": [n]})
+
+    return df.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInPandas(write, "archive string, members bigint")
+
+
 def html_report(table: DataFrame, n: int = REPORT_ROWS) -> str:
     """The n lowest and n highest scored rows of a ranked table as a page; at most 2n rows are collected. Nulls are blank."""
     rows = extremes(table, n).orderBy("section", "rank").collect()

@@ -82,11 +82,11 @@ def archive_members(spark: SparkSession, pattern: str, suffixes: str = "") -> Da
 def paper_figures(spark: SparkSession, pattern: str) -> DataFrame:
     """(caption, mention, ocr, image) of archives with JSON metadata and PNG members, joined on figure_id.
 
-    The first caption is the caption, the others are mentions. Images without metadata are dropped; orphans() finds them.
+    A JSON file holds the metadata of one figure or a list of them. The first caption is the caption, the others are mentions. Images without metadata are dropped; orphans() finds them.
     """
     every = archive_members(spark, pattern, ".json,.png")
     text = F.decode("content", "UTF-8")
-    meta = every.filter(F.endswith("name", F.lit(".json"))).select(F.explode(F.coalesce(F.from_json(text, f"array<{META}>"), F.array(F.from_json(text, META)))).alias("m")).select("m.*").filter("figure_id is not null").dropDuplicates(["figure_id"])
+    meta = every.filter(F.endswith("name", F.lit(".json"))).select(F.explode(F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, f"array<{META}>")).otherwise(F.array(F.from_json(text, META)))).alias("m")).select("m.*").filter("figure_id is not null").dropDuplicates(["figure_id"])
     image = every.filter(F.endswith("name", F.lit(".png"))).select(F.regexp_extract("name", r"([^/]+)\.png$", 1).alias("figure_id"), F.col("content").alias("image"))
     rest = F.filter(F.array(F.slice("captions", F.lit(2), F.greatest(F.size("captions"), F.lit(0)))), lambda a: F.size(a) > 0)
     ocr = F.transform(F.coalesce("ocr_result.ocr_result", F.array()), lambda x: x["text"])

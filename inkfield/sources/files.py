@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,10 +58,13 @@ def done_keys(spark: SparkSession, path: str, key: str = "example_file") -> Data
 
 
 def predictions_json(spark: SparkSession, path: str) -> DataFrame:
-    """(item, candidate, code) of documents that hold a list of lists of codes, ascending by score."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("item", "codes"))
-    return rows.select("item", F.posexplode("codes").alias("candidate", "code"))
+    """(item, candidate, code) of documents that hold a list of lists of codes, ascending by score. Items are numbered on through
+    the documents of a folder in the order of their names; of these only the sizes meet in one place."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<array<string>>").alias("items"))
+    before = F.coalesce(F.sum(F.size("items")).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = text.select("file", F.col("items")).select("file", before.alias("before"))  # one row per document
+    rows = text.join(sizes, "file").select("before", F.posexplode("items").alias("at", "codes"))
+    return rows.select((F.col("before") + F.col("at")).alias("item"), F.posexplode("codes").alias("candidate", "code"))
 
 
 def trainer_state(spark: SparkSession, path: str) -> DataFrame:
@@ -111,7 +114,7 @@ def first_rows(df: DataFrame, order: list[Column], n: int | None = None, share:
 
 def corpus_sample(df: DataFrame, key: str, most: int = 1000, seed: int = 0) -> DataFrame:
     """At most `most` rows without replacement, by seeded hash order of the key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key).limit(most)
 
 
 def shard_archives(spark: SparkSession, shards: Mapping[str, str]) -> DataFrame:

@@ -134,3 +134,19 @@ def test_late_keys(spark, tmp_path):
         streams.append_stream(streams.scored_stream(src, ["k"], "at"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.k: round(r.combined_score, 3) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {1, 2, 3} and got[2] == pytest.approx(0.73) and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_predictions_in_ranges(spark, tmp_path):
+    rows = [(i, j, f"code {i} {j}" * 3) for i in range(40) for j in range(i % 3 + 1)]
+    sinks.write_predictions(spark.createDataFrame(rows, "i int, s int, c string"), str(tmp_path / "out"), "i", "s", "c", document_bytes=400)
+    assert len(list((tmp_path / "out").glob("part=*"))) > 3
+    assert sorted(tuple(r) for r in files.predictions_json(spark, str(tmp_path / "out")).collect()) == rows
+
+
+def test_write_archives(spark, tmp_path):
+    rows = [(f"d/{i}.png", bytes([i])) for i in range(30)] + [(None, b"x"), ("y.png", None)]
+    df = spark.createDataFrame(rows, "p string, b binary").repartition(3)
+    for kind in ("tar.gz", "zip"):
+        assert sum(r.members for r in sinks.write_archives(df, str(tmp_path / kind), "p", "b", kind).collect()) == 30
+        got = {r.name: bytes(r.content) for r in archives.archive_members(spark, str(tmp_path / kind / f"*.{kind}")).collect()}
+        assert got == dict(rows[:30])
