@@ -218,7 +218,7 @@ def normalise(df: DataFrame, text: str, out: str, counts: dict[tuple[str, str],
 def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
     """(_k, f, t): fingerprints, of 256 bits, of the form and of the characters of each text of which something shows."""
     rows = normalise(df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", "_f").filter("_f <> ''")
-    return cut(rows.select("_k", F.unhex(F.sha2("_f", 256)).alias("f"), F.unhex(F.sha2("_t", 256)).alias("t")).distinct())  # forms are found once
+    return cut(rows.select("_k", F.unhex(F.sha2("_f", 256)).alias("f"), F.unhex(F.sha2("_t", 256)).alias("t")))  # forms are found once
 
 
 def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,13 +236,12 @@ def pairs_of_variants(marked: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     The keys of a spelling are cut into blocks of about `block` by hash, and spellings are paired block by block, so a spelling
     or a form of any number of keys is spread over tasks.
     """
-    spellings = marked.groupBy("f", "t").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    several = spellings.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    shown = salted_join(spellings, several.select("f"), "f", F.xxhash64("t"), counts=several)
+    forms = marked.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("_n"))
+    held = cut(salted_join(marked, forms.filter("a <> b").select("f"), "f", F.xxhash64("_k"), counts=forms))  # only these are looked at further
+    shown = held.groupBy("f", "t").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     couples = pairs_within(shown.select("f", F.struct("t", "n").alias("s")), "f", "s")
     blocks = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}.n") - 1))
     couples = couples.select(F.col("a.t").alias("ta"), F.col("b.t").alias("tb"), blocks("a").alias("ba"), "b").select("ta", "tb", "ba", blocks("b").alias("bb"))
-    held = salted_join(marked.select("f", "t", "_k"), several.select("f"), "f", F.xxhash64("_k"), counts=marked.groupBy("f").agg(F.count(F.lit(1)).alias("_n")))
     own = held.join(shown.select("t", "n"), "t").select("t", "_k", F.pmod(F.xxhash64("_k"), F.col("n")).cast("int").alias("_b"))
     first = couples.join(own.select(F.col("t").alias("ta"), F.col("_b").alias("ba"), F.col("_k").alias("x")), ["ta", "ba"])
     both = first.join(own.select(F.col("t").alias("tb"), F.col("_b").alias("bb"), F.col("_k").alias("y")), ["tb", "bb"]).filter("x <> y")
@@ -252,7 +251,7 @@ def pairs_of_variants(marked: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
 def look_sets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, first, spellings, members) of each row whose look has several spellings: the lowest key of the set, how many
     spellings and how many rows it has. One row per row, whatever the number of pairs."""
-    marked = _marked(df, key, text)
+    marked = _marked(df, key, text).distinct()
     sets = marked.groupBy("f", "t").agg(F.min("_k").alias("k"), F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("_n"))
     of = salted_join(marked.select("_k", "f"), sets.filter("spellings > 1").withColumn("members", F.col("_n")).drop("_n"), "f", F.xxhash64("_k"), counts=sets)
     return of.select(F.col("_k").alias(key), "first", "spellings", "members")

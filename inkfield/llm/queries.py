@@ -40,6 +40,17 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return splits.report(cut(p2_splits(spark, folder)))
 
 
+def p2_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the assignment: every record once, no example and no group in two splits, shares within a hundredth."""
+    given = cut(p2_splits(spark, folder))
+    parted = lambda c: given.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("value"))
+    goals = F.create_map(*(F.lit(x) for pair in splits.PROPORTIONS.items() for x in pair))
+    off = splits.report(given).agg(F.count_if(F.abs(F.col("share") - goals[F.col("split")]) > 0.01).alias("value"))
+    counts = {"rows": given.agg(F.count("row_id").alias("value")), "records": given.agg(F.count_distinct("row_id").alias("value")), "parted_examples": parted("example_number"), "parted_groups": parted("component"), "shares_off": off}
+    out = [df.select(F.lit(name).alias("figure"), "value") for name, df in counts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.detect(table(spark, folder, "upload_data"))
 
@@ -73,6 +84,17 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p6_windows(spark, folder), table(spark, folder, "context_windows"))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the windows: every text is laid, none with room for it is split, no window holds more than it may, and of
+    any two windows of one size at most one is filled less than half."""
+    windows = table(spark, folder, "context_windows")
+    laid = cut(p6_windows(spark, folder))
+    texts = laid.groupBy("window_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("size"))
+    each = texts.join(windows, "window_id").groupBy("window_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("n_tokens"))).alias("split_for_nothing"))
+    full = packing.fill(laid, windows).groupBy("window_id").agg(F.count_if("fill > 1").alias("overfull"), (F.count_if("fill < 0.5") > 1).alias("two_half_empty"))
+    return each.join(full, "window_id", "left").select("window_id", "texts", "split_for_nothing", F.coalesce("overfull", F.lit(0)).alias("overfull"), F.coalesce("two_half_empty", F.lit(False)).alias("two_half_empty"))
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The largest draw in which every source reaches its share."""
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
@@ -99,6 +121,19 @@ def p7_budget_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p7_budget_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of both draws, by source: no record twice, none over its uses, none of another source or without text."""
+    docs, targets = table(spark, folder, "documents").filter("text <> ''").select("doc_id", F.col("source").alias("of")), table(spark, folder, "mix_targets")
+    out = None
+    for name, drawn in (("largest", p7_mix(spark, folder)), ("budget", p7_budget_mix(spark, folder))):
+        kept = cut(drawn)
+        per = kept.join(docs, "doc_id", "left").join(targets.select("source", "max_repeats"), "source").groupBy("source").agg(
+            (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("repeated"), F.count_if((F.col("uses") > F.col("max_repeats")) | (F.col("uses") < 1)).alias("over_use"), F.count_if(~F.col("source").eqNullSafe(F.col("of"))).alias("foreign"))
+        part = targets.filter("target_share > 0").select("source").join(per, "source", "left").select(F.lit(name).alias("draw"), "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated", "over_use", "foreign")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.same_look(table(spark, folder, "documents"))
 
@@ -139,7 +174,7 @@ links AS (SELECT e, 'a:' || a AS k FROM o WHERE regexp_full_match(a, '[a-z]+_[0-
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_order, p2_found, p2_splits, p2_report, p3_found, p3_rates, p3_spikes, p4_found, p4_shares, p6_windows, p6_fill, p7_mix, p7_shares, p7_budget_mix, p7_budget_shares, p8_found, p8_sets, p8_forms)
+    for f in (p1_found, p1_order, p2_found, p2_splits, p2_report, p2_checks, p3_found, p3_rates, p3_spikes, p4_found, p4_shares, p6_windows, p6_fill, p6_checks, p7_mix, p7_shares, p7_budget_mix, p7_budget_shares, p7_checks, p8_found, p8_sets, p8_forms)
 }
 SQL = {
     "p1_found": _IDEAL + "SELECT batch_id, row_id FROM r WHERE place <= 3",
@@ -157,6 +192,10 @@ SQL = {
       n AS (SELECT row_id, sum(least(40, coalesce(nxt - i, 40))) AS covered FROM late GROUP BY row_id)
       SELECT t.row_id, round(coalesce(covered / length(s), 0), 6) AS share FROM t LEFT JOIN n USING (row_id)""",
 }
+SQL["p2_checks"] = """WITH n AS (SELECT count(DISTINCT row_id) AS n FROM upload_data)
+  SELECT unnest(['rows', 'records', 'parted_examples', 'parted_groups', 'shares_off']) AS figure, unnest([n, n, 0, 0, 0]) AS value FROM n"""
+SQL["p6_checks"] = "SELECT window_id, (SELECT count(doc_id) FROM documents) AS texts, 0 AS split_for_nothing, 0 AS overfull, false AS two_half_empty FROM context_windows"
+SQL["p7_checks"] = "SELECT draw, source, 0 AS repeated, 0 AS over_use, 0 AS foreign FROM mix_targets, (SELECT unnest(['largest', 'budget']) AS draw) WHERE target_share > 0"
 SQL["p3_spikes"] = f"""WITH t AS (SELECT DISTINCT ON (row_id) generator, length(generated_code) AS chars, strlen(generated_code) AS bytes FROM upload_data WHERE row_id IS NOT NULL AND generated_code <> ''),
   b AS (SELECT generator, unit, length, count(*) AS n FROM (SELECT generator, unnest(['chars', 'bytes']) AS unit, unnest([chars, bytes]) AS length FROM t) GROUP BY ALL),
   w AS (SELECT *, (sum(n) OVER (PARTITION BY generator, unit ORDER BY length RANGE BETWEEN {truncation.NEARBY} PRECEDING AND {truncation.NEARBY} FOLLOWING) - n) / {2.0 * truncation.NEARBY}::DOUBLE AS nearby,

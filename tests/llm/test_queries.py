@@ -18,7 +18,7 @@ def test_query(spark, data, name):
     if name in queries.SQL:
         assert_same(df, queries.SQL[name], connection(data))
     else:
-        assert df.count() >= 0
+        assert df.count() > 0 or name == "p8_sets"
 
 
 def test_columns(spark, data):
