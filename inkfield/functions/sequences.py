@@ -35,63 +35,65 @@ def tex_normal(code: str | None, language: str = "en") -> str:
     return f" {' '.join(tex_tokens(text))} " if code is not None else "  "
 
 
+#: Cells of the table that are worked on at the same time, by pairs of like length: what stays in a core's cache.
+CELLS = 1 << 16
+#: All costs are whole numbers of UNIT, so that equal ones are equal.
+UNIT = 0.2
+_JUMP, _DELETION, _INSERTION = (round(c / UNIT) for c in (JUMP, DELETION, INSERTION))
+
+
 def edit_distance(hypothesis: str, reference: str) -> float:
     """Extended edit distance of two texts in [0, 1]: edits with jumps at blanks, plus a penalty for places visited often."""
-    if not reference:
-        return 1.0
-    signs = np.frombuffer(hypothesis.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = len(signs) + 1
-    slope = np.arange(width) * DELETION
-    visits = np.full(width, -1)
-    row = np.ones(width)
-    row[0] = 0.0
-    base = np.empty(width)
-    for sign in map(ord, reference):
-        base[0] = row[0] + 1.0
-        np.minimum(row[:-1] + (signs != sign), row[1:] + INSERTION, out=base[1:])
-        # A run of deletions from any earlier place: the running minimum over a sloped line.
-        row = np.minimum.accumulate(base - slope) + slope
-        least = int(row.argmin())
-        visits[least] += 1
-        if sign == 32:
-            row = np.minimum(row, JUMP + row[least])
-    penalty = COVERAGE * float(np.where(visits >= 0, visits, 1).sum())
-    return min(1.0, (float(row[-1]) + penalty) / (len(reference) + penalty))
-
-
-#: Pairs that are aligned at the same time.
-TOGETHER = 64
+    return float(edit_distance_many([(hypothesis, reference)])[0])
 
 
 def edit_distance_many(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """edit_distance of (hypothesis, reference) pairs, TOGETHER at a time: one step over the reference serves all that are not at
-    their end. Those of like length go together, so that little is padded."""
+    """edit_distance of (hypothesis, reference) pairs, some at a time: one step over the reference serves all that are not at
+    their end. Those of like length go together, so that little is padded. An empty reference is at distance 1.
+
+    Rows are held less what a run of deletions up to each place costs; such a run is then a running minimum.
+    """
     out = np.ones(len(pairs))
-    order = sorted((i for i, (_, r) in enumerate(pairs) if r), key=lambda i: (-len(pairs[i][1]), -len(pairs[i][0])))
+    order = sorted((i for i, (_, r) in enumerate(pairs) if r), key=lambda i: -len(pairs[i][0]))
     codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for some in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER)):
+    at = 0
+    while at < len(order):
+        some = order[at : at + max(1, CELLS // (len(pairs[order[at]][0]) + 1))]
+        at += len(some)
+        some.sort(key=lambda i: -len(pairs[i][1]))
         wide, long = (np.array([len(pairs[i][side]) for i in some]) for side in (0, 1))
         signs, reference = np.zeros((len(some), wide.max()), np.uint32), np.zeros((len(some), long.max()), np.uint32)
         for k, i in enumerate(some):
             signs[k, : wide[k]], reference[k, : long[k]] = codes(pairs[i][0]), codes(pairs[i][1])
         width = wide.max() + 1
-        beyond, slope = np.arange(width) > wide[:, None], np.arange(width) * DELETION
-        visits, row, base = np.full((len(some), width), -1), np.ones((len(some), width)), np.empty((len(some), width))
-        row[:, 0] = 0.0
-        for at in range(long.max()):
-            n = int((long > at).sum())  # pairs are in the order of their references' lengths
-            sign, old, new = reference[:n, at], row[:n], base[:n]
-            new[:, 0] = old[:, 0] + 1.0
-            np.minimum(old[:, :-1] + (signs[:n] != sign[:, None]), old[:, 1:] + INSERTION, out=new[:, 1:])
-            old[:] = np.minimum.accumulate(new - slope, axis=1) + slope
-            old[beyond[:n]] = np.inf
-            least = old.argmin(1)
-            visits[np.arange(n), least] += 1
-            jump = sign == 32
-            if jump.any():
-                old[jump] = np.minimum(old[jump], JUMP + old[jump, least[jump]][:, None])
-        penalty = COVERAGE * np.where(beyond, 0, np.where(visits >= 0, visits, 1)).sum(1)
-        out[some] = np.minimum(1.0, (row[np.arange(len(some)), wide] + penalty) / (long + penalty))
+        short = _INSERTION * (long.max() + 1) + width < 14_000
+        kind, most = (np.int16, 16_000) if short else (np.int32, 1 << 29)
+        slope = np.arange(width, dtype=kind) * kind(_DELETION)
+        shown = slope + np.where(np.arange(width) > wide[:, None], kind(most), kind(0))  # places beyond a text are never least
+        visits = np.full((len(some), width), -1)
+        row = np.full((len(some), width), _INSERTION, kind) - slope
+        row[:, 0] = 0
+        other, less, more, whole = kind(_INSERTION), kind(_DELETION), kind(_INSERTION), np.empty_like(row)
+        active = np.searchsorted(-long, -np.arange(long.max()), side="left")  # pairs are in the order of their references' lengths
+        every = np.arange(len(some))
+        for step in range(long.max()):
+            n = active[step]
+            sign, old, new = reference[:n, step], row[:n], whole[:n]
+            np.multiply(signs[:n] != sign[:, None], other, out=new[:, 1:])
+            new[:, 1:] += old[:, :-1]
+            new[:, 1:] -= less
+            old += more
+            np.minimum(old[:, 1:], new[:, 1:], out=old[:, 1:])
+            np.minimum.accumulate(old, axis=1, out=old)
+            np.add(old, shown[:n], out=new)
+            least = new.argmin(1)
+            visits[every[:n], least] += 1
+            jump = np.flatnonzero(sign == 32)
+            if len(jump):
+                old[jump] = np.minimum(old[jump], (new[jump, least[jump]] + kind(_JUMP))[:, None] - slope)
+        last = (row[every, wide].astype(np.int64) + slope[wide]) * UNIT
+        penalty = COVERAGE * np.where(np.arange(width) > wide[:, None], 0, np.where(visits >= 0, visits, 1)).sum(1)
+        out[some] = np.minimum(1.0, (last + penalty) / (long + penalty))
     return out
 
 
