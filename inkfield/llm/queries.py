@@ -91,7 +91,7 @@ def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
     laid = cut(p6_windows(spark, folder))
     texts = laid.groupBy("window_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("size"))
     each = texts.join(windows, "window_id").groupBy("window_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("n_tokens"))).alias("split_for_nothing"))
-    full = packing.fill(laid, windows).groupBy("window_id").agg(F.count_if("fill > 1").alias("overfull"), (F.count_if("fill < 0.5") > 1).alias("two_half_empty"))
+    full = packing.fill(laid, windows).groupBy("window_id").agg(F.count_if(F.col("fill") > 1).alias("overfull"), (F.count_if(F.col("fill") < 0.5) > 1).alias("two_half_empty"))
     return each.join(full, "window_id", "left").select("window_id", "texts", "split_for_nothing", F.coalesce("overfull", F.lit(0)).alias("overfull"), F.coalesce("two_half_empty", F.lit(False)).alias("two_half_empty"))
 
 
