@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Members of a random subset and number of subsets of the kernel distance.
@@ -81,14 +81,12 @@ def mmd(x: np.ndarray, y: np.ndarray) -> float:
 def kernel_distance(rows: DataFrame, key: str, side: str, vector: str, subset: int = SUBSET, subsets: int = SUBSETS, seed: int = 0) -> DataFrame:
     """(mean, std) of the discrepancy between the rows of side 0 and 1 over seeded random subsets.
 
-    Each subset takes the `subset` rows of either side that come first in its own hash order, found as a top-k; only
-    these rows, subsets * 2 * subset in all, meet in a task per subset.
+    Each subset takes the `subset` rows of either side that come first in its own hash order, all found in one pass over the
+    rows, of which each task passes on no more than that; these, subsets * 2 * subset in all, meet in a task per subset.
     """
-    tops = None
-    for s in range(subsets):
-        for which in (0, 1):
-            part = rows.filter(F.col(side) == which).orderBy(F.xxhash64(key, F.lit(seed * 1000 + s)), key).limit(subset).select(F.lit(s).alias("s"), F.lit(which).alias("side"), F.col(vector).alias("v"))
-            tops = part if tops is None else tops.unionByName(part)
+    each = rows.filter(F.col(side).isin(0, 1)).select(F.col(key).alias("k"), F.col(side).alias("side"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))).alias("s"))
+    first = Window.partitionBy("s", "side").orderBy(F.xxhash64("k", F.lit(seed * 1000) + F.col("s")), "k")
+    tops = each.withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= subset).select("s", "side", "v")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.array([np.asarray(v, float) for v in pdf.loc[pdf["side"] == w, "v"]]) for w in (0, 1))

@@ -201,8 +201,41 @@ def stream_late(spark, folder):
     return back.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def parquet_round_trip(spark, folder):
+    """Scored rows in shards of a size that follows from the total, by generator, read again by the name of a loader."""
+    out = new_folder(spark, "parquet")
+    rows = table(spark, folder, "upload_data").select("row_id", "generator", "batch_id", F.octet_length("original_code").alias("size")).dropDuplicates(["row_id"])
+    sinks.write_parquet(rows, out, rows.agg(F.sum("size")).first()[0] or 0, ["generator"])
+    sources.register_source("scored_rows", lambda s, path: s.read.parquet(path))
+    back = sources.resolve(spark, "scored_rows", out)
+    return back.groupBy("generator").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_distinct("batch_id").alias("batches"))
+
+
+def best_per_model(spark, folder):
+    """By generator and example: the row of the least code score and the number of all codes, written by generator."""
+    out = new_folder(spark, "models")
+    rows = table(spark, folder, "upload_data").filter("generator is not null").select("row_id", "generator", "example_number", F.when(~F.isnan("code_score"), F.col("code_score")).alias("score"), "generated_code").dropDuplicates(["row_id"])
+    low = F.struct(F.col("score").isNull(), "score", "row_id")
+    sinks.write_parquet(rows.groupBy("generator", "example_number").agg(F.min_by("row_id", low).alias("best_row"), F.count("generated_code").alias("codes")), out, partition_by=["generator"])
+    return spark.read.parquet(out).select("generator", "example_number", "best_row", "codes")
+
+
+def cached_corpus(spark, folder):
+    """Lengths of the distinct original codes, kept under the digest of the corpus; built once though asked for twice."""
+    out, built = new_folder(spark, "cache"), []
+    corpus = table(spark, folder, "upload_data").filter("original_code is not null").select("original_code").distinct()
+
+    def build(df: DataFrame) -> DataFrame:
+        built.append(1)
+        return df.groupBy(F.length("original_code").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+    for order in (corpus, corpus.orderBy("original_code")):
+        found = sinks.cached(order, "original_code", out, build)
+    return found.select("length", "n", F.lit(len(built)).alias("builds"))
+
+
 _TREE = "t AS (SELECT event_id // 512 AS tree, event_id % 512 + 1 AS node, CASE WHEN event_id % 512 > 0 THEN (event_id % 512 + 1) // 2 END AS parent FROM events)"
-QUERIES = {f.__name__: f for f in (stream_windows, stream_sliding, stream_sessions, stream_best, stream_scores, csv_round_trip, json_round_trip, resume_append, tree_lines, folder_tree, flat_slice, archive_figures, archive_texts, united_shards, stream_lines, stream_fan_out, stream_late)}
+QUERIES = {f.__name__: f for f in (stream_windows, stream_sliding, stream_sessions, stream_best, stream_scores, csv_round_trip, json_round_trip, resume_append, tree_lines, folder_tree, flat_slice, archive_figures, archive_texts, united_shards, stream_lines, stream_fan_out, stream_late, parquet_round_trip, best_per_model, cached_corpus)}
 SQL = {
     "stream_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding": "WITH w AS (SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOURS AS start, event_type FROM events, (SELECT unnest([0, 1]) AS k)) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL",
@@ -226,4 +259,7 @@ SQL = {
       d AS (SELECT part, time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, value FROM e),
       seen AS (SELECT d.* FROM d JOIN k USING (part) WHERE mark IS NULL OR epoch_ms(start) + 86400000 > mark)
       SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM seen WHERE epoch_ms(start) + 86400000 <= (SELECT mark FROM k WHERE part = {ARRIVALS}) GROUP BY ALL""",
+    "parquet_round_trip": "WITH u AS (SELECT DISTINCT ON (row_id) row_id, generator, batch_id, strlen(original_code) AS size FROM upload_data) SELECT generator, count(*) AS n, sum(size)::BIGINT AS bytes, count(DISTINCT batch_id) AS batches FROM u GROUP BY generator",
+    "best_per_model": "WITH u AS (SELECT DISTINCT ON (row_id) row_id, generator, example_number, CASE WHEN NOT isnan(code_score) THEN code_score END AS score, generated_code FROM upload_data WHERE generator IS NOT NULL) SELECT generator, example_number, first(row_id ORDER BY score NULLS LAST, row_id) AS best_row, count(generated_code) AS codes FROM u GROUP BY ALL",
+    "cached_corpus": "SELECT length(original_code)::INT AS length, count(*) AS n, 1 AS builds FROM (SELECT DISTINCT original_code FROM upload_data WHERE original_code IS NOT NULL) GROUP BY 1",
 }

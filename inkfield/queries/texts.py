@@ -27,9 +27,10 @@ def code_clean(spark, folder):
 
 
 def feature_sets(spark, folder):
-    c = T.clean_code(F.col("original_code"))
+    c = F.col("clean")  # a generator of one row: the code is cleaned once for all sets
     join = lambda a: F.array_join(a, "|")
-    return codes(spark, folder, "original_code").select("row_id", join(T.commands(c)).alias("commands"), join(T.edges(c)).alias("edges"), join(T.edge_styles(c)).alias("edge_styles"), join(T.styles(c)).alias("styles"), join(T.coordinates(c)).alias("coordinates"))
+    clean = codes(spark, folder, "original_code").select("row_id", F.explode(F.array(T.clean_code(F.col("original_code")))).alias("clean"))
+    return clean.select("row_id", join(T.commands(c)).alias("commands"), join(T.edges(c)).alias("edges"), join(T.edge_styles(c)).alias("edge_styles"), join(T.styles(c)).alias("styles"), join(T.coordinates(c)).alias("coordinates"))
 
 
 def overlap_ratios(spark, folder):

@@ -150,3 +150,13 @@ def test_write_archives(spark, tmp_path):
         assert sum(r.members for r in sinks.write_archives(df, str(tmp_path / kind), "p", "b", kind).collect()) == 30
         got = {r.name: bytes(r.content) for r in archives.archive_members(spark, str(tmp_path / kind / f"*.{kind}")).collect()}
         assert got == dict(rows[:30])
+
+
+def test_small_sources(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.txt").write_text("")
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in files.text_files(spark, str(tmp_path / "*.txt")).collect()}
+    assert got["a.txt"] == "one\ntwo" and not got.get("b.txt")
+    assert {tuple(r) for r in files.shard_archives(spark, {"s1": "z1", "s0": "z1"}).collect()} == {("s0", "z1"), ("s1", "z1")}
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    assert files.resolve(spark, str(tmp_path / "p")).count() == 3
