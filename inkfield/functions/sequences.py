@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,57 @@ JUMP, COVERAGE, DELETION, INSERTION = 2.0, 0.3, 0.2, 1.0
 _LEX = re.compile(r"\\[A-Za-z@]+|\\.|%[^\n]*|[^\W\d_]+|\d+(?:\.\d+)?|\S", re.S)
 
 
+#: From this length on, difflib ignores signs of the second text that are more frequent than one in a hundred, and one more.
+LONG, FREQUENT = 200, 100
+
+
 def sequence_ratio(a: str | None, b: str | None) -> float | None:
-    """2M/T of difflib's matching blocks, frequent characters of long texts ignored as it does by default; null if a side is."""
-    return None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
+    """2M/T of difflib's matching blocks, frequent characters of long texts ignored as it does by default; null if a side is.
+
+    Its matches start from signs that are not ignored. The runs of such on each diagonal are listed once, and each block that is
+    taken (the longest, then the first in a, then in b) passes on only those that lie before it or behind it in both texts.
+    """
+    if a is None or b is None:
+        return None
+    if not a and not b:
+        return 1.0
+    frequent = len(b) // FREQUENT + 1 if len(b) >= LONG else len(b)
+    where = {x: [m.start() for m in re.finditer(re.escape(x), b)] for x in set(a).intersection(b) if b.count(x) <= frequent}
+    runs, last, before = [], {}, -1
+    for m in re.finditer(f"[{re.escape(''.join(where))}]", a) if where else ():
+        i = m.start()
+        old, last = last if i == before + 1 else {}, {}
+        for j in where[a[i]]:
+            if (run := old.get(j - 1)) is None:
+                runs.append(run := [i, j, 0])
+            run[2] += 1
+            last[j] = run
+        before = i
+    total, parts = 0, [(0, len(a), 0, len(b), runs)]
+    while parts:
+        low, high, left, right, inside = parts.pop()
+        i, j, size = low, left, 0
+        for p, q, n in inside:
+            if n > size or n == size and (p, q) < (i, j):
+                i, j, size = p, q, n
+        if size:
+            while i > low and j > left and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+        while i + size < high and j + size < right and a[i + size] == b[j + size]:
+            size += 1
+        if not size:
+            continue
+        total += size
+        end, stop = i + size, j + size
+        if low < i and left < j:
+            parts.append((low, i, left, j, [(p, q, n if p + n <= i and q + n <= j else min(i - p, j - q)) for p, q, n in inside if p < i and q < j]))
+        if end < high and stop < right:
+            parts.append((end, high, stop, right, [(p, q, n) if p >= end and q >= stop else (p + (d := max(end - p, stop - q)), q + d, n - d) for p, q, n in inside if p + n > end and q + n > stop and n > max(end - p, stop - q)]))
+    return 2.0 * total / (len(a) + len(b))
+
+
+def sequence_ratios(a: Iterable[str | None], b: Iterable[str | None]) -> list[float | None]:
+    return [sequence_ratio(p, q) for p, q in zip(a, b, strict=True)]
 
 
 def tex_tokens(code: str | None) -> list[str]:
@@ -32,11 +80,17 @@ def tex_normal(code: str | None, language: str = "en") -> str:
     if language not in ("en", "ja"):
         raise ValueError(f"no rules for language {language!r}; there are en, ja")
     text = unicodedata.normalize("NFKC", code) if code and language == "ja" else code
-    return f" {' '.join(tex_tokens(text))} " if code is not None else "  "
+    return between_blanks(tex_tokens(text))
+
+
+def between_blanks(tokens: list[str]) -> str:
+    return f" {' '.join(tokens)} "
 
 
 #: Cells of the table that are worked on at the same time, by pairs of like length: what stays in a core's cache.
-CELLS = 1 << 16
+CELLS, BYTE_CELLS = 1 << 16, 1 << 18
+#: Longest run without a blank, and most different signs, of the references and pairs whose cells fit bytes; what is above all cells.
+RUN, SIGNS, ABOVE = 22, 255, 190
 #: All costs are whole numbers of UNIT, so that equal ones are equal.
 UNIT = 0.2
 _JUMP, _DELETION, _INSERTION = (round(c / UNIT) for c in (JUMP, DELETION, INSERTION))
@@ -50,51 +104,139 @@ def edit_distance(hypothesis: str, reference: str) -> float:
 def edit_distance_many(pairs: list[tuple[str, str]]) -> np.ndarray:
     """edit_distance of (hypothesis, reference) pairs, some at a time: one step over the reference serves all that are not at
     their end. Those of like length go together, so that little is padded. An empty reference is at distance 1.
-
-    Rows are held less what a run of deletions up to each place costs; such a run is then a running minimum.
     """
     out = np.ones(len(pairs))
-    order = sorted((i for i, (_, r) in enumerate(pairs) if r), key=lambda i: -len(pairs[i][0]))
-    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    run = {i: max(map(len, r.split(" "))) for i, (_, r) in enumerate(pairs) if r}
+    order = sorted(run, key=lambda i: -len(pairs[i][0]))
+    rest = [i for i in order if run[i] > RUN]
+    for some in _alike(pairs, [i for i in order if run[i] <= RUN], BYTE_CELLS):
+        if (found := _byte_distances([pairs[i] for i in some])) is None:
+            rest += some
+        else:
+            out[some] = found
+    for some in _alike(pairs, sorted(rest, key=lambda i: -len(pairs[i][0])), CELLS):
+        out[some] = _wide_distances([pairs[i] for i in some])
+    return out
+
+
+def _alike(pairs: list[tuple[str, str]], order: list[int], cells: int) -> Iterator[list[int]]:
+    """The pairs in parts of so many cells a row, each in the falling order of its references' lengths."""
     at = 0
     while at < len(order):
-        some = order[at : at + max(1, CELLS // (len(pairs[order[at]][0]) + 1))]
+        some = order[at : at + max(1, cells // (len(pairs[order[at]][0]) + 1))]
         at += len(some)
-        some.sort(key=lambda i: -len(pairs[i][1]))
-        wide, long = (np.array([len(pairs[i][side]) for i in some]) for side in (0, 1))
-        signs, reference = np.zeros((len(some), wide.max()), np.uint32), np.zeros((len(some), long.max()), np.uint32)
-        for k, i in enumerate(some):
-            signs[k, : wide[k]], reference[k, : long[k]] = codes(pairs[i][0]), codes(pairs[i][1])
-        width = wide.max() + 1
-        short = _INSERTION * (long.max() + 1) + width < 14_000
-        kind, most = (np.int16, 16_000) if short else (np.int32, 1 << 29)
-        slope = np.arange(width, dtype=kind) * kind(_DELETION)
-        shown = slope + np.where(np.arange(width) > wide[:, None], kind(most), kind(0))  # places beyond a text are never least
-        visits = np.full((len(some), width), -1)
-        row = np.full((len(some), width), _INSERTION, kind) - slope
-        row[:, 0] = 0
-        other, less, more, whole = kind(_INSERTION), kind(_DELETION), kind(_INSERTION), np.empty_like(row)
-        active = np.searchsorted(-long, -np.arange(long.max()), side="left")  # pairs are in the order of their references' lengths
-        every = np.arange(len(some))
-        for step in range(long.max()):
-            n = active[step]
-            sign, old, new = reference[:n, step], row[:n], whole[:n]
-            np.multiply(signs[:n] != sign[:, None], other, out=new[:, 1:])
-            new[:, 1:] += old[:, :-1]
-            new[:, 1:] -= less
-            old += more
-            np.minimum(old[:, 1:], new[:, 1:], out=old[:, 1:])
-            np.minimum.accumulate(old, axis=1, out=old)
-            np.add(old, shown[:n], out=new)
-            least = new.argmin(1)
-            visits[every[:n], least] += 1
-            jump = np.flatnonzero(sign == 32)
-            if len(jump):
-                old[jump] = np.minimum(old[jump], (new[jump, least[jump]] + kind(_JUMP))[:, None] - slope)
-        last = (row[every, wide].astype(np.int64) + slope[wide]) * UNIT
-        penalty = COVERAGE * np.where(np.arange(width) > wide[:, None], 0, np.where(visits >= 0, visits, 1)).sum(1)
-        out[some] = np.minimum(1.0, (last + penalty) / (long + penalty))
-    return out
+        yield sorted(some, key=lambda i: -len(pairs[i][1]))
+
+
+def _distances(last: np.ndarray, unseen: np.ndarray, visits: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """From the last cells; unseen: places never visited; visits: those after a place's first."""
+    penalty = COVERAGE * (visits + unseen)
+    return np.minimum(1.0, (last * UNIT + penalty) / (long + penalty))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _byte_distances(pairs: list[tuple[str, str]]) -> np.ndarray | None:
+    """Of pairs whose references, in falling order of length, have no run over RUN; none if there are more than SIGNS signs.
+
+    After a blank no cell is more than a jump above its row's least, and k steps before one none over a jump and k insertions
+    matters. Cells are held to that, less an insertion a step and with the least brought back up now and then, so that they fit
+    bytes; and a run of deletions that still gains anything is at most as long, so that a few doublings of shifts have them all.
+    Rows lie behind each other with gaps that such runs don't get across.
+    """
+    wide, long = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    texts = [_codes("".join(p[side] for p in pairs)) for side in (0, 1)]
+    known = np.zeros(max(33, *(int(t.max(initial=0)) + 1 for t in texts)), bool)
+    known[texts[0]] = known[texts[1]] = known[32] = True
+    numbers = np.cumsum(known)
+    if numbers[-1] > SIGNS:
+        return None
+    numbers, count, steps = numbers.astype(np.uint8), len(pairs), int(long.max())
+    reference, place = np.zeros((count, steps), np.uint8), np.arange(steps)
+    reference[place < long[:, None]] = numbers[texts[1]]
+    blank = reference == numbers[32]
+    past = place - np.maximum.accumulate(np.where(blank, place, -1), axis=1)
+    ahead = np.minimum.accumulate(np.where(blank, place, 1 << 20)[:, ::-1], axis=1)[:, ::-1] - place
+    spread = _JUMP + _INSERTION * np.where(place < long[:, None], np.minimum(past, ahead), 0).max(0)
+    doublings = [int(most + _INSERTION - 1).bit_length() for most in (_JUMP, *spread[:-1])]
+    gap = 1 << max(doublings)
+    lift = _INSERTION * max(1, (ABOVE - int(spread.max()) - 2 * _INSERTION) // _INSERTION)
+    held = np.minimum(_JUMP + _INSERTION * ahead.T, 255).astype(np.int16)
+    blank, reference = None, np.ascontiguousarray(reference.T)
+
+    width = gap + int(wide.max()) + 1
+    signs, row, other, same = (np.zeros((count, width), np.uint8) for _ in range(4))
+    signs[:, gap + 1 :][np.arange(width - gap - 1) < wide[:, None]] = numbers[texts[0]]
+    row[:, :gap], row[:, gap], row[:, gap + 1 :] = ABOVE, lift, lift + _INSERTION
+    seen, starts, base = np.zeros(count * width, bool), np.arange(count) * width, np.full(count, -lift)
+    active = np.searchsorted(-long, -place, side="left")
+    shifts, gain = [np.uint8(_DELETION << k) for k in range(8)], np.uint8(_INSERTION)
+    for step in range(steps):
+        n = int(active[step])
+        old, new, equal = (x.reshape(-1)[: n * width] for x in (row, other, same))
+        np.copyto(other[:n], reference[step, :n, None])
+        np.equal(signs.reshape(-1)[: n * width], new, out=equal.view(bool))
+        np.multiply(equal, gain, out=equal)
+        np.subtract(old[:-1], equal[1:], out=new[1:])
+        np.minimum(old[1:], new[1:], out=old[1:])
+        for k in range(doublings[step]):
+            np.add(old[: -1 << k], shifts[k], out=new[1 << k :])
+            np.minimum(old[1 << k :], new[1 << k :], out=old[1 << k :])
+        row[:n, :gap] = ABOVE
+        least = row[:n].argmin(1)
+        least += starts[:n]
+        seen[least] = True
+        lowest = old[least].astype(np.int16)
+        np.copyto(other[:n], np.minimum(lowest + held[step, :n], 255).astype(np.uint8)[:, None])
+        np.minimum(old, new, out=old)
+        base[:n] += _INSERTION
+        if (step + 1) % (lift // _INSERTION) == 0:
+            row[:n] += (lift - lowest).astype(np.uint8)[:, None]
+            row[:n, :gap] = ABOVE
+            base[:n] -= lift - lowest
+    places = seen.reshape(count, width).sum(1)
+    return _distances(row[np.arange(count), gap + wide] + base, wide + 1 - places, long - places, long)
+
+
+def _wide_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Of any pairs, in falling order of their references' lengths.
+
+    Rows are held less what a run of deletions up to each place costs; such a run is then a running minimum.
+    """
+    wide, long = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    signs, reference = np.zeros((len(pairs), wide.max()), np.uint32), np.zeros((len(pairs), long.max()), np.uint32)
+    for k, (h, r) in enumerate(pairs):
+        signs[k, : wide[k]], reference[k, : long[k]] = _codes(h), _codes(r)
+    width = wide.max() + 1
+    short = _INSERTION * (long.max() + 1) + width < 14_000
+    kind, most = (np.int16, 16_000) if short else (np.int32, 1 << 29)
+    slope = np.arange(width, dtype=kind) * kind(_DELETION)
+    shown = slope + np.where(np.arange(width) > wide[:, None], kind(most), kind(0))  # places beyond a text are never least
+    visits = np.full((len(pairs), width), -1)
+    row = np.full((len(pairs), width), _INSERTION, kind) - slope
+    row[:, 0] = 0
+    other, less, more, whole = kind(_INSERTION), kind(_DELETION), kind(_INSERTION), np.empty_like(row)
+    active = np.searchsorted(-long, -np.arange(long.max()), side="left")
+    every = np.arange(len(pairs))
+    for step in range(long.max()):
+        n = active[step]
+        sign, old, new = reference[:n, step], row[:n], whole[:n]
+        np.multiply(signs[:n] != sign[:, None], other, out=new[:, 1:])
+        new[:, 1:] += old[:, :-1]
+        new[:, 1:] -= less
+        old += more
+        np.minimum(old[:, 1:], new[:, 1:], out=old[:, 1:])
+        np.minimum.accumulate(old, axis=1, out=old)
+        np.add(old, shown[:n], out=new)
+        least = new.argmin(1)
+        visits[every[:n], least] += 1
+        jump = np.flatnonzero(sign == 32)
+        if len(jump):
+            old[jump] = np.minimum(old[jump], (new[jump, least[jump]] + kind(_JUMP))[:, None] - slope)
+    inside = np.arange(width) <= wide[:, None]
+    return _distances(row[every, wide].astype(np.int64) + slope[wide], (inside & (visits < 0)).sum(1), np.where(inside, np.maximum(visits, 0), 0).sum(1), long)
 
 
 def option_block(tail: str | None) -> str:
@@ -155,7 +297,7 @@ def decompose(code: str | None) -> dict:
 def sequence_ratio_column(a: Column, b: Column) -> Column:
     def batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in pairs:
-            yield pd.Series([sequence_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+            yield pd.Series(sequence_ratios(x, y), dtype="float64")
 
     return F.pandas_udf(batches, "double")(a, b)
 

@@ -38,7 +38,12 @@ def with_overlaps(rows: DataFrame, original: str, generated: str) -> DataFrame:
 
     Cleaned codes and sets are columns of steps of their own, so that each is worked out once for all that use it.
     """
-    out = rows.withColumns({"_a": clean_code(F.col(original)), "_b": clean_code(F.col(generated))})
+    return with_clean_overlaps(rows.withColumns({"_a": clean_code(F.col(original)), "_b": clean_code(F.col(generated))}), "_a", "_b").select(*rows.columns, *FEATURES)
+
+
+def with_clean_overlaps(rows: DataFrame, original: str, generated: str) -> DataFrame:
+    """with_overlaps of two codes that are cleaned already."""
+    out = rows.withColumns({"_a": F.col(original), "_b": F.col(generated)})
     out = out.withColumns({f"_{name}{side}": f(F.col(side)) for name, f in FEATURES.items() for side in ("_a", "_b")})
     return out.withColumns({name: overlap(F.col(f"_{name}_a"), F.col(f"_{name}_b")) for name in FEATURES}).select(*rows.columns, *FEATURES)
 

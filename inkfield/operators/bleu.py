@@ -6,9 +6,9 @@ Only counts over a whole corpus are shuffled, summed by task first.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +19,13 @@ from inkfield.plans.order import running
 ORDER, TRIVIAL = 4, 500
 #: Different n-grams that a task holds before it passes their counts on.
 HELD = 500_000
+#: Texts whose n-grams are numbered together.
+AT_ONCE = 2_000
 #: Stands between the tokens of an n-gram that is kept as text.
 JOINT = "\x1f"
 ORDERS = range(1, ORDER + 1)
 _COUNTS = [f"{c}{n}" for n in ORDERS for c in "mt"]
+PAIR_COUNTS = ", ".join(f"{c} bigint" for c in ("hyp", "ref", *_COUNTS))
 
 Tokenizer = Callable[[str], list[str]]
 
@@ -36,22 +39,41 @@ def grams_of(tokens: list[str], n: int) -> Iterable[tuple[str, ...]]:
     return zip(*(tokens[i:] for i in range(n)), strict=False)
 
 
+def _numbered(texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By order: n, and the text, the place among all tokens and the number of each n-gram, equal for equal ones; the place of the first of each number."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    token = pd.factorize(np.array([x for t in texts for x in t], dtype=object))[0].astype(np.int64)
+    text, number, different = np.repeat(np.arange(len(texts)), lengths), token, int(token.max(initial=-1)) + 1
+    place = np.arange(len(token))
+    for n in ORDERS:
+        if n > 1:
+            inside = place + n - 1 < len(token)
+            inside[inside] = text[place[inside] + n - 1] == text[place[inside]]
+            place, number = place[inside], number[inside]
+            number = pd.factorize(number * different + token[place + n - 1])[0].astype(np.int64)
+        first = np.empty(int(number.max(initial=-1)) + 1, np.int64)
+        first[number[::-1]] = place[::-1]
+        yield n, text[place], place, number, first
+
+
 def corpus_grams(texts: DataFrame, text: Column, tokenize: Tokenizer = blank_split, joint: str = JOINT) -> DataFrame:
     """(n, gram, total): how often a corpus has each n-gram of the ORDERS. Null texts have none."""
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        held: dict[tuple[int, str], int] = {}
 
         def done() -> pd.DataFrame:
-            out = pd.DataFrame([(len(g), joint.join(g), n) for g, n in held.items()], columns=["n", "gram", "total"])
+            out = pd.DataFrame([(n, g, total) for (n, g), total in held.items()], columns=["n", "gram", "total"])
             held.clear()
             return out
 
         for pdf in frames:
-            for t in pdf["t"]:
-                if t:
-                    tokens = tokenize(t)
-                    for n in ORDERS:
-                        held.update(grams_of(tokens, n))
+            for at in range(0, len(pdf), AT_ONCE):
+                some = [tokenize(t) for t in pdf["t"].iloc[at : at + AT_ONCE] if t]
+                every = [x for t in some for x in t]
+                for n, _, _, number, first in _numbered(some):
+                    for p, total in zip(first.tolist(), np.bincount(number).tolist(), strict=True):
+                        key = (n, joint.join(every[p : p + n]))
+                        held[key] = held.get(key, 0) + total
                 if len(held) > HELD:
                     yield done()
         yield done()
@@ -69,23 +91,38 @@ def shared_grams(frequent: DataFrame, joint: str = JOINT) -> frozenset[tuple[str
     return frozenset(tuple(r["gram"].split(joint)) for r in frequent.select("gram").collect())
 
 
+def pair_counts_many(hypotheses: list[list[str]], references: list[list[str]], shared: frozenset = frozenset()) -> pd.DataFrame:
+    """The numbers of pair_counts for pairs of token lists, the n-grams of AT_ONCE pairs counted together."""
+    parts = [_pair_counts(hypotheses[at : at + AT_ONCE], references[at : at + AT_ONCE], shared) for at in range(0, max(len(hypotheses), 1), AT_ONCE)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _pair_counts(hypotheses: list[list[str]], references: list[list[str]], shared: frozenset) -> pd.DataFrame:
+    pairs, known = len(hypotheses), list(shared)
+    out = {"hyp": [len(t) for t in hypotheses], "ref": [len(t) for t in references]}
+    for n, text, _, number, first in _numbered([*hypotheses, *references, *map(list, known)]):
+        plain = np.ones(len(first), bool)
+        fits = np.array([len(g) == n for g in known], bool)
+        is_known = text >= 2 * pairs
+        plain[number[is_known][fits[text[is_known] - 2 * pairs]]] = False
+        asked = ~is_known & plain[number]
+        text, number = text[asked], number[asked]
+        key, different = pd.factorize(text % max(pairs, 1) * len(first) + number)
+        ours = text < pairs
+        have, found = (np.bincount(key[side], minlength=len(different)) for side in (ours, ~ours))
+        pair = different // max(len(first), 1)
+        out[f"m{n}"], out[f"t{n}"] = (np.bincount(pair, c, pairs).astype(np.int64)[:pairs] for c in (np.minimum(have, found), have))
+    return pd.DataFrame(out, columns=["hyp", "ref", *_COUNTS], dtype="int64")
+
+
 def pair_counts(hypothesis: Column, reference: Column, shared: frozenset = frozenset(), tokenize: Tokenizer = blank_split) -> Column:
     """Struct of hyp and ref, the tokens of either text, and of m1, t1, ... m4, t4: by order, the hypothesis n-grams found in the
     reference, each at most as often as there, and all of them. n-grams in `shared` are left out. Null texts have no tokens."""
-    def one(h: str | None, r: str | None) -> list[int]:
-        a, b = (tokenize(t) if t else [] for t in (h, r))
-        row = [len(a), len(b)]
-        for n in ORDERS:
-            have = Counter(grams_of(b, n))
-            asked = [(g, c) for g, c in Counter(grams_of(a, n)).items() if g not in shared]
-            row += [sum(min(c, have[g]) for g, c in asked if g in have), sum(c for _, c in asked)]
-        return row
-
     def batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for h, r in pairs:
-            yield pd.DataFrame([one(a, b) for a, b in zip(h, r, strict=True)], columns=["hyp", "ref", *_COUNTS], dtype="int64")
+        for sides in pairs:
+            yield pair_counts_many(*([tokenize(t) if t else [] for t in side] for side in sides), shared)
 
-    return F.pandas_udf(batches, ", ".join(f"{c} bigint" for c in ("hyp", "ref", *_COUNTS)))(hypothesis, reference)
+    return F.pandas_udf(batches, PAIR_COUNTS)(hypothesis, reference)
 
 
 def by_order(pairs: DataFrame, key: str) -> DataFrame:

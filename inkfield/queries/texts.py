@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +77,15 @@ def ngram_top(spark, folder):
     return B.trivial(every).withColumn("n", F.col("n").cast("bigint"))
 
 
+def _cleaned(spark, folder):
+    """Pairs with their cleaned codes, each cleaned once for all that use it."""
+    clean = pairs(spark, folder).select("row_id", F.explode(F.array(T.clean_code(F.col("original_code")))).alias("original"), "generated_code")
+    return clean.select("row_id", "original", F.explode(F.array(T.clean_code(F.col("generated_code")))).alias("generated"))
+
+
 def _counted(spark, folder, tokenize=B.blank_split):
     """Pairs with their n-gram counts, without the n-grams that the original codes share most often. Codes are cleaned once."""
-    clean = pairs(spark, folder).select("row_id", F.explode(F.array(T.clean_code(F.col("original_code")))).alias("original"), "generated_code")
-    clean = clean.select("row_id", "original", F.explode(F.array(T.clean_code(F.col("generated_code")))).alias("generated"))
+    clean = _cleaned(spark, folder)
     shared = B.shared_grams(B.trivial(B.corpus_grams(clean, F.col("original"), tokenize)))
     return clean.select("row_id", B.pair_counts(F.col("generated"), F.col("original"), shared, tokenize).alias("b")).select("row_id", "b.*")
 
@@ -101,13 +109,30 @@ def tex_bleu(spark, folder):
     return B.pair_bleu(_counted(spark, folder, Q.tex_tokens)).select("row_id", "hyp", "ref", F.round("bleu", 6).alias("bleu"))
 
 
+def _measures(original, generated, shared):
+    """Struct of the matching-block ratio, the edit distance and the n-gram counts of cleaned codes, whose TeX tokens are taken once.
+
+    preprocess() would leave the tokens as they are: it takes out only blanks next to signs that no token goes over."""
+    def batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in pairs:
+            refs, hyps = ([Q.tex_tokens(t) for t in side] for side in (x, y))
+            out = B.pair_counts_many(hyps, refs, shared)
+            out.insert(0, "ted", Q.edit_distance_many([(Q.between_blanks(h), Q.between_blanks(r)) for h, r in zip(hyps, refs, strict=True)]))
+            out.insert(0, "sequence", Q.sequence_ratios(x, y))
+            yield out
+
+    return F.pandas_udf(batches, "sequence double, ted double, " + B.PAIR_COUNTS)(original, generated)
+
+
 def final_difficulty(spark, folder):
     """1 - (custom score + BLEU + edit distance), with all of its parts, per pair; BLEU over TeX tokens of the pair alone."""
-    rows = _scores(spark, folder).withColumn("sequence", Q.sequence_ratio_column(T.clean_code(F.col("original_code")), T.clean_code(F.col("generated_code"))))
-    rows = rows.withColumn("ted", Q.edit_distance_column(T.preprocess(F.col("generated_code")), T.preprocess(F.col("original_code")))).withColumn("custom", S.blended({k: F.col(k) for k in S.OVERALL}, S.CUSTOM))
-    bleu = B.pair_bleu(_counted(spark, folder, Q.tex_tokens)).select("row_id", "bleu")
-    final = S.final_score(F.col("custom"), F.coalesce("bleu", F.lit(0.0)), F.col("ted"))
-    return rows.join(bleu, "row_id", "left").select("row_id", F.round("custom", 6).alias("custom"), F.round(F.coalesce("bleu", F.lit(0.0)), 6).alias("bleu"), F.round("ted", 6).alias("ted"), F.round(1 - final, 6).alias("difficulty"))
+    clean = _cleaned(spark, folder)
+    shared = B.shared_grams(B.trivial(B.corpus_grams(clean, F.col("original"), Q.tex_tokens)))
+    rows = S.with_clean_overlaps(clean.withColumn("m", _measures(F.col("original"), F.col("generated"), shared)), "original", "generated")
+    rows = B.pair_bleu(rows.select("row_id", *T.FEATURES, "m.*"))
+    rows = rows.withColumn("custom", S.blended({k: F.col(k) for k in S.OVERALL}, S.CUSTOM))
+    bleu = F.coalesce("bleu", F.lit(0.0))
+    return rows.select("row_id", F.round("custom", 6).alias("custom"), F.round(bleu, 6).alias("bleu"), F.round("ted", 6).alias("ted"), F.round(1 - S.final_score(F.col("custom"), bleu, F.col("ted")), 6).alias("difficulty"))
 
 
 def text_flatten(spark, folder):

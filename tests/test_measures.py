@@ -13,6 +13,7 @@ from inkfield.functions import images as I
 from inkfield.functions import sequences as Q
 from inkfield.functions import similarity as S
 from inkfield.functions import text as T
+from inkfield.operators import bleu as B
 from inkfield.queries import catalogue
 from inkfield.queries.texts import pairs
 
@@ -115,3 +116,40 @@ def test_transport_and_kernel(spark, data):
     same = lambda x: np.mean([k(p, q) for i, p in enumerate(x) for j, q in enumerate(x) if i != j])
     whole = same(sides[0]) + same(sides[1]) - 2 * np.mean([k(p, q) for p in sides[0] for q in sides[1]])
     assert abs(row["mean"] - whole) <= 4 * row["std"] + 1e-6
+
+
+def test_edit_distance_in_bytes():
+    rng = random.Random(5)
+    text = lambda parts, n: "".join(rng.choice(parts) for _ in range(rng.randrange(0, n)))
+    parts = ["aa", "b", "abcdefg", " ", "abab", "д𝒳", "bababababababa"]
+    some = [(text(parts, n), text(parts, n)) for n in (10, 40, 120) for _ in range(40)] + [("a" * 60, "b" * 60), ("", "a" * 22 + " b"), ("ab " * 90, "ab " * 90)]
+    assert {max(map(len, r.split(" "))) <= Q.RUN for _, r in some} == {True, False}
+    assert Q.edit_distance_many(some).tolist() == pytest.approx([plain_distance(h, r) for h, r in some])
+    signs = "".join(chr(0x4E00 + i) + " " for i in range(Q.SIGNS + 5))
+    assert Q._byte_distances([(signs, signs)]) is None and Q.edit_distance(signs, signs[4:]) == pytest.approx(plain_distance(signs, signs[4:]))
+
+
+def test_sequence_ratio_is_difflibs():
+    rng = random.Random(6)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz0123456789[]^-\\ \n", "aбв𝒳 "])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([2, 40, 450])))) for _ in "ab")
+        b = b[:40] + a[10 : rng.randrange(11, 300)] + b[40:]
+        assert Q.sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_pair_counts_of_many():
+    rng = random.Random(7)
+    text = lambda: [rng.choice("abcde") for _ in range(rng.choice([0, 1, 2, 3, 5, 20]))]
+    for m in (0, 1, 30):
+        pairs, shared = [(text(), text()) for _ in range(m)], frozenset(tuple(rng.choice("abcdez") for _ in range(rng.randrange(1, 5))) for _ in range(m))
+        got = B.pair_counts_many(*([p[side] for p in pairs] for side in (0, 1)), shared)
+        for (h, r), counts in zip(pairs, got.itertuples(index=False), strict=True):
+            grams = lambda t, n: Counter(g for g in B.grams_of(t, n) if g not in shared)
+            assert counts == (len(h), len(r), *(x for n in B.ORDERS for x in ((grams(h, n) & grams(r, n)).total(), grams(h, n).total())))
+
+
+def test_final_difficulty_in_one_pass(spark, data):
+    """Codes are cleaned and cut into tokens once for all measures: one Arrow function, and no part joined to the others."""
+    plan = catalogue.QUERIES["final_difficulty"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
