@@ -19,55 +19,114 @@ _LEX = re.compile(r"\\[A-Za-z@]+|\\.|%[^\n]*|[^\W\d_]+|\d+(?:\.\d+)?|\S", re.S)
 
 #: From this length on, difflib ignores signs of the second text that are more frequent than one in a hundred, and one more.
 LONG, FREQUENT = 200, 100
+#: Matches of single signs, and different signs times pairs, that pairs whose blocks are sought together have at most; pairs
+#: of that kind; bits of a place in a text.
+MATCHES, RATIOS, PLACE = 1 << 22, 1_000, 21
 
 
 def sequence_ratio(a: str | None, b: str | None) -> float | None:
-    """2M/T of difflib's matching blocks, frequent characters of long texts ignored as it does by default; null if a side is.
+    """2M/T of difflib's matching blocks, frequent characters of long texts ignored as it does by default; null if a side is."""
+    return sequence_ratios([a], [b])[0]
 
-    Its matches start from signs that are not ignored. The runs of such on each diagonal are listed once, and each block that is
-    taken (the longest, then the first in a, then in b) passes on only those that lie before it or behind it in both texts.
-    """
-    if a is None or b is None:
-        return None
-    if not a and not b:
-        return 1.0
-    frequent = len(b) // FREQUENT + 1 if len(b) >= LONG else len(b)
-    where = {x: [m.start() for m in re.finditer(re.escape(x), b)] for x in set(a).intersection(b) if b.count(x) <= frequent}
-    runs, last, before = [], {}, -1
-    for m in re.finditer(f"[{re.escape(''.join(where))}]", a) if where else ():
-        i = m.start()
-        old, last = last if i == before + 1 else {}, {}
-        for j in where[a[i]]:
-            if (run := old.get(j - 1)) is None:
-                runs.append(run := [i, j, 0])
-            run[2] += 1
-            last[j] = run
-        before = i
-    total, parts = 0, [(0, len(a), 0, len(b), runs)]
-    while parts:
-        low, high, left, right, inside = parts.pop()
-        i, j, size = low, left, 0
-        for p, q, n in inside:
-            if n > size or n == size and (p, q) < (i, j):
-                i, j, size = p, q, n
-        if size:
-            while i > low and j > left and a[i - 1] == b[j - 1]:
-                i, j, size = i - 1, j - 1, size + 1
-        while i + size < high and j + size < right and a[i + size] == b[j + size]:
-            size += 1
-        if not size:
+
+def sequence_ratios(a: Iterable[str | None], b: Iterable[str | None]) -> list[float | None]:
+    """sequence_ratio of pairs, many at a time; those with more MATCHES than that alone by difflib itself."""
+    pairs = list(zip(a, b, strict=True))
+    out: list[float | None] = [None] * len(pairs)
+    some, matches = [], 0
+    for k, (p, q) in enumerate(pairs):
+        if p is None or q is None:
+            continue
+        most = (len(p) + 1) * ((len(q) // FREQUENT if len(q) >= LONG else len(q)) + 1)
+        if max(most, len(q)) >= MATCHES >> 1:
+            out[k] = difflib.SequenceMatcher(None, p, q).ratio()
             continue
-        total += size
-        end, stop = i + size, j + size
-        if low < i and left < j:
-            parts.append((low, i, left, j, [(p, q, n if p + n <= i and q + n <= j else min(i - p, j - q)) for p, q, n in inside if p < i and q < j]))
-        if end < high and stop < right:
-            parts.append((end, high, stop, right, [(p, q, n) if p >= end and q >= stop else (p + (d := max(end - p, stop - q)), q + d, n - d) for p, q, n in inside if p + n > end and q + n > stop and n > max(end - p, stop - q)]))
-    return 2.0 * total / (len(a) + len(b))
+        if len(some) == RATIOS or matches + most > MATCHES:
+            _fill(out, some, pairs)
+            some, matches = [], 0
+        some.append(k)
+        matches += most
+    _fill(out, some, pairs)
+    return out
 
 
-def sequence_ratios(a: Iterable[str | None], b: Iterable[str | None]) -> list[float | None]:
-    return [sequence_ratio(p, q) for p, q in zip(a, b, strict=True)]
+def _fill(out: list[float | None], some: list[int], pairs: list[tuple[str, str]]) -> None:
+    """_ratios of some pairs, put into their places; in halves if these have too many different signs."""
+    if len(some) > 1 and len(some) * len(set().union(*(pairs[k][0] + pairs[k][1] for k in some))) > MATCHES:
+        for half in (some[: len(some) // 2], some[len(some) // 2 :]):
+            _fill(out, half, pairs)
+    elif some:
+        for k, ratio in zip(some, _ratios([pairs[k] for k in some]), strict=True):
+            out[k] = ratio
+
+
+def _ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """Matches start from signs that are not ignored. The runs of such on each diagonal are listed once, and each block that is
+    taken (the longest, then the first in a, then in b) passes on only what lies before it or behind it in both texts; the parts
+    of all pairs go one level down together."""
+    count = len(pairs)
+    lengths = [np.array([len(p[side]) for p in pairs]) for side in (0, 1)]
+    texts = [_codes("".join(p[side] for p in pairs)) for side in (0, 1)]
+    begin = [np.cumsum(n) - n for n in lengths]
+    known = np.zeros(max(int(t.max(initial=0)) + 1 for t in texts), bool)
+    known[texts[0]] = known[texts[1]] = True
+    of, signs = [np.repeat(np.arange(count), n) for n in lengths], int(known.sum())
+    key = [k * signs + (np.cumsum(known) - 1)[t] for k, t in zip(of, texts, strict=True)]
+    a, b = (np.append(t, np.uint32(0)) for t in texts)
+    often = np.where(lengths[1] >= LONG, lengths[1] // FREQUENT + 1, lengths[1])
+    times = np.bincount(key[1], minlength=count * signs)
+    times[times > np.repeat(often, signs)] = 0
+    places = np.flatnonzero(times[key[1]])
+    places = places[np.argsort(key[1][places], kind="stable")]
+    n = times[key[0]]
+    i = np.repeat(np.arange(len(n)), n)
+    j = places[np.repeat((np.cumsum(times) - times)[key[0]] - (np.cumsum(n) - n), n) + np.arange(len(i))]
+    starts = (i == begin[0][of[0][i]]) | (j == begin[1][of[1][j]]) | (a[i - 1] != b[j - 1]) | (n[i - 1] == 0)
+    i, j = i[starts], j[starts]
+    run = np.ones(len(i), np.int64)
+    stops = [x + y for x, y in zip(begin, lengths, strict=True)]
+    part = of[0][i]
+    taken = np.append(n, 0)
+
+    def grown(i: np.ndarray, j: np.ndarray, most: np.ndarray, step: int, only: np.ndarray | None = None) -> np.ndarray:
+        """How many signs from i and j on, forwards or backwards, are equal, and in `only`."""
+        out, left = np.zeros(len(i), np.int64), np.flatnonzero(most > 0)
+        for k in range(int(most.max(initial=0))):
+            p, q = i[left] + step * k, j[left] + step * k
+            same = a[p] == b[q]
+            left = left[same if only is None else same & (only[p] > 0)]
+            out[left] += 1
+            left = left[most[left] > k + 1]
+            if not len(left):
+                break
+        return out
+
+    run += grown(i + 1, j + 1, np.minimum(stops[0][part] - i, stops[1][part] - j) - 1, 1, taken)
+    pair, low, high, left, right = np.arange(count), begin[0], stops[0], begin[1], stops[1]
+    total, full = np.zeros(count, np.int64), (1 << PLACE) - 1
+    while len(pair):
+        x, y, size = low.copy(), left.copy(), np.zeros(len(pair), np.int64)
+        if len(part):
+            heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            best = np.maximum.reduceat((run << 2 * PLACE) | ((full - (i - begin[0][pair[part]])) << PLACE) | (full - (j - begin[1][pair[part]])), heads)
+            k = part[heads]
+            x[k], y[k] = full - ((best >> PLACE) & full) + begin[0][pair[k]], full - (best & full) + begin[1][pair[k]]
+            size[k] = best >> 2 * PLACE
+        back = grown(x - 1, y - 1, np.where(size > 0, np.minimum(x - low, y - left), 0), -1)
+        x, y, size = x - back, y - back, size + back
+        size += grown(x + size, y + size, np.minimum(high - x, right - y) - size, 1)
+        np.add.at(total, pair, size)
+        end, stop = x + size, y + size
+        upper, lower = (np.flatnonzero((size > 0) & c) for c in ((low < x) & (left < y), (end < high) & (stop < right)))
+        named = np.full((2, len(pair)), -1)
+        named[0, upper], named[1, lower] = np.arange(len(upper)), len(upper) + np.arange(len(lower))
+        before = np.minimum(run, np.minimum(x[part] - i, y[part] - j))
+        cut = np.maximum(0, np.maximum(end[part] - i, stop[part] - j))
+        first, second = (np.flatnonzero((named[side, part] >= 0) & c) for side, c in ((0, before > 0), (1, run > cut)))
+        i, j, run, part = (np.concatenate(c) for c in ((i[first], (i + cut)[second]), (j[first], (j + cut)[second]), (before[first], (run - cut)[second]), (named[0, part[first]], named[1, part[second]])))
+        pair, low, high, left, right = (np.concatenate(c) for c in ((pair[upper], pair[lower]), (low[upper], end[lower]), (x[upper], high[lower]), (left[upper], stop[lower]), (y[upper], right[lower])))
+    both = lengths[0] + lengths[1]
+    return np.where(both > 0, 2.0 * total / np.maximum(both, 1), 1.0).tolist()
 
 
 def tex_tokens(code: str | None) -> list[str]:
@@ -91,6 +150,8 @@ def between_blanks(tokens: list[str]) -> str:
 CELLS, BYTE_CELLS = 1 << 16, 1 << 18
 #: Longest run without a blank, and most different signs, of the references and pairs whose cells fit bytes; what is above all cells.
 RUN, SIGNS, ABOVE = 22, 255, 190
+#: Doublings of shifts that all rows of bytes go through together.
+NEAR = 6
 #: All costs are whole numbers of UNIT, so that equal ones are equal.
 UNIT = 0.2
 _JUMP, _DELETION, _INSERTION = (round(c / UNIT) for c in (JUMP, DELETION, INSERTION))
@@ -143,8 +204,9 @@ def _byte_distances(pairs: list[tuple[str, str]]) -> np.ndarray | None:
 
     After a blank no cell is more than a jump above its row's least, and k steps before one none over a jump and k insertions
     matters. Cells are held to that, less an insertion a step and with the least brought back up now and then, so that they fit
-    bytes; and a run of deletions that still gains anything is at most as long, so that a few doublings of shifts have them all.
-    Rows lie behind each other with gaps that such runs don't get across.
+    bytes. Deletions behind an equal sign gain something only while they stay below both what was held and what will be; a few
+    doublings of shifts have such runs, and a few more in those pairs that are within a long run of signs. Rows lie behind each
+    other with gaps that deletions don't get across.
     """
     wide, long = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
     texts = [_codes("".join(p[side] for p in pairs)) for side in (0, 1)]
@@ -160,8 +222,10 @@ def _byte_distances(pairs: list[tuple[str, str]]) -> np.ndarray | None:
     past = place - np.maximum.accumulate(np.where(blank, place, -1), axis=1)
     ahead = np.minimum.accumulate(np.where(blank, place, 1 << 20)[:, ::-1], axis=1)[:, ::-1] - place
     spread = _JUMP + _INSERTION * np.where(place < long[:, None], np.minimum(past, ahead), 0).max(0)
-    doublings = [int(most + _INSERTION - 1).bit_length() for most in (_JUMP, *spread[:-1])]
-    gap = 1 << max(doublings)
+    reach = np.minimum(_JUMP + _INSERTION * past, _JUMP + _INSERTION * ahead) - 1  # of deletions, by place: past counts the place itself
+    reach = np.where(place < long[:, None], np.maximum(reach, 0), 0).T
+    near = [min(int(most).bit_length(), NEAR) for most in reach.max(1)]
+    far, gap = [np.flatnonzero(most >= 1 << NEAR) for most in reach], 1 << max(near)
     lift = _INSERTION * max(1, (ABOVE - int(spread.max()) - 2 * _INSERTION) // _INSERTION)
     held = np.minimum(_JUMP + _INSERTION * ahead.T, 255).astype(np.int16)
     blank, reference = None, np.ascontiguousarray(reference.T)
@@ -181,9 +245,16 @@ def _byte_distances(pairs: list[tuple[str, str]]) -> np.ndarray | None:
         np.multiply(equal, gain, out=equal)
         np.subtract(old[:-1], equal[1:], out=new[1:])
         np.minimum(old[1:], new[1:], out=old[1:])
-        for k in range(doublings[step]):
+        for k in range(near[step]):
             np.add(old[: -1 << k], shifts[k], out=new[1 << k :])
             np.minimum(old[1 << k :], new[1 << k :], out=old[1 << k :])
+        if len(far[step]):
+            some = row[far[step]]
+            some[:, :gap] = ABOVE
+            for k in range(NEAR, int(reach[step].max()).bit_length()):
+                if width > 1 << k:
+                    some[:, 1 << k :] = np.minimum(some[:, 1 << k :], some[:, : -1 << k] + shifts[k])
+            row[far[step]] = some
         row[:n, :gap] = ABOVE
         least = row[:n].argmin(1)
         least += starts[:n]

@@ -130,12 +130,15 @@ def test_edit_distance_in_bytes():
 
 
 def test_sequence_ratio_is_difflibs():
-    rng = random.Random(6)
-    for _ in range(400):
+    rng, some = random.Random(6), []
+    for _ in range(1200):
         letters = rng.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz0123456789[]^-\\ \n", "aбв𝒳 "])
         a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([2, 40, 450])))) for _ in "ab")
         b = b[:40] + a[10 : rng.randrange(11, 300)] + b[40:]
-        assert Q.sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+        some.append((a, b))
+    some += [("", ""), ("", "a"), (None, "a"), ("a", None), ("a" * 9000, "ab" * 9000), ("".join(map(chr, range(5000, 9000))), "".join(map(chr, range(7000, 9999))))]
+    want = [None if None in p else difflib.SequenceMatcher(None, *p).ratio() for p in some]
+    assert Q.sequence_ratios(*zip(*some)) == want and [Q.sequence_ratio(*p) for p in some[:9]] == want[:9]
 
 
 def test_pair_counts_of_many():
